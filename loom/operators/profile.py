@@ -69,15 +69,17 @@ def qualitative(df: DataFrame, cols=None, max_distinct: int = 10) -> DataFrame:
     out = []
     for c in cols:
         n = int(row[f"{c}||n"] or 0)
-        qual = (not is_numeric(df, c)) or is_factor(df, c) or n <= max_distinct
+        qual = is_string(df, c) or is_factor(df, c) or (is_numeric(df, c) and n <= max_distinct)
         out.append((c, n, bool(qual)))
     schema = "column string, n_distinct long, qualitative boolean"
     return df.sparkSession.createDataFrame(out, schema)
 
 
 def is_qualitative(df: DataFrame, c: str, max_distinct: int = 10) -> bool:
-    if not is_numeric(df, c) or is_factor(df, c):
+    if is_string(df, c) or is_factor(df, c):
         return True
+    if not is_numeric(df, c):
+        return False
     n = one_row(df, [(F.count_distinct(col(c)) + F.max(col(c).isNull().cast("int"))).alias("n")])["n"]
     return int(n or 0) <= max_distinct
 

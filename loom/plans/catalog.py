@@ -13,7 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import clean as CL
+from ..operators import convert as CV
+from ..operators import encode as EN
 from ..operators import profile as P
+from ..operators import scale as SC
+from ..sources.readers import load
+from ..workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +82,269 @@ def q_summary_lineitem(spark, sf_dir):
           + _summary_sql("events_na", ["event_id", "user_id", "value"], ["event_type"]))
 def q_summary_events_na(spark, sf_dir):
     return P.summary(events_na(spark, sf_dir), digits=6)
+
+
+def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Presentation rounding of every double column (summation order differs between engines)."""
+    from pyspark.sql import types as T
+    return df.select(*[F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+                       else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
+def _ws_events_na(spark, sf_dir):
+    return Workspace.from_df(events_na(spark, sf_dir), key="event_id")
+
+
+WITH_EVENTS_NA = "WITH events_na AS (" + EVENTS_NA_SQL + ")\n"
+
+
+# S2 load ------------------------------------------------------------------------------
+@register("load_parquet", "SELECT count(*) AS n FROM lineitem")
+def q_load_parquet(spark, sf_dir):
+    return load(spark, f"{sf_dir}/lineitem.parquet").agg(F.count(F.lit(1)).alias("n"))
+
+
+# S6 browse ----------------------------------------------------------------------------
+@register("browse_customer", """
+SELECT * FROM customer
+WHERE lower(concat_ws(' ', c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment)) LIKE '%build%'
+ORDER BY c_acctbal DESC, c_custkey LIMIT 10 OFFSET 10""")
+def q_browse_customer(spark, sf_dir):
+    return P.browse(table(spark, sf_dir, "customer"), search="build", order_by="c_acctbal", descending=True,
+                    page=2, page_size=10, key="c_custkey")
+
+
+# P1 file details ----------------------------------------------------------------------
+@register("file_details_orders", """
+SELECT 'orders.parquet' AS file_name, 'parquet' AS file_format, count(*) AS n_rows,
+       6::BIGINT AS n_columns, 2::BIGINT AS n_categorical, 4::BIGINT AS n_numerical FROM orders""")
+def q_file_details_orders(spark, sf_dir):
+    path = f"{sf_dir}/orders.parquet"
+    return P.file_details(load(spark, path), path)
+
+
+# P3 qualitative -----------------------------------------------------------------------
+def _qual_sql(tbl, nums, others, strings):
+    parts = []
+    for c in nums + others + strings:
+        n = f"(count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END))::BIGINT"
+        q = f"{n} <= 10" if c in nums else ("true" if c in strings else "false")
+        parts.append(f"""SELECT '{c}' AS "column", {n} AS n_distinct, {q} AS qualitative FROM {tbl}""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("qualitative_lineitem", _qual_sql("lineitem", _LI_NUM, ["l_shipdate"], ["l_returnflag", "l_linestatus"]))
+def q_qualitative_lineitem(spark, sf_dir):
+    return P.qualitative(table(spark, sf_dir, "lineitem"))
+
+
+# P5 missing percent -------------------------------------------------------------------
+@register("missing_percent_value", WITH_EVENTS_NA + """
+SELECT round(100.0 * avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 2)::DOUBLE AS missing_percent FROM events_na""")
+def q_missing_percent_value(spark, sf_dir):
+    return P.missing_percent(events_na(spark, sf_dir), "value")
+
+
+# P6 describe --------------------------------------------------------------------------
+@register("describe_value", WITH_EVENTS_NA + """
+SELECT round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS q1, round(median(value), 6) AS median,
+       round(avg(value), 6) AS mean, round(quantile_cont(value, 0.75), 6) AS q3, round(max(value), 6) AS max,
+       count_if(value IS NULL)::BIGINT AS na_count, round(stddev_samp(value), 6) AS sd FROM events_na""")
+def q_describe_value(spark, sf_dir):
+    return P.describe_one(events_na(spark, sf_dir), "value", digits=6)
+
+
+# P7 target summary --------------------------------------------------------------------
+@register("target_summary_totalprice", """
+WITH s AS (SELECT avg(o_totalprice) a, median(o_totalprice) m, min(o_totalprice) lo, max(o_totalprice) hi,
+                  var_samp(o_totalprice) v, stddev_samp(o_totalprice) sd, count(o_totalprice) n FROM orders)
+SELECT 'Mean' AS metric, round(a, 2) AS value FROM s UNION ALL SELECT 'Median', round(m, 2) FROM s
+UNION ALL SELECT 'Min', round(lo, 2) FROM s UNION ALL SELECT 'Max', round(hi, 2) FROM s
+UNION ALL SELECT 'Range', round(hi - lo, 2) FROM s UNION ALL SELECT 'Variance', round(v, 2) FROM s
+UNION ALL SELECT 'SD', round(sd, 2) FROM s UNION ALL SELECT 'N', n::DOUBLE FROM s""")
+def q_target_summary_totalprice(spark, sf_dir):
+    return P.target_summary(table(spark, sf_dir, "orders"), "o_totalprice", digits=2)
+
+
+# P8 target distribution ---------------------------------------------------------------
+@register("target_dist_segment", """
+SELECT c_mktsegment AS level, count(*) AS count FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1""")
+def q_target_dist_segment(spark, sf_dir):
+    return P.target_distribution(table(spark, sf_dir, "customer"), "c_mktsegment")
+
+
+# P9 audit -----------------------------------------------------------------------------
+@register("audit_events_na", WITH_EVENTS_NA + """
+SELECT true AS has_categorical, false AS one_hot_applied,
+       coalesce(bool_or(user_id IS NULL OR value IS NULL OR event_type IS NULL), false) AS has_missing FROM events_na""")
+def q_audit_events_na(spark, sf_dir):
+    return P.audit(_ws_events_na(spark, sf_dir))
+
+
+# C1-C3 --------------------------------------------------------------------------------
+@register("drop_features_part", "SELECT p_partkey, p_brand, p_size, p_retailprice FROM part")
+def q_drop_features_part(spark, sf_dir):
+    ws = Workspace.from_df(table(spark, sf_dir, "part"), key="p_partkey")
+    return CV.drop_features(ws, ["p_name", "p_type"]).working()
+
+
+@register("num_to_cat_size", "SELECT p_partkey, CAST(p_size AS VARCHAR) AS p_size FROM part")
+def q_num_to_cat_size(spark, sf_dir):
+    ws = Workspace.from_df(table(spark, sf_dir, "part").select("p_partkey", "p_size"), key="p_partkey")
+    return CV.num_to_cat(ws, ["p_size"]).working()
+
+
+@register("cat_to_num_brand", """
+SELECT p_partkey, TRY_CAST(regexp_replace(p_brand, 'Brand#', '') AS DOUBLE) AS p_brand FROM part""")
+def q_cat_to_num_brand(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace("p_brand", "Brand#", "").alias("p_brand"))
+    ws, _converted, _failed = CV.cat_to_num(Workspace.from_df(part, key="p_partkey"), ["p_brand"])
+    return ws.working()
+
+
+# M1-M5 --------------------------------------------------------------------------------
+@register("impute_drop", WITH_EVENTS_NA + "SELECT * FROM events_na WHERE value IS NOT NULL")
+def q_impute_drop(spark, sf_dir):
+    return CL.impute(_ws_events_na(spark, sf_dir), "value", "drop").working()
+
+
+@register("impute_mode_num", WITH_EVENTS_NA + """,
+m AS (SELECT value AS v FROM events_na WHERE value IS NOT NULL GROUP BY value ORDER BY count(*) DESC, value LIMIT 1)
+SELECT event_id, user_id, coalesce(value, (SELECT v FROM m)) AS value, event_type FROM events_na""")
+def q_impute_mode_num(spark, sf_dir):
+    return CL.impute(_ws_events_na(spark, sf_dir), "value", "mode").working()
+
+
+@register("impute_mode_str", WITH_EVENTS_NA + """,
+m AS (SELECT event_type AS v FROM events_na WHERE event_type IS NOT NULL GROUP BY event_type
+      ORDER BY count(*) DESC, event_type LIMIT 1)
+SELECT event_id, user_id, value, coalesce(event_type, (SELECT v FROM m)) AS event_type FROM events_na""")
+def q_impute_mode_str(spark, sf_dir):
+    return CL.impute(_ws_events_na(spark, sf_dir), "event_type", "mode").working()
+
+
+@register("impute_median", WITH_EVENTS_NA + """
+SELECT event_id, user_id, round(coalesce(value, (SELECT median(value) FROM events_na)), 6) AS value, event_type
+FROM events_na""")
+def q_impute_median(spark, sf_dir):
+    return round_doubles(CL.impute(_ws_events_na(spark, sf_dir), "value", "median").working())
+
+
+@register("impute_mean", WITH_EVENTS_NA + """
+SELECT event_id, user_id, round(coalesce(value, (SELECT avg(value) FROM events_na)), 6) AS value, event_type
+FROM events_na""")
+def q_impute_mean(spark, sf_dir):
+    return round_doubles(CL.impute(_ws_events_na(spark, sf_dir), "value", "mean").working())
+
+
+@register("na_omit_events", WITH_EVENTS_NA + """
+SELECT * FROM events_na WHERE event_id IS NOT NULL AND user_id IS NOT NULL AND value IS NOT NULL
+  AND event_type IS NOT NULL""")
+def q_na_omit_events(spark, sf_dir):
+    return CL.na_omit(events_na(spark, sf_dir))
+
+
+# O1-O4 --------------------------------------------------------------------------------
+_FENCES = """, q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events_na),
+f AS (SELECT q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+"""
+
+
+@register("iqr_bounds_value", WITH_EVENTS_NA + _FENCES + """
+SELECT round(q1, 6) AS q1, round(q3, 6) AS q3, round(iqr, 6) AS iqr, round(lo, 6) AS lower, round(hi, 6) AS upper
+FROM f""")
+def q_iqr_bounds_value(spark, sf_dir):
+    return round_doubles(CL.iqr_bounds_frame(events_na(spark, sf_dir), "value"))
+
+
+@register("outlier_count_value", WITH_EVENTS_NA + _FENCES + """
+SELECT count_if(value < lo OR value > hi)::BIGINT AS n_outliers FROM events_na, f""")
+def q_outlier_count_value(spark, sf_dir):
+    return CL.outlier_count(events_na(spark, sf_dir), "value")
+
+
+@register("outliers_removed", WITH_EVENTS_NA + _FENCES + """
+SELECT e.* FROM events_na e, f WHERE e.value IS NULL OR e.value BETWEEN f.lo AND f.hi""")
+def q_outliers_removed(spark, sf_dir):
+    return CL.treat_outliers(_ws_events_na(spark, sf_dir), "value", "remove").working()
+
+
+@register("outliers_median", WITH_EVENTS_NA + _FENCES + """
+SELECT event_id, user_id,
+       round(CASE WHEN value < lo OR value > hi THEN (SELECT median(value) FROM events_na) ELSE value END, 6) AS value,
+       event_type FROM events_na, f""")
+def q_outliers_median(spark, sf_dir):
+    return round_doubles(CL.treat_outliers(_ws_events_na(spark, sf_dir), "value", "median").working())
+
+
+@register("outliers_mean", WITH_EVENTS_NA + _FENCES + """
+SELECT event_id, user_id,
+       round(CASE WHEN value < lo OR value > hi THEN (SELECT avg(value) FROM events_na) ELSE value END, 6) AS value,
+       event_type FROM events_na, f""")
+def q_outliers_mean(spark, sf_dir):
+    return round_doubles(CL.treat_outliers(_ws_events_na(spark, sf_dir), "value", "mean").working())
+
+
+# T1-T3 --------------------------------------------------------------------------------
+_LI_SCALE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _li_scale_ws(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *_LI_SCALE)
+    return Workspace.from_df(li)
+
+
+@register("minmax_lineitem", "WITH s AS (SELECT " + ", ".join(
+    f"min({c}) AS {c}_a, max({c}) AS {c}_b" for c in _LI_SCALE) + " FROM lineitem)\nSELECT l_orderkey, l_linenumber, "
+    + ", ".join(f"round(({c} - {c}_a) / nullif({c}_b - {c}_a, 0), 6) AS {c}" for c in _LI_SCALE) + " FROM lineitem, s")
+def q_minmax_lineitem(spark, sf_dir):
+    return round_doubles(SC.scale(_li_scale_ws(spark, sf_dir), _LI_SCALE, "minmax").working())
+
+
+@register("zscore_lineitem", "WITH s AS (SELECT " + ", ".join(
+    f"avg({c}) AS {c}_a, stddev_samp({c}) AS {c}_b" for c in _LI_SCALE) + " FROM lineitem)\nSELECT l_orderkey, l_linenumber, "
+    + ", ".join(f"round(({c} - {c}_a) / nullif({c}_b, 0), 6) AS {c}" for c in _LI_SCALE) + " FROM lineitem, s")
+def q_zscore_lineitem(spark, sf_dir):
+    return round_doubles(SC.scale(_li_scale_ws(spark, sf_dir), _LI_SCALE, "zscore").working())
+
+
+@register("log_value", "SELECT event_id, round(ln(value + 1), 6) AS value FROM events")
+def q_log_value(spark, sf_dir):
+    ws = Workspace.from_df(table(spark, sf_dir, "events").select("event_id", "value"), key="event_id")
+    return round_doubles(SC.scale(ws, ["value"], "log").working())
+
+
+@register("log_acctbal", """
+SELECT c_custkey, round(CASE WHEN c_acctbal > -1 THEN ln(c_acctbal + 1)
+                             WHEN c_acctbal = -1 THEN '-inf'::DOUBLE END, 6) AS c_acctbal FROM customer""")
+def q_log_acctbal(spark, sf_dir):
+    ws = Workspace.from_df(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), key="c_custkey")
+    return round_doubles(SC.scale(ws, ["c_acctbal"], "log").working())
+
+
+# E1-E3 --------------------------------------------------------------------------------
+@register("label_encode_priority", """
+SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) AS o_orderpriority FROM orders""")
+def q_label_encode_priority(spark, sf_dir):
+    ws = Workspace.from_df(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), key="o_orderkey")
+    return EN.encode(ws, ["o_orderpriority"], "label").working()
+
+
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@register("onehot_segment", "SELECT c_custkey, " + ", ".join(
+    f"CASE WHEN c_mktsegment = '{s}' THEN 1.0 ELSE 0.0 END::DOUBLE AS c_mktsegment_{s}" for s in _SEGMENTS)
+    + " FROM customer")
+def q_onehot_segment(spark, sf_dir):
+    ws = Workspace.from_df(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), key="c_custkey")
+    return EN.encode(ws, ["c_mktsegment"], "onehot").working()
+
+
+@register("encode_remaining_orders", """
+SELECT o_orderkey, o_custkey, dense_rank() OVER (ORDER BY o_orderstatus) AS o_orderstatus, o_totalprice,
+       dense_rank() OVER (ORDER BY o_orderpriority) AS o_orderpriority FROM orders""")
+def q_encode_remaining_orders(spark, sf_dir):
+    ws = Workspace.from_df(table(spark, sf_dir, "orders"), key="o_orderkey")
+    ws = CV.drop_features(ws, ["o_orderdate"])
+    return EN.encode_remaining(ws).working()

@@ -38,7 +38,7 @@ def wname(name: str) -> str:
 @dataclass(frozen=True)
 class Workspace:
     df: DataFrame
-    key: str
+    key: str | None
     raw: tuple[str, ...]
     work: tuple[str, ...]
     tags: dict = field(default_factory=dict)  # working column -> frozenset of {"scaled", "encoded", "log"}
@@ -47,22 +47,30 @@ class Workspace:
 
     # construction -----------------------------------------------------------------
     @classmethod
-    def from_df(cls, df: DataFrame, key: str) -> "Workspace":
-        if key not in df.columns:
+    def from_df(cls, df: DataFrame, key: str | None = None) -> "Workspace":
+        """Start (or replace) a workspace: both copies set to the loaded table.
+
+        ``key`` is a unique row key; it is only required by the sampling operators.
+        """
+        if key is not None and key not in df.columns:
             raise ValueError(f"key column {key!r} not in table")
         feats = [c for c in df.columns if c != key]
-        body = df.select(col(key), *[col(c) for c in feats], *[col(c).alias(wname(c)) for c in feats])
+        keys = [col(key)] if key else []
+        body = df.select(*keys, *[col(c) for c in feats], *[col(c).alias(wname(c)) for c in feats])
         return cls(body, key, tuple(feats), tuple(feats), {})
 
     # views ------------------------------------------------------------------------
     def display(self) -> DataFrame:
         """Raw copy: key + raw feature columns."""
-        return self.df.select(col(self.key), *[col(c) for c in self.raw])
+        return self.df.select(*self._keys(), *[col(c) for c in self.raw])
 
     def working(self) -> DataFrame:
         """Training copy: key + working columns under their logical names (+ target columns)."""
         extra = [c for c in ("y", "y_label") if self.target is not None and c in self.df.columns]
-        return self.df.select(col(self.key), *[col(wname(c)).alias(c) for c in self.work], *[col(c) for c in extra])
+        return self.df.select(*self._keys(), *[col(wname(c)).alias(c) for c in self.work], *[col(c) for c in extra])
+
+    def _keys(self):
+        return [col(self.key)] if self.key else []
 
     # helpers for operators --------------------------------------------------------
     def check_open(self) -> None:
