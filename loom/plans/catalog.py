@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import clean as CL
 from ..operators import convert as CV
 from ..operators import encode as EN
+from ..operators import explore as EX
 from ..operators import profile as P
 from ..operators import scale as SC
 from ..sources.readers import load
@@ -348,3 +349,158 @@ def q_encode_remaining_orders(spark, sf_dir):
     ws = Workspace.from_df(table(spark, sf_dir, "orders"), key="o_orderkey")
     ws = CV.drop_features(ws, ["o_orderdate"])
     return EN.encode_remaining(ws).working()
+
+
+# A1-A4 --------------------------------------------------------------------------------
+@register("hist_value", """
+WITH s AS (SELECT min(value) AS lo, max(value) AS hi FROM events),
+b AS (SELECT least(floor((value - lo) / ((hi - lo) / 10)), 9)::BIGINT AS bin FROM events, s WHERE value IS NOT NULL),
+c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
+SELECT r.range AS bin, round(s.lo + r.range * ((s.hi - s.lo) / 10), 6) AS lower,
+       round(s.lo + (r.range + 1) * ((s.hi - s.lo) / 10), 6) AS upper, coalesce(c.n, 0)::BIGINT AS count
+FROM range(10) r CROSS JOIN s LEFT JOIN c ON c.bin = r.range""")
+def q_hist_value(spark, sf_dir):
+    return round_doubles(EX.histogram(table(spark, sf_dir, "events"), "value", bins=10))
+
+
+@register("bar_event_type", """
+SELECT event_type AS level, count(*) AS count FROM events WHERE event_type IS NOT NULL GROUP BY 1""")
+def q_bar_event_type(spark, sf_dir):
+    return EX.category_counts(table(spark, sf_dir, "events"), "event_type")
+
+
+_BOX_SQL = """, q AS (SELECT quantile_cont(value, 0.25) AS q1, median(value) AS med, quantile_cont(value, 0.75) AS q3 FROM src),
+f AS (SELECT q1, med, q3, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS uf FROM q)
+SELECT round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3, round(lf, 6) AS lower_fence,
+       round(uf, 6) AS upper_fence, round(min(CASE WHEN value >= lf THEN value END), 6) AS lower_whisker,
+       round(max(CASE WHEN value <= uf THEN value END), 6) AS upper_whisker,
+       count_if(value < lf OR value > uf)::BIGINT AS n_outliers
+FROM src, f GROUP BY q1, med, q3, lf, uf"""
+
+
+@register("box_value", "WITH src AS (SELECT value FROM events)" + _BOX_SQL)
+def q_box_value(spark, sf_dir):
+    return round_doubles(EX.box_stats(table(spark, sf_dir, "events"), "value"))
+
+
+@register("pie_returnflag", """
+SELECT l_returnflag AS level, count(*) AS count,
+       round(count(*)::DOUBLE / (SELECT count(l_returnflag) FROM lineitem), 6) AS share
+FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1""")
+def q_pie_returnflag(spark, sf_dir):
+    return round_doubles(EX.category_shares(table(spark, sf_dir, "lineitem"), "l_returnflag"))
+
+
+# B1-B9 --------------------------------------------------------------------------------
+@register("scatter_binned", """
+WITH p AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
+s AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM p),
+b AS (SELECT least(floor((x - x0) / ((x1 - x0) / 20)), 19)::BIGINT AS bx,
+             least(floor((y - y0) / ((y1 - y0) / 20)), 19)::BIGINT AS "by" FROM p, s)
+SELECT bx, "by", round(x0 + bx * ((x1 - x0) / 20), 6) AS x_lower, round(y0 + "by" * ((y1 - y0) / 20), 6) AS y_lower,
+       count(*) AS count FROM b, s GROUP BY bx, "by", x0, x1, y0, y1""")
+def q_scatter_binned(spark, sf_dir):
+    return round_doubles(EX.scatter(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", bins=20))
+
+
+@register("regline_price_qty", """
+SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope,
+       round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
+       count(*) FILTER (WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL) AS n FROM lineitem""")
+def q_regline_price_qty(spark, sf_dir):
+    df = EX.regression_line(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+    return df.select(F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), "n")
+
+
+@register("corr_price_qty", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
+def q_corr_price_qty(spark, sf_dir):
+    return EX.pearson(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", digits=6)
+
+
+def _corr_matrix_sql(src: str, cols: list[str], where: str) -> str:
+    parts = []
+    for i, a in enumerate(cols):
+        for b in cols[i:]:
+            parts.append(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS r FROM c")
+    return f"{src}, c AS (SELECT * FROM {where})\n" + "\nUNION ALL\n".join(parts)
+
+
+_CM_LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("corr_matrix_lineitem", _corr_matrix_sql("WITH li AS (SELECT * FROM lineitem)", _CM_LI,
+          "li WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _CM_LI)))
+def q_corr_matrix_lineitem(spark, sf_dir):
+    return EX.corr_matrix(table(spark, sf_dir, "lineitem"), _CM_LI, digits=6)
+
+
+_CM_EV = ["event_id", "user_id", "value"]
+
+
+@register("corr_matrix_events_na", _corr_matrix_sql(WITH_EVENTS_NA.rstrip("\n"), _CM_EV,
+          "events_na WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _CM_EV)))
+def q_corr_matrix_events_na(spark, sf_dir):
+    return EX.corr_matrix(events_na(spark, sf_dir), _CM_EV, digits=6)
+
+
+def _eta_sql(src: str, x: str, y: str) -> str:
+    return src + f""", g AS (SELECT count(*) AS n_all, avg({y}) AS m, var_pop({y}) AS v FROM t),
+l AS (SELECT {x}, count(*) AS n, avg({y}) AS ml FROM t WHERE {x} IS NOT NULL GROUP BY {x})
+SELECT round(CASE WHEN bool_or(ml IS NULL) THEN NULL
+                  ELSE sqrt((sum(n * (ml - m) * (ml - m)) / n_all) / nullif(v, 0)) END, 6) AS eta
+FROM l, g GROUP BY n_all, v"""
+
+
+@register("eta_flag_price", _eta_sql("WITH t AS (SELECT * FROM lineitem)", "l_returnflag", "l_extendedprice"))
+def q_eta_flag_price(spark, sf_dir):
+    return EX.correlation_ratio(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", digits=6)
+
+
+@register("eta_events_na", _eta_sql(WITH_EVENTS_NA.rstrip("\n") + ", t AS (SELECT * FROM events_na)", "event_type", "value"))
+def q_eta_events_na(spark, sf_dir):
+    return EX.correlation_ratio(events_na(spark, sf_dir), "event_type", "value", digits=6)
+
+
+@register("box_by_event_type", WITH_EVENTS_NA + """,
+q AS (SELECT event_type AS level, quantile_cont(value, 0.25) AS q1, median(value) AS med,
+             quantile_cont(value, 0.75) AS q3 FROM events_na GROUP BY event_type),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS uf FROM q)
+SELECT f.level, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3, round(lf, 6) AS lower_fence,
+       round(uf, 6) AS upper_fence, round(min(CASE WHEN value >= lf THEN value END), 6) AS lower_whisker,
+       round(max(CASE WHEN value <= uf THEN value END), 6) AS upper_whisker,
+       count_if(value < lf OR value > uf)::BIGINT AS n_outliers
+FROM events_na e JOIN f ON e.event_type IS NOT DISTINCT FROM f.level
+GROUP BY f.level, q1, med, q3, lf, uf""")
+def q_box_by_event_type(spark, sf_dir):
+    return round_doubles(EX.box_stats(events_na(spark, sf_dir), "value", by="event_type"))
+
+
+_CT_SQL = """WITH p AS (SELECT l_returnflag AS x, l_linestatus AS y FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL),
+lx AS (SELECT DISTINCT x FROM p), ly AS (SELECT DISTINCT y FROM p),
+c AS (SELECT x, y, count(*) AS n FROM p GROUP BY x, y),
+cells AS (SELECT lx.x, ly.y, coalesce(c.n, 0)::BIGINT AS count FROM lx CROSS JOIN ly LEFT JOIN c ON c.x = lx.x AND c.y = ly.y)
+"""
+
+
+@register("contingency_flag_status", _CT_SQL + "SELECT x AS l_returnflag, y AS l_linestatus, count FROM cells")
+def q_contingency_flag_status(spark, sf_dir):
+    return EX.contingency(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@register("profiles_flag_status", _CT_SQL + """SELECT x AS l_returnflag, y AS l_linestatus, count,
+       round(count::DOUBLE / sum(count) OVER (PARTITION BY y), 6) AS proportion FROM cells""")
+def q_profiles_flag_status(spark, sf_dir):
+    return round_doubles(EX.column_profiles(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus"))
+
+
+@register("cramers_v_events", """
+WITH p AS (SELECT event_type AS x, (floor(value) % 3)::BIGINT AS y FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL),
+lx AS (SELECT DISTINCT x FROM p), ly AS (SELECT DISTINCT y FROM p),
+c AS (SELECT x, y, count(*) AS n FROM p GROUP BY x, y),
+cells AS (SELECT lx.x, ly.y, coalesce(c.n, 0)::DOUBLE AS o FROM lx CROSS JOIN ly LEFT JOIN c ON c.x = lx.x AND c.y = ly.y),
+e AS (SELECT o, sum(o) OVER (PARTITION BY x) * sum(o) OVER (PARTITION BY y) / sum(o) OVER () AS e, sum(o) OVER () AS n FROM cells)
+SELECT round(sqrt(sum((o - e) * (o - e) / e) / (min(n) * (least((SELECT count(*) FROM lx), (SELECT count(*) FROM ly)) - 1))), 6)
+       AS cramers_v FROM e""")
+def q_cramers_v_events(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_type", (F.floor("value") % 3).alias("value_mod3"))
+    return EX.cramers_v(ev, "event_type", "value_mod3", digits=6)
