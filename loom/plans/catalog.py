@@ -18,6 +18,7 @@ from ..operators import convert as CV
 from ..operators import encode as EN
 from ..operators import explore as EX
 from ..operators import profile as P
+from ..operators import sampling as SA
 from ..operators import scale as SC
 from ..sources.readers import load
 from ..workspace import Workspace
@@ -504,3 +505,81 @@ SELECT round(sqrt(sum((o - e) * (o - e) / e) / (min(n) * (least((SELECT count(*)
 def q_cramers_v_events(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_type", (F.floor("value") % 3).alias("value_mod3"))
     return EX.cramers_v(ev, "event_type", "value_mod3", digits=6)
+
+
+# R1 -----------------------------------------------------------------------------------
+@register("select_target_orders", """
+SELECT o_orderkey, o_custkey, dense_rank() OVER (ORDER BY o_orderstatus) AS o_orderstatus, o_totalprice,
+       dense_rank() OVER (ORDER BY o_orderpriority) AS y, o_orderpriority AS y_label
+FROM orders WHERE o_orderkey IS NOT NULL AND o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL
+  AND o_totalprice IS NOT NULL AND o_orderpriority IS NOT NULL""")
+def q_select_target_orders(spark, sf_dir):
+    ws = Workspace.from_df(table(spark, sf_dir, "orders").drop("o_orderdate"), key="o_orderkey")
+    return SA.select_target(ws, "o_orderpriority").working()
+
+
+# R2-R3 --------------------------------------------------------------------------------
+@register("downsample_priority", """
+WITH t AS (SELECT o_orderkey, o_orderpriority FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority
+                                   ORDER BY md5(concat('42', ':', o_orderkey::VARCHAR)), o_orderkey) AS rk FROM t),
+m AS (SELECT min(n) AS mn FROM (SELECT count(*) AS n FROM t GROUP BY o_orderpriority))
+SELECT o_orderkey, o_orderpriority FROM r, m WHERE rk <= mn""")
+def q_downsample_priority(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return SA.downsample(t, "o_orderpriority", key="o_orderkey", seed=42)
+
+
+@register("upsample_status", """
+WITH t AS (SELECT o_orderkey, o_orderstatus FROM orders),
+c AS (SELECT o_orderstatus, count(*) AS n FROM t GROUP BY 1),
+m AS (SELECT max(n) AS mx FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus
+                                   ORDER BY md5(concat('42', ':', o_orderkey::VARCHAR)), o_orderkey) AS rk FROM t),
+d0 AS (SELECT o_orderstatus, n, unnest(range(1, mx - n + 1)) AS draw FROM c, m),
+d AS (SELECT o_orderstatus, draw,
+             1 + (('0x' || substr(md5(concat('42', ':', o_orderstatus, ':', draw::VARCHAR)), 1, 8))::BIGINT % n) AS idx
+      FROM d0)
+SELECT o_orderkey, o_orderstatus, 0::BIGINT AS draw FROM t
+UNION ALL
+SELECT r.o_orderkey, r.o_orderstatus, d.draw::BIGINT FROM d JOIN r ON r.o_orderstatus = d.o_orderstatus AND r.rk = d.idx""")
+def q_upsample_status(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return SA.upsample(t, "o_orderstatus", key="o_orderkey", seed=42)
+
+
+# H1-H2 --------------------------------------------------------------------------------
+@register("holdout_events", """
+SELECT event_id, CASE WHEN row_number() OVER (ORDER BY md5(concat('123', ':', event_id::VARCHAR)), event_id)
+                           <= floor(0.7::DOUBLE * (SELECT count(*) FROM events)) THEN 'train' ELSE 'test' END AS split
+FROM events""")
+def q_holdout_events(spark, sf_dir):
+    t = table(spark, sf_dir, "events").select("event_id")
+    return SA.holdout(t, key="event_id", train=0.7, seed=123)
+
+
+@register("split_report_orders", """
+WITH s AS (SELECT o_orderstatus, CASE WHEN row_number() OVER (ORDER BY md5(concat('123', ':', o_orderkey::VARCHAR)), o_orderkey)
+                           <= floor(0.7::DOUBLE * (SELECT count(*) FROM orders)) THEN 'train' ELSE 'test' END AS split
+           FROM orders)
+SELECT split, o_orderstatus AS level, count(*) AS count FROM s GROUP BY 1, 2""")
+def q_split_report_orders(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return SA.split_report(SA.holdout(t, key="o_orderkey", train=0.7, seed=123), y="o_orderstatus")
+
+
+# L0 -----------------------------------------------------------------------------------
+@register("candidate_models_totalprice", """
+SELECT count(DISTINCT o_totalprice) AS n_distinct,
+       CASE WHEN count(DISTINCT o_totalprice) > 10 THEN 'regression' ELSE 'classification' END AS task,
+       CASE WHEN count(DISTINCT o_totalprice) > 10 THEN 'linear_regression,decision_tree'
+            ELSE 'random_forest,svm' END AS models FROM orders""")
+def q_candidate_models_totalprice(spark, sf_dir):
+    return SA.candidate_models(table(spark, sf_dir, "orders"), "o_totalprice")
+
+
+@register("candidate_models_status", """
+SELECT count(DISTINCT o_orderstatus) AS n_distinct, 'classification' AS task, 'random_forest,svm' AS models
+FROM orders""")
+def q_candidate_models_status(spark, sf_dir):
+    return SA.candidate_models(table(spark, sf_dir, "orders"), "o_orderstatus")
