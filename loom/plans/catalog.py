@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import clean as CL
 from ..operators import convert as CV
 from ..operators import encode as EN
+from ..operators import evaluate as EV
 from ..operators import explore as EX
 from ..operators import profile as P
 from ..operators import sampling as SA
@@ -583,3 +584,130 @@ SELECT count(DISTINCT o_orderstatus) AS n_distinct, 'classification' AS task, 'r
 FROM orders""")
 def q_candidate_models_status(spark, sf_dir):
     return SA.candidate_models(table(spark, sf_dir, "orders"), "o_orderstatus")
+
+
+# V1-V8 on rule-based predictions -------------------------------------------------------
+PRED_CLASS_SQL = """SELECT l_returnflag AS actual,
+   CASE WHEN l_quantity > 40 THEN 'R' WHEN l_quantity > 15 THEN 'N' ELSE 'A' END AS predicted FROM lineitem"""
+PRED_VALUE_SQL = "SELECT l_extendedprice AS actual, CAST(2000 AS DOUBLE) * l_quantity AS predicted FROM lineitem"
+PRED_SCORE_SQL = "SELECT CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS actual, l_quantity AS score FROM lineitem"
+PRED_PROBS_SQL = "SELECT l_returnflag AS actual, l_discount AS p_A, l_tax AS p_N, l_quantity / 50.0 AS p_R FROM lineitem"
+
+
+def pred_class(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity")
+    return li.select(F.col("l_returnflag").alias("actual"),
+                     F.when(q > 40, "R").when(q > 15, "N").otherwise("A").alias("predicted"))
+
+
+def pred_value(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_extendedprice").alias("actual"), (F.lit(2000.0) * F.col("l_quantity")).alias("predicted"))
+
+
+def pred_score(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("actual"), F.col("l_quantity").alias("score"))
+
+
+def pred_probs(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_returnflag").alias("actual"), F.col("l_discount").alias("p_A"),
+                     F.col("l_tax").alias("p_N"), (F.col("l_quantity") / F.lit(50.0)).alias("p_R"))
+
+
+def _metric_rounding(df: DataFrame, digits: dict) -> DataFrame:
+    v = F.col("value")
+    expr = None
+    for m, d in digits.items():
+        expr = F.when(F.col("metric") == m, F.round(v, d)) if expr is None else expr.when(F.col("metric") == m, F.round(v, d))
+    rest = F.round(v, 6)
+    return df.select("metric", (expr.otherwise(rest) if expr is not None else rest).alias("value"))
+
+
+@register("regression_metrics_rule", "WITH pv AS (" + PRED_VALUE_SQL + """),
+s AS (SELECT count(*) AS n, sum((actual - predicted) * (actual - predicted)) AS sse,
+             var_pop(actual) * count(*) AS sst FROM pv)
+SELECT 'RMSE' AS metric, round(sqrt(sse / n), 4) AS value FROM s
+UNION ALL SELECT 'MSE', round(sse / n, 0) FROM s
+UNION ALL SELECT 'R2', round(1 - sse / sst, 6) FROM s
+UNION ALL SELECT 'Adjusted_R2', round(1 - (1 - (1 - sse / sst)) * (n - 1) / (n - 1 - 1), 6) FROM s""")
+def q_regression_metrics_rule(spark, sf_dir):
+    return _metric_rounding(EV.regression_metrics(pred_value(spark, sf_dir), p=1), {"RMSE": 4, "MSE": 0})
+
+
+@register("classification_metrics_rule", "WITH pc AS (" + PRED_CLASS_SQL + """),
+labels AS (SELECT actual AS label FROM pc UNION SELECT predicted FROM pc),
+n AS (SELECT count(*)::DOUBLE AS n FROM pc),
+per AS (SELECT l.label, count_if(pc.actual = l.label AND pc.predicted = l.label)::DOUBLE AS tp,
+               count_if(pc.actual = l.label)::DOUBLE AS act, count_if(pc.predicted = l.label)::DOUBLE AS pred
+        FROM labels l CROSS JOIN pc GROUP BY l.label),
+m AS (SELECT tp, coalesce(tp / nullif(pred, 0), 0) AS prec, coalesce(tp / nullif(act, 0), 0) AS rec,
+             coalesce((n - act - pred + tp) / nullif(n - act, 0), 0) AS spec FROM per, n),
+f AS (SELECT *, coalesce(2 * prec * rec / nullif(prec + rec, 0), 0) AS f1 FROM m)
+SELECT 'Accuracy' AS metric, round(sum(tp) / (SELECT n FROM n), 6) AS value FROM f
+UNION ALL SELECT 'Precision', round(avg(prec), 6) FROM f
+UNION ALL SELECT 'Recall', round(avg(rec), 6) FROM f
+UNION ALL SELECT 'Specificity', round(avg(spec), 6) FROM f
+UNION ALL SELECT 'F1', round(avg(f1), 6) FROM f""")
+def q_classification_metrics_rule(spark, sf_dir):
+    return _metric_rounding(EV.classification_metrics(pred_class(spark, sf_dir)), {})
+
+
+@register("confusion_rule", "WITH pc AS (" + PRED_CLASS_SQL + """),
+labels AS (SELECT actual AS label FROM pc UNION SELECT predicted FROM pc),
+c AS (SELECT predicted, actual, count(*) AS n FROM pc GROUP BY 1, 2)
+SELECT p.label AS predicted, a.label AS actual, coalesce(c.n, 0)::BIGINT AS count
+FROM labels p CROSS JOIN labels a LEFT JOIN c ON c.predicted = p.label AND c.actual = a.label""")
+def q_confusion_rule(spark, sf_dir):
+    return EV.confusion_matrix(pred_class(spark, sf_dir))
+
+
+@register("actual_predicted_rule", "SELECT actual, predicted FROM (" + PRED_VALUE_SQL + ")")
+def q_actual_predicted_rule(spark, sf_dir):
+    return EV.actual_vs_predicted(pred_value(spark, sf_dir))
+
+
+@register("residuals_rule", "SELECT round(predicted, 6) AS predicted, round(actual - predicted, 6) AS residual FROM ("
+          + PRED_VALUE_SQL + ")")
+def q_residuals_rule(spark, sf_dir):
+    return round_doubles(EV.residuals(pred_value(spark, sf_dir)))
+
+
+@register("roc_points_rule", "WITH ps AS (" + PRED_SCORE_SQL + """),
+s AS (SELECT score::DOUBLE AS score, sum(actual) AS pos, sum(1 - actual) AS neg FROM ps GROUP BY 1),
+t AS (SELECT sum(pos)::DOUBLE AS P, sum(neg)::DOUBLE AS N FROM s),
+c AS (SELECT score, sum(pos) OVER (ORDER BY score DESC) AS cp, sum(neg) OVER (ORDER BY score DESC) AS cn FROM s)
+SELECT 'inf'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
+UNION ALL SELECT score, round(cn / N, 6), round(cp / P, 6) FROM c, t""")
+def q_roc_points_rule(spark, sf_dir):
+    return round_doubles(EV.roc_curve(pred_score(spark, sf_dir)))
+
+
+@register("auc_rule", "WITH ps AS (" + PRED_SCORE_SQL + """),
+s AS (SELECT score::DOUBLE AS score, sum(actual) AS pos, sum(1 - actual) AS neg FROM ps GROUP BY 1),
+c AS (SELECT *, sum(neg) OVER (ORDER BY score) - neg AS below FROM s)
+SELECT round(sum(pos * (below + neg / 2.0)) / (sum(pos)::DOUBLE * sum(neg)::DOUBLE), 6) AS auc FROM c""")
+def q_auc_rule(spark, sf_dir):
+    return round_doubles(EV.auc(pred_score(spark, sf_dir)))
+
+
+_AUC_MC_SQL = "WITH pp AS (" + PRED_PROBS_SQL + """),
+st AS (SELECT 'A' AS cls, CASE WHEN actual = 'A' THEN 1 ELSE 0 END AS truth, p_A AS score FROM pp
+       UNION ALL SELECT 'N', CASE WHEN actual = 'N' THEN 1 ELSE 0 END, p_N FROM pp
+       UNION ALL SELECT 'R', CASE WHEN actual = 'R' THEN 1 ELSE 0 END, p_R FROM pp),
+s AS (SELECT cls, score, sum(truth) AS pos, sum(1 - truth) AS neg FROM st WHERE score IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT *, sum(neg) OVER (PARTITION BY cls ORDER BY score) - neg AS below FROM s),
+a AS (SELECT cls, sum(pos * (below + neg / 2.0)) / (sum(pos)::DOUBLE * sum(neg)::DOUBLE) AS auc FROM c GROUP BY cls)
+"""
+
+
+@register("auc_per_class_rule", _AUC_MC_SQL + "SELECT cls, round(auc, 6) AS auc FROM a")
+def q_auc_per_class_rule(spark, sf_dir):
+    return round_doubles(EV.auc_per_class(pred_probs(spark, sf_dir), "actual", {"A": "p_A", "N": "p_N", "R": "p_R"}))
+
+
+@register("auc_multiclass_rule", _AUC_MC_SQL + "SELECT round(avg(auc), 6) AS auc FROM a")
+def q_auc_multiclass_rule(spark, sf_dir):
+    return EV.auc_multiclass(pred_probs(spark, sf_dir), "actual", {"A": "p_A", "N": "p_N", "R": "p_R"}, digits=6)
