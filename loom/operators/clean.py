@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantile import quantile_values
 from ..functions.stats import col, is_numeric, lit_or_null, one_row
-from ..workspace import Workspace, wname
+from ..workspace import Workspace
 
 METHODS = ("drop", "mode", "median", "mean")
 
@@ -56,22 +56,18 @@ def impute(ws: Workspace, column: str, method: str) -> Workspace:
     value = center_value(ws.display(), column, method)
     if value is None:
         return ws
-    dtype = ws.df.schema[column].dataType
     if method in ("median", "mean"):
-        type_name = "double"  # an integer column becomes double, as in R
+        raw_type = work_type = "double"  # an integer column becomes double, as in R
     else:
-        type_name = dtype.simpleString()
-    fill = F.lit(value).cast(type_name)
-    has_work = column in ws.work
-    if has_work:
+        raw_type = ws.df.schema[column].dataType.simpleString()
+        work_type = ws.df.schema[ws.wcol(column)].dataType.simpleString() if column in ws.work else raw_type
+    if column in ws.work:
         ws.warn_if_transformed(column, "imputation")
-    mapping = {column: F.coalesce(raw.cast(type_name), fill)}
-    if has_work:
-        w = col(wname(column))
-        wt = "double" if method in ("median", "mean") else ws.df.schema[wname(column)].dataType.simpleString()
-        mapping[wname(column)] = F.coalesce(w.cast(wt), fill.cast(wt))
-    out = ws.df.select(*[mapping[c].alias(c) if c in mapping else col(c) for c in ws.df.columns])
-    return ws.evolve(out)
+    if ws.shared(column) or column not in ws.work or raw_type == work_type:
+        fill = F.lit(value).cast(raw_type)
+        return ws.apply(both={column: lambda x: F.coalesce(x.cast(raw_type), fill)})
+    return ws.apply(raw={column: lambda x: F.coalesce(x.cast(raw_type), F.lit(value).cast(raw_type))},
+                    work={column: lambda x: F.coalesce(x.cast(work_type), F.lit(value).cast(work_type))})
 
 
 # M5 -----------------------------------------------------------------------------------
@@ -137,9 +133,6 @@ def treat_outliers(ws: Workspace, column: str, method: str) -> Workspace:
         return ws.evolve(ws.df.where(x.isNull() | x.between(F.lit(b["lower"]), F.lit(b["upper"]))))
     value = center_value(ws.display(), column, method)
     fill = lit_or_null(value)
-    mapping = {column: F.when(is_out, fill).otherwise(col(column).cast("double"))}
     if column in ws.work:
         ws.warn_if_transformed(column, "outlier replacement")
-        mapping[wname(column)] = F.when(is_out, fill).otherwise(col(wname(column)).cast("double"))
-    out = ws.df.select(*[mapping[c].alias(c) if c in mapping else col(c) for c in ws.df.columns])
-    return ws.evolve(out)
+    return ws.apply(both={column: lambda x: F.when(is_out, fill).otherwise(x.cast("double"))})

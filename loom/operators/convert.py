@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import col, is_factor, is_numeric, one_row
-from ..workspace import OSUF, Workspace, wname
+from ..workspace import OSUF, Workspace
 
 NUMERIC_TEXT = r"^[0-9.-]+$"
 
@@ -23,10 +23,12 @@ def drop_features(ws: Workspace, cols) -> Workspace:
         raise ValueError(f"unknown column(s): {unknown}")
     phys = set()
     for c in cols:
-        phys |= {c, wname(c), c + OSUF, wname(c) + OSUF}
+        p = ws.wcol(c)
+        phys |= {c, p, c + OSUF, p + OSUF}
     out = ws.df.select(*[col(x) for x in ws.df.columns if x not in phys])
     return ws.evolve(out, raw=tuple(c for c in ws.raw if c not in cols),
                      work=tuple(c for c in ws.work if c not in cols),
+                     phys={k: v for k, v in ws.phys.items() if k not in cols},
                      tags={k: v for k, v in ws.tags.items() if k not in cols})
 
 
@@ -41,6 +43,14 @@ def _factor_meta(origin: str) -> dict:
     return {"role": "factor", "origin": origin}
 
 
+def _copies(ws: Workspace, c: str) -> list[str]:
+    """Physical columns holding the raw and the working copy of ``c`` (one when shared)."""
+    out = [c] if c in ws.raw else []
+    if c in ws.work and ws.wcol(c) not in out:
+        out.append(ws.wcol(c))
+    return out
+
+
 # C2 -----------------------------------------------------------------------------------
 def num_to_cat(ws: Workspace, cols) -> Workspace:
     """Numeric -> categorical (factor) in both copies; original values kept for restoration."""
@@ -51,12 +61,10 @@ def num_to_cat(ws: Workspace, cols) -> Workspace:
     for c in cols:
         if not is_numeric(ws.df, c):
             raise ValueError(f"{c!r} is not numeric")
-        for phys in (c, wname(c)):
-            if phys not in ws.df.columns:
-                continue
-            origin = ws.df.schema[phys].dataType.simpleString()
-            mapping[phys] = number_text(col(phys)).alias(phys, metadata=_factor_meta(origin))
-            extra.append(col(phys).alias(phys + OSUF))
+        for p in _copies(ws, c):
+            origin = ws.df.schema[p].dataType.simpleString()
+            mapping[p] = number_text(col(p)).alias(p, metadata=_factor_meta(origin))
+            extra.append(col(p).alias(p + OSUF))
     out = ws.df.select(*[mapping.get(x, col(x)) for x in ws.df.columns], *extra)
     return ws.evolve(out)
 
@@ -77,24 +85,26 @@ def cat_to_num(ws: Workspace, cols) -> tuple[Workspace, list[str], list[str]]:
     test = [c for c in cols if c not in restore]
     bad = {}
     if test:
-        row = one_row(ws.df, [F.count_if(col(wname(c)).isNotNull() & ~col(wname(c)).cast("string").rlike(NUMERIC_TEXT))
-                              .alias(c) for c in test])
+        checks = []
+        for c in test:
+            w = col(ws.wcol(c))
+            checks.append(F.count_if(w.isNotNull() & ~w.cast("string").rlike(NUMERIC_TEXT)).alias(c))
+        row = one_row(ws.df, checks)
         bad = {c: row[c] for c in test}
     converted = restore + [c for c in test if bad[c] == 0]
     failed = [c for c in test if bad[c] != 0]
     mapping = {}
     drop = set()
     for c in restore:
-        for phys in (c, wname(c)):
-            if phys + OSUF in ws.df.columns:
-                mapping[phys] = col(phys + OSUF).alias(phys)
-                drop.add(phys + OSUF)
+        for p in _copies(ws, c):
+            if p + OSUF in ws.df.columns:
+                mapping[p] = col(p + OSUF).alias(p)
+                drop.add(p + OSUF)
     for c in converted:
         if c in restore:
             continue
-        for phys in (c, wname(c)):
-            if phys in ws.df.columns:
-                mapping[phys] = col(phys).cast("string").try_cast("double").alias(phys, metadata={})
+        for p in _copies(ws, c):
+            mapping[p] = col(p).cast("string").try_cast("double").alias(p, metadata={})
     out = ws.df.select(*[mapping.get(x, col(x)) for x in ws.df.columns if x not in drop])
     return ws.evolve(out), converted, failed
 

@@ -194,11 +194,10 @@ def target_distribution(df: DataFrame, c: str) -> DataFrame:
 # P9 ---------------------------------------------------------------------------------
 def audit(ws) -> DataFrame:
     """Pre-submission flags: categorical working columns left, one-hot applied, any missing value."""
-    from ..workspace import wname
     work = ws.working()
     has_cat = any(not is_numeric(work, c) or is_factor(work, c) for c in ws.work)
     one_hot = len(ws.work) != len(ws.raw)
-    cols = [col(wname(c)).isNull() for c in ws.work]
+    cols = [col(ws.wcol(c)).isNull() for c in ws.work]
     any_null = F.lit(False)
     for e in cols:
         any_null = any_null | e

@@ -18,10 +18,12 @@ from ..operators import convert as CV
 from ..operators import encode as EN
 from ..operators import evaluate as EV
 from ..operators import explore as EX
+from ..operators import models as MO
 from ..operators import profile as P
 from ..operators import sampling as SA
 from ..operators import scale as SC
 from ..sources.readers import load
+from . import recipes as RC
 from ..workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -711,3 +713,32 @@ def q_auc_per_class_rule(spark, sf_dir):
 @register("auc_multiclass_rule", _AUC_MC_SQL + "SELECT round(avg(auc), 6) AS auc FROM a")
 def q_auc_multiclass_rule(spark, sf_dir):
     return EV.auc_multiclass(pred_probs(spark, sf_dir), "actual", {"A": "p_A", "N": "p_N", "R": "p_R"}, digits=6)
+
+
+# L4 / recipes -------------------------------------------------------------------------
+@register("linreg_simple", """
+SELECT 'intercept' AS term, round(regr_intercept(l_extendedprice, l_quantity), 4) AS estimate FROM lineitem
+UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 6) FROM lineitem""")
+def q_linreg_simple(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
+    fm = MO.train(li, "linear_regression", ["l_quantity"], label="l_extendedprice")
+    lr = fm.pipeline.stages[-1]
+    rows = [("intercept", float(lr.intercept)), ("l_quantity", float(lr.coefficients[0]))]
+    res = spark.createDataFrame(rows, "term string, estimate double")
+    return res.select("term", F.when(F.col("term") == "intercept", F.round("estimate", 4))
+                      .otherwise(F.round("estimate", 6)).alias("estimate"))
+
+
+@register("recipe_regression")
+def q_recipe_regression(spark, sf_dir):
+    return RC.regression_flow(spark, sf_dir)
+
+
+@register("recipe_multiclass")
+def q_recipe_multiclass(spark, sf_dir):
+    return RC.multiclass_flow(spark, sf_dir)
+
+
+@register("recipe_binary")
+def q_recipe_binary(spark, sf_dir):
+    return RC.binary_flow(spark, sf_dir)

@@ -8,7 +8,7 @@ apart and no positional join is ever needed:
 * ``key``            - a unique row key supplied by the caller (or derived, see
                        ``sources.readers.add_row_key``);
 * ``<name>``         - raw (display) feature columns;
-* ``<name>__w``      - working (training) feature columns;
+* ``<name>__w``      - working (training) copy, once it differs from the raw one;
 * ``<name>__orig``   - original values kept by a numeric -> categorical
                        conversion, so the conversion can be undone.
 
@@ -37,10 +37,18 @@ def wname(name: str) -> str:
 
 @dataclass(frozen=True)
 class Workspace:
+    """Raw and working copies of one table in one DataFrame.
+
+    A working column shares the raw column until an operator changes only the
+    working copy (scaling, encoding); then it gets its own physical column
+    ``<name>__w``.  Sharing keeps plans narrow and free of alias chains.
+    """
+
     df: DataFrame
     key: str | None
     raw: tuple[str, ...]
     work: tuple[str, ...]
+    phys: dict = field(default_factory=dict)  # working name -> physical column (default: same name)
     tags: dict = field(default_factory=dict)  # working column -> frozenset of {"scaled", "encoded", "log"}
     frozen: bool = False
     target: str | None = None
@@ -55,23 +63,72 @@ class Workspace:
         if key is not None and key not in df.columns:
             raise ValueError(f"key column {key!r} not in table")
         feats = [c for c in df.columns if c != key]
-        keys = [col(key)] if key else []
-        body = df.select(*keys, *[col(c) for c in feats], *[col(c).alias(wname(c)) for c in feats])
-        return cls(body, key, tuple(feats), tuple(feats), {})
+        return cls(df, key, tuple(feats), tuple(feats), {}, {})
+
+    # physical names ---------------------------------------------------------------
+    def wcol(self, name: str) -> str:
+        """Physical column holding the working copy of ``name``."""
+        return self.phys.get(name, name)
+
+    def shared(self, name: str) -> bool:
+        return name in self.raw and self.wcol(name) == name
 
     # views ------------------------------------------------------------------------
     def display(self) -> DataFrame:
         """Raw copy: key + raw feature columns."""
         return self.df.select(*self._keys(), *[col(c) for c in self.raw])
 
-    def working(self) -> DataFrame:
+    def working_columns(self) -> list:
+        return [col(self.wcol(c)).alias(c) if self.wcol(c) != c else col(c) for c in self.work]
+
+    def working(self, extra=()) -> DataFrame:
         """Training copy: key + working columns under their logical names (+ target columns)."""
-        extra = [c for c in ("y", "y_label") if self.target is not None and c in self.df.columns]
-        return self.df.select(*self._keys(), *[col(wname(c)).alias(c) for c in self.work], *[col(c) for c in extra])
+        tgt = [c for c in ("y", "y_label") if self.target is not None and c in self.df.columns]
+        return self.df.select(*self._keys(), *self.working_columns(), *[col(c) for c in tgt],
+                              *[col(c) for c in extra])
 
     def _keys(self):
         return [col(self.key)] if self.key else []
 
+    # rewriting --------------------------------------------------------------------
+    def apply(self, work: dict | None = None, both: dict | None = None, metadata: dict | None = None,
+              drop=(), raw: dict | None = None, **changes) -> "Workspace":
+        """Rewrite columns in one projection.
+
+        ``work``: name -> fn(Column) applied to the working copy only (a shared
+        column is split off first).  ``both``: name -> fn(Column) applied to the
+        raw and the working copy (one column while they are shared).
+        ``metadata``: physical name -> column metadata.  ``drop``: physical names.
+        """
+        replace, add = {}, []
+        phys = dict(changes.pop("phys", self.phys))
+        for c, fn in (both or {}).items():
+            if c in self.raw:
+                replace[c] = fn(col(c))
+            if c in self.work and self.wcol(c) != c:
+                replace[self.wcol(c)] = fn(col(self.wcol(c)))
+        for c, fn in (raw or {}).items():
+            if self.shared(c) and c in self.work:  # keep the old value as the working copy
+                phys[c] = wname(c)
+                add.append((wname(c), col(c)))
+            replace[c] = fn(col(c))
+        for c, fn in (work or {}).items():
+            p = self.wcol(c)
+            expr = fn(col(p))
+            if p == c and c in self.raw:
+                phys[c] = wname(c)
+                add.append((wname(c), expr))
+            else:
+                replace[p] = expr
+        md = metadata or {}
+
+        def out(name, expr):
+            return expr.alias(name, metadata=md[name]) if name in md else expr.alias(name)
+
+        cols = [out(x, replace[x]) if x in replace else col(x) for x in self.df.columns if x not in drop]
+        cols += [out(n, e) for n, e in add]
+        return replace_self(self, df=self.df.select(*cols), phys=phys, **changes)
+
     # helpers for operators --------------------------------------------------------
     def check_open(self) -> None:
         if self.frozen:
@@ -105,10 +162,5 @@ class Workspace:
             raise ValueError(f"unknown column(s): {missing}")
 
 
-def replace_columns(df: DataFrame, mapping: dict) -> DataFrame:
-    """Replace the named columns with new expressions, keeping column order."""
-    return df.select(*[mapping[c].alias(c) if c in mapping else col(c) for c in df.columns])
-
-
-def lit_like(value, type_name: str):
-    return F.lit(value).cast(type_name)
+def replace_self(ws: Workspace, **changes) -> Workspace:
+    return replace(ws, **changes)
