@@ -93,3 +93,23 @@ def stack_columns(df: DataFrame, names: Iterable[str], name_col: str, value_cols
     return df.select(F.inline(F.array(*[
         F.struct(F.lit(n).alias(name_col), *[col(f"{n}||{v}").alias(v) for v in value_cols]) for n in names
     ])))
+
+
+def complete_rows(df: DataFrame, cols=None) -> DataFrame:
+    """Rows with no missing value in ``cols`` (all columns by default); NaN counts as missing.
+
+    Written as a conjunction of per-column predicates rather than ``dropna``:
+    ``dropna`` becomes one predicate over every column, and Catalyst's
+    constraint propagation copies such a predicate once per aliased column of
+    every later projection (exponential in wide plans); per-column predicates
+    grow linearly and are pushed into the Parquet scan one by one.
+    """
+    cols = list(df.columns if cols is None else cols)
+    cond = F.lit(True)
+    for c in cols:
+        x = col(c)
+        p = x.isNotNull()
+        if isinstance(df.schema[c].dataType, FLOAT_TYPES):
+            p = p & ~F.isnan(x)
+        cond = cond & p
+    return df.where(cond)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantile import quantile_values
-from ..functions.stats import col, is_numeric, lit_or_null, one_row
+from ..functions.stats import col, complete_rows, is_numeric, lit_or_null, one_row
 from ..workspace import Workspace
 
 METHODS = ("drop", "mode", "median", "mean")
@@ -73,7 +73,7 @@ def impute(ws: Workspace, column: str, method: str) -> Workspace:
 # M5 -----------------------------------------------------------------------------------
 def na_omit(df: DataFrame, subset=None) -> DataFrame:
     """Listwise deletion: drop every row with a missing value (NaN too)."""
-    return df.dropna(how="any", subset=subset)
+    return complete_rows(df, subset)
 
 
 # O1 -----------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .. import session as S
 from ..functions.quantile import quantile_values, quantiles
-from ..functions.stats import col, guarded_corr, is_factor, is_numeric, is_string, one_row, rounded
+from ..functions.stats import col, complete_rows, guarded_corr, is_factor, is_numeric, is_string, one_row, rounded
 from .profile import is_qualitative
 
 MAX_CELLS = 1_000_000
@@ -138,7 +138,7 @@ def scatter(df: DataFrame, x: str, y: str, bins: int | None = None) -> DataFrame
 
     At scale the binned form is the one to draw: its size is bounded by bins^2.
     """
-    pairs = df.select(col(x).cast("double").alias("x"), col(y).cast("double").alias("y")).dropna()
+    pairs = complete_rows(df.select(col(x).cast("double").alias("x"), col(y).cast("double").alias("y")))
     if not bins:
         return pairs
     s = one_row(pairs, [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")])
@@ -179,7 +179,7 @@ def pearson(df: DataFrame, x: str, y: str, digits: int | None = 3) -> DataFrame:
 def corr_matrix(df: DataFrame, cols=None, digits: int | None = None) -> DataFrame:
     """Correlation matrix over listwise-complete rows, long form (x, y, r) for x <= y."""
     cols = list(cols or [f.name for f in df.schema.fields if is_numeric(df, f.name) and not is_factor(df, f.name)])
-    complete = df.select(*[col(c).cast("double").alias(c) for c in cols]).dropna()
+    complete = complete_rows(df.select(*[col(c).cast("double").alias(c) for c in cols]))
     spark = df.sparkSession
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     if len(cols) <= 60:
