@@ -1,0 +1 @@
+"""Shared building blocks: one-pass statistics, exact order statistics, hash ranks, running sums."""

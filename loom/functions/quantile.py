@@ -230,3 +230,22 @@ def _resolve_leaves(spark, data, by_type, leaf: dict, targets: dict, values: dic
     for (gi, r), rid in targets.items():
         if rid in leaf:
             values[(gi, r)] = found[(rid, r - leaf[rid][3])]
+
+
+def multi_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> dict:
+    """Exact quantiles of several numeric columns in shared passes.
+
+    The columns are stacked into (column index, value) pairs inside each task
+    (a generator feeding a partial aggregate, so no row copies are shuffled)
+    and resolved as one grouped problem.  Returns ``{column: [q per prob]}``;
+    a column without non-NULL values gives NULLs.
+    """
+    cols = list(cols)
+    if not cols:
+        return {}
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("g"), col(c).cast("double").alias("x")) for i, c in enumerate(cols)])).alias("s"))
+    stacked = stacked.select(F.col("s.g").alias("g"), F.col("s.x").alias("x"))
+    rows = quantiles(stacked, "x", probs, by="g", **kw).collect()
+    found = {r[0]: [r[i + 1] for i in range(len(probs))] for r in rows}
+    return {c: found.get(i, [None] * len(probs)) for i, c in enumerate(cols)}

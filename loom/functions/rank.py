@@ -57,25 +57,28 @@ def hash_threshold_filter(df: DataFrame, key: str, k_by_group: dict, by: str | N
     """
     ranks = {g: [k] for g, k in k_by_group.items() if k > 0}
     found = kth_smallest(df, HNUM, ranks, by=by) if ranks else {}
-    thresholds = {}
-    for g, k in k_by_group.items():
-        if k <= 0:
-            continue
-        if (g, k) not in found:  # k beyond the group size: keep all
-            thresholds[g] = None
-            continue
-        v = found[(g, k)]
-        in_group = df if by is None else df.where(col(by).eqNullSafe(F.lit(g)))
-        below = in_group.where(F.col(HNUM) < F.lit(v)).count()
-        # Rows sharing the 52-bit prefix: a handful at most; bounded check before collecting.
-        ties_df = in_group.where(F.col(HNUM) == F.lit(v)).select(HASH, col(key).alias("k"))
-        ties = ties_df.orderBy(HASH, "k").limit(S.BROADCAST_ROWS + 1).collect()
+    if len(ranks) > S.MAX_LEVELS:
+        raise ValueError(f"more than {S.MAX_LEVELS} groups")
+    thresholds = {g: None for g, k in k_by_group.items() if k > 0 and (g, k) not in found}  # k >= size: keep all
+    values = {g: found[(g, k)] for g, k in k_by_group.items() if k > 0 and (g, k) in found}
+    if values:
+        # One pass for every group: rows strictly below the prefix value, and the (few)
+        # rows sharing it, which are ordered by the full hash and the key.
+        v_of = _group_literal_case(by, list(values), lambda g: F.lit(values[g]))
+        grp = [col(by).alias("__g")] if by else [F.lit(None).alias("__g")]
+        below = {r["__g"]: r["n"] for r in df.where(F.col(HNUM) < v_of).groupBy(*grp).agg(F.count("*").alias("n"))
+                 .collect()}
+        ties = (df.where(F.col(HNUM) == v_of).select(*grp, F.col(HASH).alias("h"), col(key).alias("k"))
+                .limit(S.BROADCAST_ROWS + 1).collect())
         if len(ties) > S.BROADCAST_ROWS:
             raise ValueError("hash prefix ties exceed the bound; key is not unique")
-        t = ties[k - below - 1]
-        thresholds[g] = (v, t[HASH], t["k"])
-    if len(thresholds) > S.MAX_LEVELS:
-        raise ValueError(f"more than {S.MAX_LEVELS} groups")
+        by_group: dict = {}
+        for t in ties:
+            by_group.setdefault(t["__g"], []).append((t["h"], t["k"]))
+        for g, v in values.items():
+            tied = sorted(by_group.get(g, []))
+            h, kv = tied[k_by_group[g] - below.get(g, 0) - 1]
+            thresholds[g] = (v, h, kv)
 
     def rule(g):
         th = thresholds[g]

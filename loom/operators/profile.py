@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import session as S
-from ..functions.quantile import quantiles
+from ..functions.quantile import multi_quantiles, quantiles
 from ..functions.stats import col, is_factor, is_numeric, is_string, lit_or_null, one_row, rounded
 
 SUMMARY_SCHEMA = T.StructType([
@@ -95,8 +95,6 @@ def summary(df: DataFrame, cols=None, formatted: bool = False, digits: int | Non
     """
     cols = list(cols or df.columns)
     nums = [c for c in cols if is_numeric(df, c) and not is_factor(df, c)]
-    n_rows = df.count()
-    direct = n_rows <= S.EXACT_DIRECT_ROWS
     exprs = []
     for c in cols:
         x = col(c)
@@ -105,19 +103,14 @@ def summary(df: DataFrame, cols=None, formatted: bool = False, digits: int | Non
             d = x.cast("double")
             exprs += [F.min(d).alias(f"{c}||min"), F.max(d).alias(f"{c}||max"), F.avg(d).alias(f"{c}||mean"),
                       F.stddev_samp(d).alias(f"{c}||sd"), F.var_samp(d).alias(f"{c}||variance")]
-            if direct:
-                exprs.append(F.percentile(d, 0.5).alias(f"{c}||median"))
         else:
             exprs.append((F.count_distinct(x) + F.max(x.isNull().cast("int"))).alias(f"{c}||unique"))
     row = one_row(df, exprs) if exprs else {}
-    medians = {}
-    if not direct:
-        for c in nums:
-            medians[c] = quantiles(df, c, [0.5], direct_limit=-1).first()[0]
+    medians = {c: v[0] for c, v in multi_quantiles(df, nums, [0.5]).items()}
     out = []
     for c in cols:
         if c in nums:
-            med = row[f"{c}||median"] if direct else medians[c]
+            med = medians[c]
             vals = [row[f"{c}||min"], med, row[f"{c}||max"], row[f"{c}||mean"], row[f"{c}||sd"], row[f"{c}||variance"]]
             out.append((c, "Numerical", int(row[f"{c}||missing"]), *vals, None))
         else:

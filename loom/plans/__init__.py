@@ -1,0 +1 @@
+"""Registered queries (catalog), end-to-end case-study flows (recipes) and plan inspection."""

@@ -1,0 +1,3 @@
+from .apply import FittedPrep, apply_prep, fit_prep
+
+__all__ = ["FittedPrep", "apply_prep", "fit_prep"]
