@@ -58,13 +58,16 @@ def quantiles(
     direct_limit = S.EXACT_DIRECT_ROWS if direct_limit is None else direct_limit
     x = col(column).cast("double")
     base = df.select(*([col(by).alias(_G)] if by else []), x.alias(_X))
-    n_total = base.where(F.col(_X).isNotNull()).count() if direct_limit >= 0 else direct_limit + 1
-    if n_total <= direct_limit:
+    data = base.where(F.col(_X).isNotNull())
+    by_type = df.schema[by].dataType if by else None
+    # One pass gives the per-group size and range: it decides the path and seeds the refinement.
+    groups = _group_ranges(data if by else data.withColumn(_G, F.lit(0)))
+    if sum(g["n"] for g in groups) <= direct_limit:
         aggs = [F.percentile(F.col(_X), float(p)).alias(nm) for p, nm in zip(probs, names)]
         if by:
             return base.groupBy(_G).agg(*aggs).withColumnRenamed(_G, by)
         return base.agg(*aggs)
-    return _refined(df.sparkSession, base, by, probs, names, leaf_rows, buckets, df.schema[by].dataType if by else None)
+    return _refined(df.sparkSession, base, by, probs, names, leaf_rows, buckets, by_type, groups)
 
 
 def quantile_values(df: DataFrame, column: str, probs: Sequence[float], **kw) -> list[float | None]:
@@ -73,11 +76,10 @@ def quantile_values(df: DataFrame, column: str, probs: Sequence[float], **kw) ->
     return [row[i] for i in range(len(probs))]
 
 
-def _refined(spark, base, by, probs, names, leaf_rows, buckets, by_type) -> DataFrame:
+def _refined(spark, base, by, probs, names, leaf_rows, buckets, by_type, groups) -> DataFrame:
     data = base.where(F.col(_X).isNotNull())
     if not by:
         data = data.withColumn(_G, F.lit(0))
-    groups = _group_ranges(data)
     wanted = {}
     for i, g in enumerate(groups):
         wanted[i] = sorted({r for p in probs for r in _rank_positions(g["n"], p)[:2]})
@@ -105,22 +107,29 @@ def _group_ranges(data: DataFrame) -> list:
 
 
 def kth_smallest(df: DataFrame, column: str, ranks: dict, by: str | None = None,
-                 leaf_rows: int = 100_000, buckets: int = 4096) -> dict:
+                 leaf_rows: int = 100_000, buckets: int = 4096, sizes: dict | None = None,
+                 domain: tuple | None = None) -> dict:
     """Exact k-th smallest values of a numeric column (NULLs ignored).
 
     ``ranks`` maps a group value (``None`` key when ungrouped) to a list of
-    1-based ranks.  Returns ``{(group, rank): value}``.
+    1-based ranks.  Returns ``{(group, rank): value}``.  When the caller already
+    knows the non-NULL count per group (``sizes``) and a value range containing
+    every value (``domain``, e.g. the range of a hash), the sizing pass is skipped.
     """
     spark = df.sparkSession
     base = df.select(*([col(by).alias(_G)] if by else [F.lit(0).alias(_G)]), col(column).cast("double").alias(_X))
     data = base.where(F.col(_X).isNotNull())
     by_type = df.schema[by].dataType if by else None
-    groups = _group_ranges(data)
+    if sizes is not None and domain is not None:
+        groups = [{_G: (g if by else 0), "n": n, "lo": float(domain[0]), "hi": float(domain[1])}
+                  for g, n in sizes.items() if n > 0]
+    else:
+        groups = _group_ranges(data)
     index = {(g[_G] if by else None): i for i, g in enumerate(groups)}
     wanted = {index[gv]: sorted(set(rs)) for gv, rs in ranks.items() if gv in index and rs}
     values = _order_stats(spark, data, by_type, groups, wanted, leaf_rows, buckets)
     rev = {i: gv for gv, i in index.items()}
-    return {(rev[i], r): v for (i, r), v in values.items()}
+    return {(rev[i], r): v for (i, r), v in values.items() if r <= groups[i]["n"]}
 
 
 def _order_stats(spark, data, by_type, groups, wanted: dict, leaf_rows: int, buckets: int) -> dict:

@@ -48,15 +48,19 @@ def _group_literal_case(by: str | None, groups: list, make: callable) -> Column:
     return expr
 
 
-def hash_threshold_filter(df: DataFrame, key: str, k_by_group: dict, by: str | None = None) -> Column:
+def hash_threshold_filter(df: DataFrame, key: str, k_by_group: dict, by: str | None = None,
+                          sizes: dict | None = None) -> Column:
     """Boolean column: row is among the first k (per group) of the (hash, key) order.
 
     ``df`` must carry ``with_hash`` columns.  ``k_by_group`` maps group value
     (``None`` when ungrouped) to k.  Groups missing from the map keep no row;
-    k >= group size keeps every row.
+    k >= group size keeps every row.  ``sizes`` (rows per group, if the caller
+    counted them) lets the search start from the known hash range without a pass.
     """
-    ranks = {g: [k] for g, k in k_by_group.items() if k > 0}
-    found = kth_smallest(df, HNUM, ranks, by=by) if ranks else {}
+    sizes = None if sizes is None else {g: n for g, n in sizes.items()}
+    ranks = {g: [k] for g, k in k_by_group.items() if k > 0 and (sizes is None or k <= sizes.get(g, 0))}
+    found = kth_smallest(df, HNUM, ranks, by=by, sizes=sizes, domain=(0.0, float(2 ** 52 - 1))
+                         if sizes is not None else None) if ranks else {}
     if len(ranks) > S.MAX_LEVELS:
         raise ValueError(f"more than {S.MAX_LEVELS} groups")
     thresholds = {g: None for g, k in k_by_group.items() if k > 0 and (g, k) not in found}  # k >= size: keep all

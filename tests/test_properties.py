@@ -61,7 +61,7 @@ def test_holdout_refinement_path_matches_window(spark, events):
     df = with_hash(events.select("event_id"), 11, "event_id")
     k = 333
     orig = Q.kth_smallest.__defaults__
-    Q.kth_smallest.__defaults__ = (None, 50, 8)  # by, leaf_rows, buckets
+    Q.kth_smallest.__defaults__ = (None, 50, 8, None, None)  # by, leaf_rows, buckets, sizes, domain
     try:
         keep = hash_threshold_filter(df, "event_id", {None: k})
         got = {r[0] for r in df.where(keep).select("event_id").collect()}
