@@ -133,7 +133,7 @@ def value_dictionary(df: DataFrame, column: str, code_col: str = "code") -> tupl
     if n <= S.BROADCAST_ROWS:
         ranked = distinct.withColumn(code_col, F.row_number().over(Window.orderBy(col(column))).cast("long"))
         return ranked, n
-    parts = max(2, min(100_000, n // 1_000_000 + 1)) * 4
+    parts = min(S.BROADCAST_ROWS, max(8, 4 * (n // 1_000_000 + 1)))  # offsets table is broadcast below
     ranged = (distinct.repartitionByRange(parts, col(column)).sortWithinPartitions(col(column))
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__mid", F.monotonically_increasing_id()))

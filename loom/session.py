@@ -41,8 +41,9 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "loom"
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is respected as is.
-    Only when it is unset (tests, local runs) a fresh scratch folder is used.
+    On a cluster that setting points at shared storage and is respected as is
+    (unset on a cluster is an error).  Only in local mode (tests, the bench) an
+    unset setting is filled with a fresh scratch folder.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -53,6 +54,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder on shared storage; "
+                         "checkpoints must survive the loss of an executor")
     path = tempfile.mkdtemp(prefix="loom-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
