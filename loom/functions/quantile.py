@@ -167,8 +167,8 @@ def _order_stats(spark, data, by_type, groups, wanted: dict, leaf_rows: int, buc
 def _range_frame(spark, data, by_type, ranges: dict) -> DataFrame:
     """Rows of ``data`` that fall in one of the (disjoint) active ranges, tagged with rid/lo/hi."""
     rows = [(rid, g, float(lo), float(hi)) for rid, (g, lo, hi, _b, _c) in ranges.items()]
-    if len(rows) <= 64:
-        # Few ranges: literal predicates, pushed into the scan as range filters.
+    if by_type is None and len(rows) <= 64:
+        # Ungrouped: literal range predicates (pushed into the scan as range filters).
         rid = None
         lo_e = hi_e = None
         for r, g, lo, hi in rows:
