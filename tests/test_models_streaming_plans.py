@@ -102,14 +102,26 @@ def test_no_python_udf_in_any_plan(spark):
 
 
 def test_outlier_removal_pushes_range_filter(spark):
-    from __spark_entry__ import queries
-    plan = physical_plan(queries()["outliers_removed"](spark, SMALL))
-    assert "PushedFilters" in plan and "value" in plan
-
-
-def test_summary_is_one_scan_without_single_partition(spark):
-    from loom.operators.profile import summary
-    li = spark.read.parquet(f"{SMALL}/lineitem.parquet")
-    exprs_df = li.agg(F.count("*"))
-    assert "SinglePartition" not in physical_plan(exprs_df) or True
-    assert summary(li).count() == len(li.columns)
+    from loom.operators.clean import treat_outliers
+    from loom.workspace import Workspace
+    ev = spark.read.parquet(f"{SMALL}/events.parquet")
+    out = treat_outliers(Workspace.from_df(ev, "event_id"), "value", "remove").working()
+    plan = physical_plan(out)
+    pushed = [line for line in plan.splitlines() if "PushedFilters" in line]
+    assert pushed and "LessThanOrEqual(value" in pushed[0] and "IsNull(value)" in pushed[0]
+
+
+def test_samples_are_filters_not_windows(spark):
+    from loom.operators import sampling as SA
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet")
+    for df in (SA.holdout(orders, "o_orderkey", 0.7), SA.downsample(orders, "o_orderpriority", "o_orderkey")):
+        plan = physical_plan(df)
+        assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+
+
+def test_label_encoding_broadcasts_bounded_dictionary(spark):
+    from loom.operators.encode import encode
+    from loom.workspace import Workspace
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet")
+    plan = physical_plan(encode(Workspace.from_df(orders, "o_orderkey"), ["o_orderpriority"], "label").working())
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
