@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .. import session as S
 from ..functions.quantile import multi_quantiles, quantiles
-from ..functions.stats import col, is_factor, is_numeric, is_string, lit_or_null, one_row, rounded
+from ..functions.stats import col, distinct_counts, is_factor, is_numeric, is_string, lit_or_null, one_row, rounded
 
 SUMMARY_SCHEMA = T.StructType([
     T.StructField("column", T.StringType()), T.StructField("class", T.StringType()),
@@ -62,13 +62,10 @@ def qualitative(df: DataFrame, cols=None, max_distinct: int = 10) -> DataFrame:
     values (NULL counted).  One aggregate pass over all columns.
     """
     cols = list(cols or df.columns)
-    exprs = []
-    for c in cols:
-        exprs.append((F.count_distinct(col(c)) + F.max(col(c).isNull().cast("int"))).alias(f"{c}||n"))
-    row = one_row(df, exprs)
+    counts = distinct_counts(df, cols)
     out = []
     for c in cols:
-        n = int(row[f"{c}||n"] or 0)
+        n = counts[c]
         qual = is_string(df, c) or is_factor(df, c) or (is_numeric(df, c) and n <= max_distinct)
         out.append((c, n, bool(qual)))
     schema = "column string, n_distinct long, qualitative boolean"
@@ -103,9 +100,10 @@ def summary(df: DataFrame, cols=None, formatted: bool = False, digits: int | Non
             d = x.cast("double")
             exprs += [F.min(d).alias(f"{c}||min"), F.max(d).alias(f"{c}||max"), F.avg(d).alias(f"{c}||mean"),
                       F.stddev_samp(d).alias(f"{c}||sd"), F.var_samp(d).alias(f"{c}||variance")]
-        else:
-            exprs.append((F.count_distinct(x) + F.max(x.isNull().cast("int"))).alias(f"{c}||unique"))
     row = one_row(df, exprs) if exprs else {}
+    # distinct counts separately: a distinct aggregate in the same agg would make Spark
+    # expand every row once per distinct column for all the other statistics too
+    uniques = distinct_counts(df, [c for c in cols if c not in nums])
     medians = {c: v[0] for c, v in multi_quantiles(df, nums, [0.5]).items()}
     out = []
     for c in cols:
@@ -115,7 +113,7 @@ def summary(df: DataFrame, cols=None, formatted: bool = False, digits: int | Non
             out.append((c, "Numerical", int(row[f"{c}||missing"]), *vals, None))
         else:
             out.append((c, "Categorical", int(row[f"{c}||missing"]), None, None, None, None, None, None,
-                        int(row[f"{c}||unique"] or 0)))
+                        uniques[c]))
     res = df.sparkSession.createDataFrame(out, SUMMARY_SCHEMA)
     if digits is not None:
         res = res.select(*[rounded(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
