@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.stats import col, is_factor, is_numeric, one_row
+from ..functions.stats import col, is_numeric, one_row
 from ..workspace import OSUF, Workspace
 
 NUMERIC_TEXT = r"^[0-9.-]+$"
@@ -107,12 +105,3 @@ def cat_to_num(ws: Workspace, cols) -> tuple[Workspace, list[str], list[str]]:
             mapping[p] = col(p).cast("string").try_cast("double").alias(p, metadata={})
     out = ws.df.select(*[mapping.get(x, col(x)) for x in ws.df.columns if x not in drop])
     return ws.evolve(out), converted, failed
-
-
-def factor_levels(df: DataFrame, c: str) -> list | None:
-    meta = df.schema[c].metadata or {}
-    return meta.get("levels") if is_factor(df, c) else None
-
-
-def describe_type(df: DataFrame, c: str) -> str:
-    return json.dumps({"type": df.schema[c].dataType.simpleString(), "meta": df.schema[c].metadata or {}})

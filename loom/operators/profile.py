@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import session as S
 from ..functions.quantile import multi_quantiles, quantiles
 from ..functions.stats import col, distinct_counts, is_factor, is_numeric, is_string, lit_or_null, one_row, rounded
 

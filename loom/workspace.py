@@ -22,7 +22,6 @@ import warnings
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import session as S
 from .functions.stats import col
