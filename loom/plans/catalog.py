@@ -742,3 +742,76 @@ def q_recipe_multiclass(spark, sf_dir):
 @register("recipe_binary")
 def q_recipe_binary(spark, sf_dir):
     return RC.binary_flow(spark, sf_dir)
+
+
+# More operator paths under the oracle ---------------------------------------------------
+@register("unscale_log_value", "SELECT event_id, round(exp(ln(value + 1)) - 1, 6) AS value FROM events")
+def q_unscale_log_value(spark, sf_dir):
+    ws = Workspace.from_df(table(spark, sf_dir, "events").select("event_id", "value"), key="event_id")
+    return round_doubles(SC.unscale(SC.scale(ws, ["value"], "log"), ["value"]).working())
+
+
+_EV_FENCES = """WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
+f AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+"""
+
+
+@register("outlier_points_value", _EV_FENCES + "SELECT e.* FROM events e, f WHERE e.value < f.lo OR e.value > f.hi")
+def q_outlier_points_value(spark, sf_dir):
+    return EX.outlier_points(table(spark, sf_dir, "events"), "value")
+
+
+@register("flag_outliers_value", _EV_FENCES + """
+SELECT event_id, coalesce(value < lo OR value > hi, false) AS is_outlier FROM events, f""")
+def q_flag_outliers_value(spark, sf_dir):
+    return CL.flag_outliers(table(spark, sf_dir, "events").select("event_id", "value"), "value").drop("value")
+
+
+@register("describe_event_type", WITH_EVENTS_NA + "SELECT event_type AS level, count(*) AS count FROM events_na GROUP BY 1")
+def q_describe_event_type(spark, sf_dir):
+    return P.describe_one(events_na(spark, sf_dir), "event_type")
+
+
+@register("scatter_pairs", """
+SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem
+WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL""")
+def q_scatter_pairs(spark, sf_dir):
+    return EX.scatter(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+_EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@register("onehot_event_type_na", WITH_EVENTS_NA + "SELECT event_id, " + ", ".join(
+    f"CASE WHEN event_type = '{t}' THEN 1.0 ELSE 0.0 END::DOUBLE AS event_type_{t}" for t in _EVENT_TYPES)
+    + " FROM events_na")
+def q_onehot_event_type_na(spark, sf_dir):
+    ws = Workspace.from_df(events_na(spark, sf_dir).select("event_id", "event_type"), key="event_id")
+    return EN.encode(ws, ["event_type"], "onehot").working()
+
+
+@register("label_encode_event_type_na", WITH_EVENTS_NA + """
+SELECT event_id, CASE WHEN event_type IS NULL THEN NULL
+                      ELSE dense_rank() OVER (ORDER BY event_type NULLS LAST) END AS event_type FROM events_na""")
+def q_label_encode_event_type_na(spark, sf_dir):
+    ws = Workspace.from_df(events_na(spark, sf_dir).select("event_id", "event_type"), key="event_id")
+    return EN.encode(ws, ["event_type"], "label").working()
+
+
+@register("cat_to_num_restore_size", "SELECT p_partkey, p_size FROM part")
+def q_cat_to_num_restore_size(spark, sf_dir):
+    ws = Workspace.from_df(table(spark, sf_dir, "part").select("p_partkey", "p_size"), key="p_partkey")
+    ws, _converted, _failed = CV.cat_to_num(CV.num_to_cat(ws, ["p_size"]), ["p_size"])
+    return ws.working()
+
+
+@register("hist_value_binwidth", """
+WITH s AS (SELECT min(value) AS lo, max(value) AS hi, CAST(ceil((max(value) - min(value)) / 50.0) AS BIGINT) AS nb
+           FROM events),
+b AS (SELECT least(floor((value - lo) / 50.0), nb - 1)::BIGINT AS bin FROM events, s WHERE value IS NOT NULL),
+c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin),
+g AS (SELECT unnest(range(0, nb)) AS bin FROM s)
+SELECT g.bin, round(s.lo + g.bin * 50.0, 6) AS lower, round(s.lo + (g.bin + 1) * 50.0, 6) AS upper,
+       coalesce(c.n, 0)::BIGINT AS count FROM g CROSS JOIN s LEFT JOIN c ON c.bin = g.bin""")
+def q_hist_value_binwidth(spark, sf_dir):
+    return round_doubles(EX.histogram(table(spark, sf_dir, "events"), "value", binwidth=50.0))
