@@ -121,11 +121,14 @@ def summary(df: DataFrame, cols=None, formatted: bool = False, digits: int | Non
 
 
 def _num_text(c, three: bool = False):
+    """Number as the reference displays it; "-" when not applicable (format_string prints NULL as "null")."""
     if three:
-        return F.coalesce(F.format_string("%.3f", c), F.lit("-"))
-    # R prints up to 7 significant digits and drops trailing zeros.
-    txt = F.regexp_replace(F.regexp_replace(F.format_string("%.7g", c), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
-    return F.coalesce(txt, F.lit("-"))
+        txt = F.format_string("%.3f", c)
+    else:
+        # R prints up to 7 significant digits and drops trailing zeros.
+        txt = F.regexp_replace(F.regexp_replace(F.format_string("%.7g", c), r"(\.\d*?)0+(e|$)", "$1$2"),
+                               r"\.(e|$)", "$1")
+    return F.when(c.isNull(), F.lit("-")).otherwise(txt)
 
 
 def _format_summary(res: DataFrame) -> DataFrame:

@@ -143,3 +143,12 @@ def test_unknown_file_type():
     with pytest.raises(ValueError):
         file_format("data.txt")
     assert file_format("a/b.CSV") == "csv"
+
+
+def test_formatted_summary_matches_display_format(spark):
+    df = frame(spark, [(13.4, "a"), (29.0, "b"), (58.6, None)], "x double, s string")
+    rows = {r["Column"]: r for r in P.summary(df, formatted=True).collect()}
+    x, s = rows["x"], rows["s"]
+    assert (x["Class"], x["Missing"], x["Min"], x["Median"], x["Max"]) == ("Numerical", "0", "13.4", "29", "58.6")
+    assert x["Mean"] == "33.667" and x["Unique_Values"] == "-"
+    assert (s["Class"], s["Missing"], s["Min"], s["Mean"], s["Unique_Values"]) == ("Categorical", "1", "-", "-", "3")
