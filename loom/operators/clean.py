@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantile import quantile_values
 from ..functions.stats import col, complete_rows, is_numeric, lit_or_null, one_row
+from ..fixed import IQR_FACTOR
 from ..workspace import Workspace
 
 METHODS = ("drop", "mode", "median", "mean")
@@ -85,7 +86,7 @@ def iqr_bounds(df: DataFrame, c: str) -> dict:
     if q1 is None:
         return {"q1": None, "q3": None, "iqr": None, "lower": None, "upper": None}
     iqr = q3 - q1
-    return {"q1": q1, "q3": q3, "iqr": iqr, "lower": q1 - 1.5 * iqr, "upper": q3 + 1.5 * iqr}
+    return {"q1": q1, "q3": q3, "iqr": iqr, "lower": q1 - IQR_FACTOR * iqr, "upper": q3 + IQR_FACTOR * iqr}
 
 
 def iqr_bounds_frame(df: DataFrame, c: str) -> DataFrame:

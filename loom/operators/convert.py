@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.stats import col, is_numeric, one_row
+from ..fixed import NUMERIC_TEXT
 from ..workspace import OSUF, Workspace
 
-NUMERIC_TEXT = r"^[0-9.-]+$"
 
 
 # C1 -----------------------------------------------------------------------------------

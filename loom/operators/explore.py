@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from .. import session as S
 from ..functions.quantile import quantile_values, quantiles
 from ..functions.stats import col, complete_rows, guarded_corr, is_factor, is_numeric, is_string, one_row, rounded
+from ..fixed import HIST_BINS, IQR_FACTOR, QUALITATIVE_MAX_DISTINCT, STAT_DECIMALS
 from .profile import is_qualitative
 
 MAX_CELLS = 1_000_000
@@ -31,7 +32,7 @@ def _categorical(df: DataFrame, c: str) -> bool:
 
 
 # A1 -----------------------------------------------------------------------------------
-def histogram(df: DataFrame, c: str, bins: int = 10, binwidth: float | None = None) -> DataFrame:
+def histogram(df: DataFrame, c: str, bins: int = HIST_BINS, binwidth: float | None = None) -> DataFrame:
     """Equal-width bins from min to max (last bin closed); empty bins are kept.
 
     ``binwidth`` (the UI's bin-width control) overrides ``bins``.
@@ -83,7 +84,7 @@ def box_stats(df: DataFrame, c: str, by: str | None = None) -> DataFrame:
         schema = ("q1 double, median double, q3 double, lower_fence double, upper_fence double, "
                   "lower_whisker double, upper_whisker double, n_outliers long")
         return df.sparkSession.createDataFrame([(None,) * 7 + (0,)], schema)
-    lf, uf = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    lf, uf = q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1)
     return df.agg(
         F.min(F.when(x >= F.lit(lf), x)).alias("lower_whisker"),
         F.max(F.when(x <= F.lit(uf), x)).alias("upper_whisker"),
@@ -98,7 +99,7 @@ def outlier_points(df: DataFrame, c: str) -> DataFrame:
     q1, q3 = quantile_values(df, c, [0.25, 0.75])
     if q1 is None:
         return df.limit(0)
-    lf, uf = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    lf, uf = q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1)
     x = col(c)
     return df.where((x < F.lit(lf)) | (x > F.lit(uf)))
 
@@ -106,8 +107,8 @@ def outlier_points(df: DataFrame, c: str) -> DataFrame:
 def _box_by(df: DataFrame, c: str, by: str) -> DataFrame:
     qs = quantiles(df, c, [0.25, 0.5, 0.75], by=by, names=["q1", "median", "q3"])
     fences = qs.select(col(by).alias("__lvl"), "q1", "median", "q3",
-                       (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_fence"),
-                       (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper_fence"))
+                       (F.col("q1") - IQR_FACTOR * (F.col("q3") - F.col("q1"))).alias("lower_fence"),
+                       (F.col("q3") + IQR_FACTOR * (F.col("q3") - F.col("q1"))).alias("upper_fence"))
     n_levels = fences.count()
     if n_levels > S.MAX_LEVELS:
         raise ValueError(f"{by!r} has more than {S.MAX_LEVELS} levels")
@@ -123,7 +124,7 @@ def _box_by(df: DataFrame, c: str, by: str) -> DataFrame:
 
 
 # A4 -----------------------------------------------------------------------------------
-def category_shares(df: DataFrame, c: str, max_distinct: int = 10) -> DataFrame:
+def category_shares(df: DataFrame, c: str, max_distinct: int = QUALITATIVE_MAX_DISTINCT) -> DataFrame:
     """Pie data: count and share per level (NULL excluded); needs a qualitative column (P3)."""
     if not is_qualitative(df, c, max_distinct):
         raise ValueError(f"{c!r} is not qualitative (string, factor or <= {max_distinct} distinct values)")
@@ -169,7 +170,7 @@ def regression_line(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 # B3 -----------------------------------------------------------------------------------
-def pearson(df: DataFrame, x: str, y: str, digits: int | None = 3) -> DataFrame:
+def pearson(df: DataFrame, x: str, y: str, digits: int | None = STAT_DECIMALS) -> DataFrame:
     _require_numeric(df, x)
     _require_numeric(df, y)
     return df.agg(rounded(guarded_corr(col(x), col(y)), digits).alias("r"))
@@ -198,7 +199,7 @@ def corr_matrix(df: DataFrame, cols=None, digits: int | None = None) -> DataFram
 
 
 # B5 -----------------------------------------------------------------------------------
-def correlation_ratio(df: DataFrame, x: str, y: str, digits: int | None = 3) -> DataFrame:
+def correlation_ratio(df: DataFrame, x: str, y: str, digits: int | None = STAT_DECIMALS) -> DataFrame:
     """eta = sqrt(s2_E / s2_y), categorical x, numeric y.
 
     s2_E = sum_l n_l (mean_l - mean)^2 / N, where n_l and N count all rows
@@ -270,7 +271,7 @@ def column_profiles(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 # B9 -----------------------------------------------------------------------------------
-def cramers_v(df: DataFrame, x: str, y: str, digits: int | None = 3) -> DataFrame:
+def cramers_v(df: DataFrame, x: str, y: str, digits: int | None = STAT_DECIMALS) -> DataFrame:
     """Cramer's V without continuity correction; NULL when a side has one level."""
     cells = contingency(df, x, y)
     wx, wy = Window.partitionBy(col(x)), Window.partitionBy(col(y))

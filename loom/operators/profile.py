@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..fixed import PAGE_SIZE, QUALITATIVE_MAX_DISTINCT, SUMMARY_DECIMALS, TARGET_DECIMALS
 from ..functions.quantile import multi_quantiles, quantiles
 from ..functions.stats import col, distinct_counts, is_factor, is_numeric, is_string, lit_or_null, one_row, rounded
 
@@ -54,7 +55,7 @@ def file_details(df: DataFrame, path: str) -> DataFrame:
 
 
 # P3 ---------------------------------------------------------------------------------
-def qualitative(df: DataFrame, cols=None, max_distinct: int = 10) -> DataFrame:
+def qualitative(df: DataFrame, cols=None, max_distinct: int = QUALITATIVE_MAX_DISTINCT) -> DataFrame:
     """Per column: distinct values counting NULL as one, and the "qualitative" flag.
 
     Qualitative = string/factor, or numeric with at most ``max_distinct`` distinct
@@ -71,7 +72,7 @@ def qualitative(df: DataFrame, cols=None, max_distinct: int = 10) -> DataFrame:
     return df.sparkSession.createDataFrame(out, schema)
 
 
-def is_qualitative(df: DataFrame, c: str, max_distinct: int = 10) -> bool:
+def is_qualitative(df: DataFrame, c: str, max_distinct: int = QUALITATIVE_MAX_DISTINCT) -> bool:
     if is_string(df, c) or is_factor(df, c):
         return True
     if not is_numeric(df, c):
@@ -123,7 +124,7 @@ def summary(df: DataFrame, cols=None, formatted: bool = False, digits: int | Non
 def _num_text(c, three: bool = False):
     """Number as the reference displays it; "-" when not applicable (format_string prints NULL as "null")."""
     if three:
-        txt = F.format_string("%.3f", c)
+        txt = F.format_string(f"%.{SUMMARY_DECIMALS}f", c)
     else:
         # R prints up to 7 significant digits and drops trailing zeros.
         txt = F.regexp_replace(F.regexp_replace(F.format_string("%.7g", c), r"(\.\d*?)0+(e|$)", "$1$2"),
@@ -164,7 +165,7 @@ def describe_one(df: DataFrame, c: str, digits: int | None = None) -> DataFrame:
 
 
 # P7 ---------------------------------------------------------------------------------
-def target_summary(df: DataFrame, c: str, digits: int | None = 2) -> DataFrame:
+def target_summary(df: DataFrame, c: str, digits: int | None = TARGET_DECIMALS) -> DataFrame:
     """Mean, Median, Min, Max, Range, Variance, SD, N (non-missing) as (metric, value) rows."""
     d = col(c).cast("double")
     med = quantiles(df, c, [0.5], names=["median"]).first()[0]
@@ -200,7 +201,7 @@ def audit(ws) -> DataFrame:
 
 # S6 ---------------------------------------------------------------------------------
 def browse(df: DataFrame, search: str | None = None, order_by=None, descending: bool = False,
-           page: int = 1, page_size: int = 10, key: str | None = None) -> DataFrame:
+           page: int = 1, page_size: int = PAGE_SIZE, key: str | None = None) -> DataFrame:
     """Search (case-insensitive substring over all cells), sort, page.
 
     Paging is the feature here; the sort is a top-k (TakeOrderedAndProject), so
