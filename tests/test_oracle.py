@@ -31,3 +31,15 @@ def test_entry_runs(spark):
 def test_every_query_has_oracle_or_is_a_flow():
     missing = [n for n in queries() if n not in SQL]
     assert all(n.startswith("recipe_") for n in missing), missing
+
+
+@pytest.mark.parametrize("name", ["holdout_events", "downsample_priority", "upsample_status", "box_by_event_type",
+                                  "label_encode_priority", "roc_points_rule"])
+def test_results_do_not_depend_on_shuffle_partitions(spark, con, name):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        ok, msg = compare(spark, name, SMALL, queries(), SQL, con=con)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert ok, msg
