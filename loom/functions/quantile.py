@@ -108,7 +108,7 @@ def _group_ranges(data: DataFrame) -> list:
 
 def kth_smallest(df: DataFrame, column: str, ranks: dict, by: str | None = None,
                  leaf_rows: int = 100_000, buckets: int = 4096, sizes: dict | None = None,
-                 domain: tuple | None = None) -> dict:
+                 domain: tuple | None = None, with_counts: bool = False) -> dict:
     """Exact k-th smallest values of a numeric column (NULLs ignored).
 
     ``ranks`` maps a group value (``None`` key when ungrouped) to a list of
@@ -127,13 +127,20 @@ def kth_smallest(df: DataFrame, column: str, ranks: dict, by: str | None = None,
         groups = _group_ranges(data)
     index = {(g[_G] if by else None): i for i, g in enumerate(groups)}
     wanted = {index[gv]: sorted(set(rs)) for gv, rs in ranks.items() if gv in index and rs}
-    values = _order_stats(spark, data, by_type, groups, wanted, leaf_rows, buckets)
+    info: dict = {}
+    values = _order_stats(spark, data, by_type, groups, wanted, leaf_rows, buckets, info)
     rev = {i: gv for gv, i in index.items()}
+    if with_counts:  # value, rows strictly below it, rows equal to it
+        return {(rev[i], r): (v, *info[(i, r)]) for (i, r), v in values.items() if r <= groups[i]["n"]}
     return {(rev[i], r): v for (i, r), v in values.items() if r <= groups[i]["n"]}
 
 
-def _order_stats(spark, data, by_type, groups, wanted: dict, leaf_rows: int, buckets: int) -> dict:
-    """Resolve {(group index, rank): value} by bucket refinement."""
+def _order_stats(spark, data, by_type, groups, wanted: dict, leaf_rows: int, buckets: int,
+                 info: dict | None = None) -> dict:
+    """Resolve {(group index, rank): value} by bucket refinement.
+
+    ``info`` (optional) receives {(group index, rank): (rows below the value, rows equal to it)}.
+    """
     ranges: dict[int, tuple] = {}
     targets: dict[tuple, int] = {}
     for i, g in enumerate(groups):
@@ -151,12 +158,14 @@ def _order_stats(spark, data, by_type, groups, wanted: dict, leaf_rows: int, buc
                 for (gi, r), trid in targets.items():
                     if trid == rid:
                         values[(gi, r)] = lo
+                        if info is not None:
+                            info[(gi, r)] = (below, cnt)
             elif cnt <= leaf_rows:
                 leaf[rid] = ranges[rid]
             else:
                 split[rid] = ranges[rid]
         if leaf:
-            _resolve_leaves(spark, data, by_type, leaf, targets, values)
+            _resolve_leaves(spark, data, by_type, leaf, targets, values, info)
         if not split:
             break
         ranges = _split_level(spark, data, by_type, split, targets, per_level_buckets)
@@ -225,7 +234,7 @@ def _split_level(spark, data, by_type, split: dict, targets: dict, nb: int) -> d
     return {compact[old]: v for old, v in new_ranges.items()}
 
 
-def _resolve_leaves(spark, data, by_type, leaf: dict, targets: dict, values: dict) -> None:
+def _resolve_leaves(spark, data, by_type, leaf: dict, targets: dict, values: dict, info: dict | None = None) -> None:
     framed = _range_frame(spark, data, by_type, leaf)
     counts = framed.groupBy("rid", _X).agg(F.count("*").alias("cnt"))
     w = Window.partitionBy("rid").orderBy(_X).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -234,11 +243,14 @@ def _resolve_leaves(spark, data, by_type, leaf: dict, targets: dict, values: dic
     want = spark.createDataFrame(want_rows, "rid int, k long")
     hits = (counts.join(F.broadcast(want), "rid")
             .where((F.col("cum") - F.col("cnt") < F.col("k")) & (F.col("k") <= F.col("cum")))
-            .select("rid", "k", _X).collect())
-    found = {(h["rid"], h["k"]): h[_X] for h in hits}
+            .select("rid", "k", _X, "cum", "cnt").collect())
+    found = {(h["rid"], h["k"]): h for h in hits}
     for (gi, r), rid in targets.items():
         if rid in leaf:
-            values[(gi, r)] = found[(rid, r - leaf[rid][3])]
+            h = found[(rid, r - leaf[rid][3])]
+            values[(gi, r)] = h[_X]
+            if info is not None:
+                info[(gi, r)] = (leaf[rid][3] + h["cum"] - h["cnt"], h["cnt"])
 
 
 def multi_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> dict:

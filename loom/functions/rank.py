@@ -60,14 +60,21 @@ def hash_threshold_filter(df: DataFrame, key: str, k_by_group: dict, by: str | N
     sizes = None if sizes is None else {g: n for g, n in sizes.items()}
     ranks = {g: [k] for g, k in k_by_group.items() if k > 0 and (sizes is None or k <= sizes.get(g, 0))}
     found = kth_smallest(df, HNUM, ranks, by=by, sizes=sizes, domain=(0.0, float(2 ** 52 - 1))
-                         if sizes is not None else None) if ranks else {}
+                         if sizes is not None else None, with_counts=True) if ranks else {}
     if len(ranks) > S.MAX_LEVELS:
         raise ValueError(f"more than {S.MAX_LEVELS} groups")
     thresholds = {g: None for g, k in k_by_group.items() if k > 0 and (g, k) not in found}  # k >= size: keep all
-    values = {g: found[(g, k)] for g, k in k_by_group.items() if k > 0 and (g, k) in found}
+    values = {}
+    for g, k in k_by_group.items():
+        if k > 0 and (g, k) in found:
+            v, n_below, n_equal = found[(g, k)]
+            if n_equal == 1:
+                thresholds[g] = (v, None, None)  # the k-th row alone holds this prefix: keep prefix <= v
+            else:
+                values[g] = v
     if values:
-        # One pass for every group: rows strictly below the prefix value, and the (few)
-        # rows sharing it, which are ordered by the full hash and the key.
+        # Rare: several rows share the 52-bit prefix at the threshold.  One pass for all
+        # such groups: rows strictly below it and the tied rows, ordered by full hash, key.
         v_of = _group_literal_case(by, list(values), lambda g: F.lit(values[g]))
         grp = [col(by).alias("__g")] if by else [F.lit(None).alias("__g")]
         below = {r["__g"]: r["n"] for r in df.where(F.col(HNUM) < v_of).groupBy(*grp).agg(F.count("*").alias("n"))
@@ -89,6 +96,8 @@ def hash_threshold_filter(df: DataFrame, key: str, k_by_group: dict, by: str | N
         if th is None:
             return F.lit(True)
         v, h, kv = th
+        if h is None:
+            return F.col(HNUM) <= F.lit(v)
         return (F.col(HNUM) < F.lit(v)) | ((F.col(HNUM) == F.lit(v)) & (
             (F.col(HASH) < F.lit(h)) | ((F.col(HASH) == F.lit(h)) & (col(key) <= F.lit(kv)))))
 

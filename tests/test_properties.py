@@ -61,7 +61,7 @@ def test_holdout_refinement_path_matches_window(spark, events):
     df = with_hash(events.select("event_id"), 11, "event_id")
     k = 333
     orig = Q.kth_smallest.__defaults__
-    Q.kth_smallest.__defaults__ = (None, 50, 8, None, None)  # by, leaf_rows, buckets, sizes, domain
+    Q.kth_smallest.__defaults__ = (None, 50, 8, None, None, False)  # by, leaf, buckets, sizes, domain, counts
     try:
         keep = hash_threshold_filter(df, "event_id", {None: k})
         got = {r[0] for r in df.where(keep).select("event_id").collect()}
@@ -162,3 +162,21 @@ def test_quantile_refinement_matches_direct(spark, events):
     gb = sorted(quantiles(events, "value", probs, by="event_type", direct_limit=-1, leaf_rows=20, buckets=4).collect())
     for x, y in zip(ga, gb):
         assert x[0] == y[0] and list(x[1:]) == pytest.approx(list(y[1:]))
+
+
+def test_threshold_with_prefix_ties_matches_window(spark, events):
+    """Coarsen the numeric hash prefix so many rows share it: the tie path must still be exact."""
+    from pyspark.sql import Window
+    from loom.functions.rank import HASH, HNUM, hash_threshold_filter, with_hash
+    df = with_hash(events.select("event_id", "event_type"), 5, "event_id")
+    df = df.withColumn(HNUM, F.floor(F.col(HNUM) / F.lit(float(2 ** 47))).cast("double"))  # 32 prefix values
+    sizes = {r[0]: r[1] for r in df.groupBy("event_type").count().collect()}
+    k = {g: max(1, n // 3) for g, n in sizes.items()}
+    keep = hash_threshold_filter(df, "event_id", k, by="event_type", sizes=sizes)
+    got = {r[0] for r in df.where(keep).select("event_id").collect()}
+    w = Window.partitionBy("event_type").orderBy(HASH, "event_id")
+    ranked = df.withColumn("rn", F.row_number().over(w))
+    want = set()
+    for g, kk in k.items():
+        want |= {r[0] for r in ranked.where((F.col("event_type") == g) & (F.col("rn") <= kk)).select("event_id").collect()}
+    assert got == want
