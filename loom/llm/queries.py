@@ -17,6 +17,8 @@ from .line_dedup import line_dedup
 from .mixing import mix
 from .near_dedup import near_dedup
 from .secrets import BASE, scan_secrets
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
 
@@ -27,6 +29,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir))
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
@@ -55,6 +61,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer_path(), cache)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
@@ -87,7 +97,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_token_counts, op6_mixing, op7_line_dedup, op8_secrets,
+    f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_toxicity, op4_token_counts, op5_suffix_dedup, op6_mixing, op7_line_dedup, op8_secrets,
                             op9_near_dedup, op10_exact_dedup)}
 
 ORACLE: dict[str, str] = {}
