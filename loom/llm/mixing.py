@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, text_of
+from .common import WORD, shuffle_width, staged, text_of
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -98,7 +98,7 @@ def dealt_slots(goal: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SL
     """One row per slot of the mix: shard, slot, source, block index, words taken from that block's start."""
     quota = _quotas(goal, block, seed)
     chunks = quota.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(
-        (F.col("slots") - 1) / F.lit(CHUNK_SLOTS))))).filter("slots > 0").repartition("source", "chunk")
+        (F.col("slots") - 1) / F.lit(CHUNK_SLOTS))))).filter("slots > 0").repartition(shuffle_width(goal.sparkSession), "source", "chunk")
     first = F.col("chunk") * CHUNK_SLOTS
     each = chunks.withColumn("j", F.explode(F.sequence(
         first, F.least(first + CHUNK_SLOTS, F.col("slots")) - 1)))
@@ -145,7 +145,8 @@ def mix_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .withColumn("at", F.greatest(F.col("start") - F.col("block") * block, F.lit(0)))
               .withColumn("upto_doc", F.least(end - F.col("block") * block, F.lit(block))))
     slots = dealt_slots(goal, block, shard_slots, seed)
-    joined = pieces.alias("p").join(slots.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))
+    # the slots come from a few rows, so the optimiser takes them for small; they grow with the mix and are never broadcast
+    joined = pieces.alias("p").join(slots.hint("merge").alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))
                                     & (F.col("p.block") == F.col("s.block")))
     last = F.least(F.col("upto_doc"), F.col("upto"))
     shift = F.col("p.block") * block - F.col("start")
