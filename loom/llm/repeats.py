@@ -126,6 +126,15 @@ def candidates(rows: DataFrame, told: DataFrame, earlier_only: bool) -> DataFram
     """
     runs = told.select("doc_id", "text_key", F.explode_outer(F.arrays_zip("anchor", "context", "lo", "hi")).alias("r")) \
         .select("doc_id", "text_key", "r.*").filter("anchor is not null")
+    per = _judged(runs, earlier_only)
+    packed = rows.select("doc_id", "text_key", "text").mapInArrow(_packed, "doc_id long, text_key long, packed binary")
+    return staged(packed.alias("t").join(per.alias("p"), same_doc("t", "p"))
+                  .select("t.doc_id", "t.text_key", "packed", "runs").dropDuplicates(["doc_id", "text_key"]),
+                  "repeat-texts")
+
+
+def _judged(runs: DataFrame, earlier_only: bool) -> DataFrame:
+    """Per document the runs that repeat as a whole or must be opened."""
     repeated = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     live = staged(runs.join(repeated, "anchor", "left_semi"), "repeat-live")
     contexts = live.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(place("lo")).alias("first"))
@@ -136,12 +145,48 @@ def candidates(rows: DataFrame, told: DataFrame, earlier_only: bool) -> DataFram
     marked = (live.join(verdict, ["anchor", "context"])
               .select("doc_id", "text_key", "lo", "hi", whole.alias("whole"),
                       (is_first & (F.col("kinds") > 1)).alias("open")).filter("whole or open").distinct())
-    per = marked.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "whole", "open")))
-                                                   .alias("runs"))
-    packed = rows.select("doc_id", "text_key", "text").mapInArrow(_packed, "doc_id long, text_key long, packed binary")
-    return staged(packed.alias("t").join(per.alias("p"), same_doc("t", "p"))
-                  .select("t.doc_id", "t.text_key", "packed", "runs").dropDuplicates(["doc_id", "text_key"]),
-                  "repeat-texts")
+    return marked.groupBy("doc_id", "text_key").agg(
+        F.sort_array(F.collect_list(F.struct("lo", "hi", "whole", "open"))).alias("runs"))
+
+
+def refined(texts: DataFrame, unit: str, width: int, grain: int, earlier_only: bool) -> DataFrame:
+    """The candidates judged once more with longer anchors, inside their open runs only (staged)."""
+    finer = texts.mapInArrow(_reopened(unit, width, grain), "doc_id long, text_key long, anchor long, context long, "
+                             "lo int, hi int")
+    per = _judged(finer, earlier_only)
+    settled = F.transform(F.filter("t.runs", lambda r: r["whole"]),
+                          lambda r: r.withField("open", F.lit(False)))
+    both = F.concat(settled, F.coalesce("p.runs", F.array().cast(texts.schema["runs"].dataType)))
+    return staged(texts.alias("t").join(per.alias("p"), same_doc("t", "p"), "left")
+                  .select("t.doc_id", "t.text_key", "packed", both.alias("runs")).filter(F.size("runs") > 0),
+                  "repeat-refined")
+
+
+def _reopened(unit: str, width: int, grain: int):
+    """Runs by longer anchors, cut to the open windows."""
+    def reopen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, (text, runs) in enumerate(unpacked(b)):
+                open_ = runs[runs[:, 3] == 1]
+                if not len(open_):
+                    continue
+                sums = prefix_sums(codes_of(text, unit)[0])
+                pieces = rolling(sums, grain)
+                marked = (pieces & HIGH) | np.arange(len(pieces), dtype=U)
+                at = spread(open_)
+                anchor = (window_minima(marked, width - grain + 1) & LOW).astype(np.int64)[at]
+                new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)])
+                lo = at[new]
+                hi = at[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])]
+                place_ = anchor[new]
+                context = mixed(spans_hash(sums, lo, hi + width) + mixed((place_ - lo).astype(U)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b.column("doc_id")[row].as_py()] * len(lo), pa.int64()),
+                     pa.array(np.full(len(lo), b.column("text_key")[row].as_py(), np.int64)),
+                     pa.array(pieces[place_].view(np.int64)), pa.array(context.view(np.int64)),
+                     pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
+                    names=["doc_id", "text_key", "anchor", "context", "lo", "hi"])
+    return reopen
 
 
 def unpacked(b: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:

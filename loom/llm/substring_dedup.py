@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import staged
 from .hashing import prefix_sums, rolling
-from .repeats import candidates, codes_of, described, place, removed, same_doc, spread, unpacked
+from .repeats import candidates, codes_of, described, place, refined, removed, same_doc, spread, unpacked
 
 WIDTH = 20
-GRAIN = 5
+GRAIN, FINER = 5, 14         # words of an anchor, at first and inside what it leaves open
 
 
 def _level(size: int, width: int, first: bool):
@@ -76,5 +76,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: doc_id, n_words, n_removed, n_spans, kept_sha256 (kept words joined by one space)."""
     rows, told = described(docs, id_col, text_col, "word", width, grain)
     texts = candidates(rows, told, earlier_only=True)
+    texts = refined(texts, "word", width, max(grain, width * FINER // WIDTH), earlier_only=True)
     out = removed(told, texts, later_starts(texts, width), "word", width)
     return out.withColumnRenamed("n_units", "n_words")

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import U, prefix_sums, rolling
-from .repeats import candidates, codes_of, described, removed, spread, unpacked
+from .repeats import candidates, codes_of, described, refined, removed, spread, unpacked
 
 WIDTH = 400
-GRAIN = 128
+GRAIN, FINER = 128, 320      # bytes of an anchor, at first and inside what it leaves open
 SIGN = U(1 << 63)
 
 
@@ -120,5 +120,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows, told = described(docs, id_col, text_col, "byte", width, grain)
     texts = candidates(rows, told, earlier_only=False)
+    texts = refined(texts, "byte", width, max(grain, width * FINER // WIDTH), earlier_only=False)
     out = removed(told, texts, repeated_starts(texts, width), "byte", width)
     return out.withColumnRenamed("n_units", "n_bytes")
