@@ -24,7 +24,7 @@ from .hashing import U, prefix_sums, rolling
 from .repeats import candidates, codes_of, described, refined, removed, spread, unpacked
 
 WIDTH = 400
-GRAIN, FINER = 128, 320      # bytes of an anchor, at first and inside what it leaves open
+GRAIN, FINER = 128, 370      # bytes of an anchor, at first and inside what it leaves open
 SIGN = U(1 << 63)
 
 
