@@ -3,12 +3,13 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from loom.plans import catalog
 from oracle import compare, duck
 
 from conftest import SMALL
 
 SQL = oracle_sql()
-NAMES = [n for n in queries() if n in SQL]
+NAMES = [n for n in catalog.QUERIES if n in SQL]
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +30,7 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle_or_is_a_flow():
-    missing = [n for n in queries() if n not in SQL]
+    missing = [n for n in catalog.QUERIES if n not in SQL]
     assert all(n.startswith("recipe_") for n in missing), missing
 
 
