@@ -40,7 +40,8 @@ CUT = KINDS | {"access": (r"(AKIA[A-Z0-9]{16,})", 1, 20), "hex": (r"([0-9a-f]{24
 def _spans(kind: str, order: int) -> Column:
     """array<struct<start, rank, end, kind, value>> of the kept matches of one kind."""
     pattern, group, least = CUT[kind]
-    pair = rf"([\s\S]*?)({pattern})"
+    # the end of the text closes the last gap: without it the search would start anew at each position of the tail
+    pair = rf"([\s\S]*?)(?:({pattern})|\z)"
     gaps, hits, values = (F.regexp_extract_all("text", F.lit(pair), F.lit(g)) for g in (1, 2, 2 + group))
     parts = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), values.alias("value"))
     # running end of the previous match, folded left to right
