@@ -67,7 +67,12 @@ def quantiles(
         if by:
             return base.groupBy(_G).agg(*aggs).withColumnRenamed(_G, by)
         return base.agg(*aggs)
-    return _refined(df.sparkSession, base, by, probs, names, leaf_rows, buckets, by_type, groups)
+    out = _refined(df.sparkSession, base, by, probs, names, leaf_rows, buckets, by_type, groups)
+    if not by:
+        return out
+    # groups whose values are all NULL have no range to refine: they come from the table itself
+    keys = base.select(_G).distinct()
+    return keys.join(out, F.col(_G).eqNullSafe(out[by]), "left").select(F.col(_G).alias(by), *names)
 
 
 def quantile_values(df: DataFrame, column: str, probs: Sequence[float], **kw) -> list[float | None]:

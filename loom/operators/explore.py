@@ -38,6 +38,8 @@ def histogram(df: DataFrame, c: str, bins: int = HIST_BINS, binwidth: float | No
     ``binwidth`` (the UI's bin-width control) overrides ``bins``.
     """
     _require_numeric(df, c)
+    if binwidth is not None and binwidth < 0:
+        raise ValueError("binwidth must be positive")
     x = col(c).cast("double")
     s = one_row(df, [F.min(x).alias("lo"), F.max(x).alias("hi")])
     lo, hi = s["lo"], s["hi"]
@@ -194,6 +196,8 @@ def corr_matrix(df: DataFrame, cols=None, digits: int | None = None) -> DataFram
         m = Correlation.corr(vec, "__v").first()[0].toArray()
         vals = [(a, b, None if math.isnan(m[i][j]) else float(m[i][j]))
                 for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
+    # a column correlates fully with itself, constant or not
+    vals = [(a, b, 1.0 if a == b else r) for a, b, r in vals]
     res = spark.createDataFrame(vals, "x string, y string, r double")
     return res.select("x", "y", rounded(F.col("r"), digits).alias("r"))
 

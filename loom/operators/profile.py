@@ -45,7 +45,8 @@ def is_text_like(df: DataFrame, name: str) -> bool:
 def file_details(df: DataFrame, path: str) -> DataFrame:
     """File name, format, rows, columns, categorical (string/factor) and numerical counts."""
     name = os.path.basename(path.rstrip("/"))
-    ext = os.path.splitext(name)[1].lstrip(".").lower()
+    name, ext = os.path.splitext(name)
+    ext = ext.lstrip(".").lower()
     n_cols = len(df.columns)
     n_cat = sum(1 for c in df.columns if is_text_like(df, c))
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(

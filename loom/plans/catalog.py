@@ -121,7 +121,7 @@ def q_browse_customer(spark, sf_dir):
 
 # P1 file details ----------------------------------------------------------------------
 @register("file_details_orders", """
-SELECT 'orders.parquet' AS file_name, 'parquet' AS file_format, count(*) AS n_rows,
+SELECT 'orders' AS file_name, 'parquet' AS file_format, count(*) AS n_rows,
        6::BIGINT AS n_columns, 2::BIGINT AS n_categorical, 4::BIGINT AS n_numerical FROM orders""")
 def q_file_details_orders(spark, sf_dir):
     path = f"{sf_dir}/orders.parquet"
@@ -541,7 +541,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus
                                    ORDER BY md5(concat('42', ':', o_orderkey::VARCHAR)), o_orderkey) AS rk FROM t),
 d0 AS (SELECT o_orderstatus, n, unnest(range(1, mx - n + 1)) AS draw FROM c, m),
 d AS (SELECT o_orderstatus, draw,
-             1 + (('0x' || substr(md5(concat('42', ':', o_orderstatus, ':', draw::VARCHAR)), 1, 8))::BIGINT % n) AS idx
+             1 + (('0x' || substr(md5(concat('42', ':', o_orderstatus, ':', draw::VARCHAR)), 1, 15))::BIGINT % n) AS idx
       FROM d0)
 SELECT o_orderkey, o_orderstatus, 0::BIGINT AS draw FROM t
 UNION ALL

@@ -51,11 +51,17 @@ def _strip_bom(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_csv(spark: SparkSession, path: str, blank_strings: str = "null") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, blank_strings: str = "null", multiline: bool = False) -> DataFrame:
+    """Doubled quotes inside quoted cells are read as one; ``multiline`` allows line breaks there (files are then not split).
+    Dates and times stay text."""
     if blank_strings not in ("null", "category"):
         raise ValueError("blank_strings must be 'null' or 'category'")
-    opts = dict(header=True, inferSchema=True, nullValue="NA", mode="PERMISSIVE", multiLine=False)
-    typed = _strip_bom(spark.read.options(**opts).csv(path))
+    quoting = dict(header=True, quote='"', escape='"', multiLine=multiline)
+    opts = dict(nullValue="NA", mode="PERMISSIVE", **quoting)
+    found = spark.read.options(inferSchema=True, **opts).csv(path).schema
+    plain = T.StructType([T.StructField(f.name, T.StringType() if isinstance(
+        f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) else f.dataType) for f in found.fields])
+    typed = _strip_bom(spark.read.options(**opts).schema(plain).csv(path))
     if blank_strings == "null":
         # A quoted "" stays an empty string in Spark: make it missing too.
         return typed.select(*[
@@ -64,7 +70,7 @@ def read_csv(spark: SparkSession, path: str, blank_strings: str = "null") -> Dat
         ])
     # Blank strings as a category: read as text without nullValue (NA stays text,
     # blank is NULL), then map blank -> '' and 'NA' -> NULL and cast the rest.
-    text = _strip_bom(spark.read.options(header=True, inferSchema=False).csv(path))
+    text = _strip_bom(spark.read.options(inferSchema=False, **quoting).csv(path))
     cols = []
     for f, tcol in zip(typed.schema.fields, text.columns):
         c = col(tcol)
