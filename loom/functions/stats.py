@@ -105,7 +105,7 @@ def distinct_counts(df: DataFrame, cols) -> dict:
     """Exact distinct values per column, NULL counted as one value (R's ``length(unique(x))``).
 
     All columns in one job: each row is stacked into (column, value) pairs held in
-    a typed slot (integral, floating, other-as-text), distinct pairs are found with
+    a typed slot (integral, floating, others and decimals as text), distinct pairs are found with
     partial aggregation, then counted per column.
     """
     cols = list(cols)
@@ -115,9 +115,9 @@ def distinct_counts(df: DataFrame, cols) -> dict:
     for i, c in enumerate(cols):
         t = df.schema[c].dataType
         li = col(c).cast("long") if isinstance(t, INTEGRAL_TYPES) else F.lit(None).cast("long")
-        db = col(c).cast("double") if isinstance(t, FLOAT_TYPES + (T.DecimalType,)) else F.lit(None).cast("double")
-        tx = (col(c).cast("string") if not isinstance(t, INTEGRAL_TYPES + FLOAT_TYPES + (T.DecimalType,))
-              else F.lit(None).cast("string"))
+        db = col(c).cast("double") if isinstance(t, FLOAT_TYPES) else F.lit(None).cast("double")
+        # decimals go as text: a column has one scale, and double would merge values beyond 2^53
+        tx = col(c).cast("string") if not isinstance(t, INTEGRAL_TYPES + FLOAT_TYPES) else F.lit(None).cast("string")
         structs.append(F.struct(F.lit(i).alias("g"), li.alias("l"), db.alias("d"), tx.alias("s")))
     pairs = df.select(F.explode(F.array(*structs)).alias("v")).select("v.*").distinct()
     rows = pairs.groupBy("g").count().collect()  # one row per column

@@ -62,6 +62,11 @@ def impute(ws: Workspace, column: str, method: str) -> Workspace:
     else:
         raw_type = ws.df.schema[column].dataType.simpleString()
         work_type = ws.df.schema[ws.wcol(column)].dataType.simpleString() if column in ws.work else raw_type
+    if method == "mode" and "encoded" in ws.tags.get(column, ()) and column in ws.work and not ws.shared(column):
+        # the working copy holds codes: fill it with the code that stands beside the mode
+        code = one_row(ws.df, [F.min(F.when(raw == F.lit(value), col(ws.wcol(column)))).alias("code")])["code"]
+        return ws.apply(raw={column: lambda x: F.coalesce(x, F.lit(value).cast(raw_type))},
+                        work={column: lambda x: F.coalesce(x, F.lit(code).cast(work_type))})
     if column in ws.work:
         ws.warn_if_transformed(column, "imputation")
     if ws.shared(column) or column not in ws.work or raw_type == work_type:

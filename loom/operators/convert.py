@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.stats import col, is_numeric, one_row
 from ..fixed import NUMERIC_TEXT
@@ -70,11 +71,20 @@ def num_to_cat(ws: Workspace, cols) -> Workspace:
     return ws.evolve(out)
 
 
+def _restored(df, p: str) -> Column:
+    """The kept original of an untouched value, the number in a changed one; codes of an encoder give the original."""
+    origin, now = df.schema[p + OSUF].dataType, df.schema[p].dataType
+    if not isinstance(now, T.StringType):
+        return col(p + OSUF)
+    return F.when(number_text(col(p + OSUF)).eqNullSafe(col(p)), col(p + OSUF)).otherwise(col(p).try_cast(origin))
+
+
 # C3 -----------------------------------------------------------------------------------
 def cat_to_num(ws: Workspace, cols) -> tuple[Workspace, list[str], list[str]]:
     """Categorical -> numeric.
 
-    Restores kept originals when present; otherwise converts only if every
+    Restores kept originals where the value is still the one they gave (a value that
+    cleaning changed since is converted); otherwise converts only if every
     non-missing working value matches ``^[0-9.-]+$`` (strings such as ``1-2``
     pass the pattern and become NULL); columns that fail are reported and left
     unchanged.  One aggregate pass checks all columns.
@@ -99,7 +109,7 @@ def cat_to_num(ws: Workspace, cols) -> tuple[Workspace, list[str], list[str]]:
     for c in restore:
         for p in _copies(ws, c):
             if p + OSUF in ws.df.columns:
-                mapping[p] = col(p + OSUF).alias(p)
+                mapping[p] = _restored(ws.df, p).alias(p)
                 drop.add(p + OSUF)
     for c in converted:
         if c in restore:

@@ -38,7 +38,7 @@ def histogram(df: DataFrame, c: str, bins: int = HIST_BINS, binwidth: float | No
     ``binwidth`` (the UI's bin-width control) overrides ``bins``.
     """
     _require_numeric(df, c)
-    if binwidth is not None and binwidth < 0:
+    if binwidth is not None and binwidth <= 0:
         raise ValueError("binwidth must be positive")
     x = col(c).cast("double")
     s = one_row(df, [F.min(x).alias("lo"), F.max(x).alias("hi")])
@@ -58,7 +58,9 @@ def histogram(df: DataFrame, c: str, bins: int = HIST_BINS, binwidth: float | No
         b = F.least(F.floor((x - F.lit(lo)) / F.lit(w)), F.lit(nb - 1)).cast("long")
     counts = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("count"))
     grid = spark.range(nb).withColumnRenamed("id", "bin")
-    return (grid.join(F.broadcast(counts), "bin", "left")  # <= nb rows on both sides
+    # at most nb rows on both sides; a tiny bin width makes nb unbounded, then the join shuffles
+    small = F.broadcast(counts) if nb <= S.BROADCAST_ROWS else counts.hint("merge")
+    return (grid.join(small, "bin", "left")
             .select("bin", (F.lit(lo) + F.col("bin") * F.lit(w)).alias("lower"),
                     (F.lit(lo) + (F.col("bin") + 1) * F.lit(w)).alias("upper"),
                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
@@ -296,8 +298,8 @@ def relate(df: DataFrame, x: str, y: str) -> dict:
     """Choose the statistics by the column types, as the exploration page does.
 
     numeric-numeric -> regression line + Pearson r; categorical-numeric ->
-    correlation ratio + parallel boxes; qualitative-qualitative -> column
-    profiles, contingency table, Cramer's V.
+    correlation ratio + parallel boxes; qualitative-qualitative -> contingency
+    table, Cramer's V; column profiles only for two text or factor columns.
     """
     xn = is_numeric(df, x) and not is_factor(df, x)
     yn = is_numeric(df, y) and not is_factor(df, y)
@@ -312,9 +314,11 @@ def relate(df: DataFrame, x: str, y: str) -> dict:
         out["box_by"] = box_stats(df, y, by=x)
     if is_qualitative(df, x) and is_qualitative(df, y):
         out.setdefault("kind", "qualitative-qualitative")
-        out["column_profiles"] = column_profiles(df, x, y)
         out["contingency"] = contingency(df, x, y)
         out["cramers_v"] = cramers_v(df, x, y)
+    if _categorical(df, x) and _categorical(df, y):
+        out.setdefault("kind", "qualitative-qualitative")
+        out["column_profiles"] = column_profiles(df, x, y)
     if "kind" not in out:
         raise ValueError(f"no statistic for the pair ({x!r}, {y!r})")
     return out

@@ -127,8 +127,8 @@ def _num_text(c, three: bool = False):
     if three:
         txt = F.format_string(f"%.{SUMMARY_DECIMALS}f", c)
     else:
-        # R prints up to 7 significant digits and drops trailing zeros.
-        txt = F.regexp_replace(F.regexp_replace(F.format_string("%.7g", c), r"(\.\d*?)0+(e|$)", "$1$2"),
+        # R turns numbers to text with up to 15 significant digits and drops trailing zeros.
+        txt = F.regexp_replace(F.regexp_replace(F.format_string("%.15g", c), r"(\.\d*?)0+(e|$)", "$1$2"),
                                r"\.(e|$)", "$1")
     return F.when(c.isNull(), F.lit("-")).otherwise(txt)
 

@@ -695,6 +695,17 @@ def q_auc_rule(spark, sf_dir):
     return round_doubles(EV.auc(pred_score(spark, sf_dir)))
 
 
+@register("auc_auto_direction", "WITH ps AS (SELECT actual, -score AS score FROM (" + PRED_SCORE_SQL + """)),
+m AS (SELECT median(score::DOUBLE) FILTER (actual = 0) > median(score::DOUBLE) FILTER (actual = 1) AS lower FROM ps),
+s AS (SELECT CASE WHEN lower THEN -score ELSE score END::DOUBLE AS score, sum(actual) AS pos, sum(1 - actual) AS neg
+      FROM ps, m GROUP BY 1),
+c AS (SELECT *, sum(neg) OVER (ORDER BY score) - neg AS below FROM s)
+SELECT round(sum(pos * (below + neg / 2.0)) / (sum(pos)::DOUBLE * sum(neg)::DOUBLE), 6) AS auc FROM c""")
+def q_auc_auto_direction(spark, sf_dir):
+    reversed_ = pred_score(spark, sf_dir).select("actual", (-F.col("score")).alias("score"))
+    return round_doubles(EV.auc(reversed_, direction="auto"))
+
+
 _AUC_MC_SQL = "WITH pp AS (" + PRED_PROBS_SQL + """),
 st AS (SELECT 'A' AS cls, CASE WHEN actual = 'A' THEN 1 ELSE 0 END AS truth, p_A AS score FROM pp
        UNION ALL SELECT 'N', CASE WHEN actual = 'N' THEN 1 ELSE 0 END, p_N FROM pp
@@ -715,6 +726,15 @@ def q_auc_multiclass_rule(spark, sf_dir):
     return EV.auc_multiclass(pred_probs(spark, sf_dir), "actual", {"A": "p_A", "N": "p_N", "R": "p_R"}, digits=6)
 
 
+@register("corr_matrix_constant_column", """
+SELECT 'one' AS x, 'one' AS y, 1.0::DOUBLE AS r
+UNION ALL SELECT 'l_quantity', 'l_quantity', 1.0::DOUBLE
+UNION ALL SELECT 'l_quantity', 'one', NULL::DOUBLE""")
+def q_corr_matrix_constant_column(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", F.lit(1.0).alias("one"))
+    return EX.corr_matrix(rows, ["l_quantity", "one"])
+
+
 # L4 / recipes -------------------------------------------------------------------------
 @register("linreg_simple", """
 SELECT 'intercept' AS term, round(regr_intercept(l_extendedprice, l_quantity), 4) AS estimate FROM lineitem

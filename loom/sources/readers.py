@@ -110,7 +110,8 @@ def add_row_key(df: DataFrame, key: str = "row_id", chunk: int = 1_000_000) -> D
     The result does not depend on partitioning.
     """
     fields = df.columns
-    h = F.md5(F.to_json(F.struct(*[col(c) for c in fields])))
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    h = F.md5(F.to_json(F.struct(*[col(c) for c in fields]), exact))
     grouped = df.groupBy(*[col(c) for c in fields]).agg(F.count("*").alias("__cnt")).withColumn("__h", h)
     chunks = grouped.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("__cnt") - 1) / chunk))))
     chunks = chunks.repartition(col("__h"), col("__chunk"))

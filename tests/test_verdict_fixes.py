@@ -2,11 +2,21 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from loom.functions.quantile import quantiles
+from loom.functions.stats import distinct_counts
+from loom.operators import evaluate as V
 from loom.operators import explore as E
-from loom.operators.convert import number_text
-from loom.sources.readers import read_csv
+from loom.operators.clean import impute
+from loom.operators.convert import cat_to_num, num_to_cat, number_text
+from loom.operators.encode import encode
+from loom.operators.profile import summary
+from loom.operators.sampling import select_target
+from loom.plans.inspect import physical_plan
+from loom.sources.readers import add_row_key, read_csv
 from loom.sources.writers import save_table_csv
+from loom.workspace import Workspace
 
 
 def test_all_null_group_on_both_paths(spark):
@@ -47,3 +57,73 @@ def test_diagonal_is_one_for_a_constant_column(spark):
     df = spark.range(10).selectExpr("CAST(id AS double) AS a", "1.0D AS b")
     got = {(r.x, r.y): r.r for r in E.corr_matrix(df, ["a", "b"]).collect()}
     assert got == {("a", "a"): 1.0, ("b", "b"): 1.0, ("a", "b"): None}
+
+
+def test_zero_binwidth_is_refused_and_a_tiny_one_is_not_broadcast(spark):
+    df = spark.range(1000).selectExpr("CAST(id AS double) AS x")
+    with pytest.raises(ValueError):
+        E.histogram(df, "x", binwidth=0)
+    assert "Broadcast" not in physical_plan(E.histogram(df, "x", binwidth=1e-6))
+
+
+def test_restore_keeps_what_cleaning_filled(spark):
+    ws = Workspace.from_df(spark.createDataFrame([(1, 5), (2, 5), (3, 7), (4, None)], "k int, x int"))
+    ws, done, failed = cat_to_num(impute(num_to_cat(ws, "x"), "x", "mode"), "x")
+    assert (done, failed) == (["x"], [])
+    assert {r.k: r.x for r in ws.display().collect()} == {1: 5, 2: 5, 3: 7, 4: 5}
+
+
+def test_mode_of_a_label_encoded_column(spark):
+    ws = Workspace.from_df(spark.createDataFrame([(1, "b"), (2, "b"), (3, "a"), (4, None)], "k int, s string"))
+    ws = impute(encode(ws, "s", "label"), "s", "mode")
+    raw = {r.k: r.s for r in ws.display().collect()}
+    work = {r.k: r.s for r in ws.working().collect()}
+    assert raw[4] == "b" and work[4] == work[1] != work[3]
+
+
+def test_one_hot_names_are_unique(spark):
+    df = spark.createDataFrame([("a b", 1), ("a_b", 2), ("c", 3)], "s string, s_c int")
+    got = encode(Workspace.from_df(df), "s", "onehot").working()
+    assert sorted(got.columns) == ["s_a_b", "s_a_b_2", "s_c", "s_c_2"]
+    assert [r.s_c_2 for r in got.orderBy("s_c").collect()] == [0.0, 0.0, 1.0]
+
+
+def test_a_feature_called_y_is_refused_but_not_a_target(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 3.0)], "x double, y double")
+    with pytest.raises(ValueError, match="rename"):
+        select_target(Workspace.from_df(df), "x")
+    assert sorted(r.y for r in select_target(Workspace.from_df(df), "y").df.collect()) == [2.0, 3.0]
+
+
+def test_decimals_beyond_double_are_distinct(spark):
+    df = spark.sql("SELECT CAST(v AS decimal(20, 1)) AS d FROM VALUES ('9007199254740993.1'), ('9007199254740993.2') AS t(v)")
+    assert distinct_counts(df, ["d"]) == {"d": 2}
+
+
+def test_formatted_summary_keeps_fifteen_digits(spark):
+    row = summary(spark.createDataFrame([(123456789.5,), (5.0,), (0.25,)], "x double"), formatted=True).first()
+    assert (row.Max, row.Median, row.Min) == ("123456789.5", "5", "0.25")
+
+
+def test_row_key_tells_microseconds_apart(spark):
+    df = spark.sql("SELECT timestamp_micros(id * 100) AS t, timestamp_ntz '2024-01-01 00:00:00' AS u FROM range(2)")
+    assert add_row_key(df).select("row_id").distinct().count() == 2
+
+
+def test_profiles_only_for_two_text_columns(spark):
+    df = spark.createDataFrame([("a", 1, "u"), ("b", 2, "v")], "s string, n int, t string")
+    assert "column_profiles" not in E.relate(df, "s", "n")
+    assert "column_profiles" in E.relate(df, "s", "t")
+
+
+def test_roc_direction(spark):
+    df = spark.createDataFrame([(1, 0.1), (1, 0.3), (0, 0.2), (0, 0.9), (0, 0.8)], "actual int, score double")
+    up, auto = V.auc(df).first().auc, V.auc(df, direction="auto").first().auc
+    assert auto == pytest.approx(1 - up) and auto == pytest.approx(5 / 6)
+    assert V.auc(df.withColumn("score", -F.col("score")), direction="auto").first().auc == pytest.approx(auto)
+    per = V.auc_per_class(df.withColumn("s2", -F.col("score")), "actual", {1: "score", 0: "s2"}, direction="auto")
+    assert [r.auc for r in per.collect()] == pytest.approx([auto, auto])
+    points = V.roc_curve(df, direction="auto").orderBy("fpr", "tpr").collect()
+    assert points[0].threshold == float("-inf") and points[1].threshold == 0.1
+    with pytest.raises(ValueError):
+        V.auc(df, direction="down")
