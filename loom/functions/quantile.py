@@ -72,7 +72,7 @@ def quantiles(
         return out
     # groups whose values are all NULL have no range to refine: they come from the table itself
     keys = base.select(_G).distinct()
-    return keys.join(out, F.col(_G).eqNullSafe(out[by]), "left").select(F.col(_G).alias(by), *names)
+    return keys.join(out, F.col(_G).eqNullSafe(out[by]), "left").select(F.col(_G).alias(by), *[col(nm) for nm in names])
 
 
 def quantile_values(df: DataFrame, column: str, probs: Sequence[float], **kw) -> list[float | None]:
@@ -85,16 +85,35 @@ def _refined(spark, base, by, probs, names, leaf_rows, buckets, by_type, groups)
     data = base.where(F.col(_X).isNotNull())
     if not by:
         data = data.withColumn(_G, F.lit(0))
-    wanted = {}
-    for i, g in enumerate(groups):
-        wanted[i] = sorted({r for p in probs for r in _rank_positions(g["n"], p)[:2]})
-    values = _order_stats(spark, data, by_type, groups, wanted, leaf_rows, buckets)
+    # infinities have ranks but no range to refine: they are counted, and only finite values are refined
+    tails, finite = {}, groups
+    if any(math.isinf(v) for g in groups for v in (g["lo"], g["hi"])):
+        infinite = F.abs(F.col(_X)) == F.lit(math.inf)
+        tails = {(r[_G], r[_X]): r["n"] for r in
+                 data.where(infinite).groupBy(_G, _X).agg(F.count("*").alias("n")).collect()}
+        data = data.where(~infinite)
+        finite = _group_ranges(data)
+    place = {g[_G]: i for i, g in enumerate(finite)}
+    wanted = {i: [] for i in place.values()}
+    for g in groups:
+        below, above = tails.get((g[_G], -math.inf), 0), tails.get((g[_G], math.inf), 0)
+        ranks = sorted({r for p in probs for r in _rank_positions(g["n"], p)[:2]})
+        if g[_G] in place:
+            wanted[place[g[_G]]] = [r - below for r in ranks if below < r <= g["n"] - above]
+    values = _order_stats(spark, data, by_type, finite, {i: r for i, r in wanted.items() if r}, leaf_rows, buckets)
+
+    def at(g, rank: int) -> float:
+        below, above = tails.get((g[_G], -math.inf), 0), tails.get((g[_G], math.inf), 0)
+        if rank <= below:
+            return -math.inf
+        return math.inf if rank > g["n"] - above else values[(place[g[_G]], rank - below)]
+
     out_rows = []
-    for i, g in enumerate(groups):
+    for g in groups:
         qs = []
         for p in probs:
             r_lo, r_hi, pos = _rank_positions(g["n"], p)
-            qs.append(spark_interpolate(values[(i, r_lo)], values[(i, r_hi)], pos))
+            qs.append(spark_interpolate(at(g, r_lo), at(g, r_hi), pos))
         out_rows.append(([g[_G]] if by else []) + qs)
     fields = ([T.StructField(by, by_type, True)] if by else []) + [T.StructField(nm, T.DoubleType(), True) for nm in names]
     if not by and not out_rows:
@@ -156,7 +175,7 @@ def _order_stats(spark, data, by_type, groups, wanted: dict, leaf_rows: int, buc
             targets[(i, r)] = i
     values: dict[tuple, float] = {}
     per_level_buckets = max(16, min(buckets, (1 << 22) // max(1, len(ranges))))
-    for _level in range(64):
+    while True:      # every level parts the least from the greatest value of a range, so it ends
         leaf, split = {}, {}
         for rid, (g, lo, hi, below, cnt) in ranges.items():
             if lo == hi:

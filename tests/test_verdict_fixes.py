@@ -127,3 +127,20 @@ def test_roc_direction(spark):
     assert points[0].threshold == float("-inf") and points[1].threshold == 0.1
     with pytest.raises(ValueError):
         V.auc(df, direction="down")
+
+
+def test_quantiles_with_infinities_and_default_names_on_both_paths(spark):
+    inf = float("inf")
+    rows = [("a", float(i)) for i in range(50)] + [("a", inf), ("b", -inf), ("b", -inf), ("b", 3.0), ("c", inf), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    want = {"a": (12.5, 25.0), "b": (-inf, -inf), "c": (inf, inf), "d": (None, None)}
+    for limit in (1000, 0):
+        got = quantiles(df, "x", [0.25, 0.5], by="g", direct_limit=limit, leaf_rows=8, buckets=4)
+        assert {r["g"]: (r["q0.25"], r["q0.5"]) for r in got.collect()} == want
+        assert quantiles(df, "x", [0.5], direct_limit=limit, leaf_rows=8, buckets=4).first()[0] == 24.0
+
+
+def test_quantiles_of_log_spread_values(spark):
+    df = spark.range(-60, 60).selectExpr("pow(10D, id) AS x")
+    assert quantiles(df, "x", [0.1], direct_limit=0, leaf_rows=4, buckets=16).first()[0] == pytest.approx(
+        quantiles(df, "x", [0.1]).first()[0])
