@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import re
+import secrets
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_corpus import corpus, texts  # noqa: F401
 
@@ -12,7 +14,7 @@ from loom.llm.decontamination import contamination, decontaminate
 from loom.llm.exact_dedup import drop_copies, exact_dedup
 from loom.llm.line_dedup import line_dedup
 from loom.llm.mixing import mix, mix_blocks
-from loom.llm.near_dedup import drop_near_copies, near_dedup
+from loom.llm.near_dedup import _settle, components, drop_near_copies, near_dedup, registers, shingle_set
 from loom.llm.queries import tokenizer_path
 from loom.llm.secrets import BASE, scan_secrets
 from loom.llm.substring_dedup import substring_dedup
@@ -129,6 +131,28 @@ def test_near_dedup(corpus):
     assert drop_near_copies(df.filter("doc_id is not null")).columns == df.columns
 
 
+def test_near_dedup_forest_ignores_row_order():
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:58] + [f"x{k % 4}", f"y{k}"]).encode() for k in range(12)]
+    sets = [shingle_set(t) for t in texts]
+    rows = [{"rep": k, "label": k, "probe": probe, "sig": registers(s).tobytes(), "shingles": s.tobytes()}
+            for k, s in enumerate(sets) for probe in (False, True) if k or not probe]
+    forests = [_settle(85)(pa.Table.from_pylist([rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]))
+               for seed in range(5)]
+    assert forests[0].num_rows == len(texts) - 1
+    assert all(f.to_pylist() == forests[0].to_pylist() for f in forests)
+
+
+def test_components_of_edges_that_differ_between_evaluations(spark):
+    def fresh_tree(batches):
+        for b in batches:
+            ids = b.column("id").to_pylist()
+            yield pa.RecordBatch.from_pydict({"a": ids, "b": [secrets.randbelow(i) for i in ids]})
+
+    found = components(spark.range(1, 200).mapInArrow(fresh_tree, "a long, b long"), "test-tree")
+    assert {r["label"] for r in found.collect()} == {0}
+
+
 def test_line_dedup(corpus):
     rows, df = corpus
     lines = [(i, (t or "").split("\n")) for i, t in rows]
