@@ -2,13 +2,18 @@
 
 Texts are reduced to templates: numbers, names (capitalised words inside a sentence) and units become typed placeholders,
 case and punctuation go.  Windows of five template words of the documents are hash-joined to those of the benchmark items.
-A document that holds at least 80 % of an item's distinct windows is a candidate; its slots are then checked:
-for every placeholder of the item the aligned windows must agree on one value of the document (one value may replace
-another, but always the same one), and 80 % of the slots must be consistent.  That catches items whose numbers or names
-were replaced while the template was kept.
+A document that holds at least 80 % of an item's distinct windows is a candidate; its slots are then checked, alignment by
+alignment: a slot (a placeholder of the item) is consistent if the document has the item's own value there, or if all
+slots of that value have one other value.  An alignment that holds 80 % of the windows and 80 % consistent slots makes the
+document contaminated, whatever else it holds.  That catches items whose numbers or names were replaced while the template
+was kept, and items held more than once.
+
+Alignments of a (document, item) are its diagonals (document position minus item position), bands of diagonals as wide as
+the item (two grids, half a width apart: copies with words put in or left out) and the whole document (scattered parts).
+Where several diagonals of an alignment cover a slot, the one of most windows gives its value, then the smallest.
 
 Two passes: the first carries hashes only and finds the (document, item) candidates; the second re-reads the candidates'
-texts for the slot values.  The benchmark's windows are broadcast while there are at most ``max_broadcast`` of them (counted
+texts for positions and slot values.  The benchmark's windows are broadcast while there are at most ``max_broadcast`` of them (counted
 first); a larger benchmark is joined by shuffle.  Window hashes that the join keeps are pre-aggregated per document.
 
 Defined results: NULL or short texts (fewer words than a window) are compared by their whole template; an empty benchmark
@@ -31,18 +36,18 @@ MAX_BROADCAST = 1_000_000      # benchmark windows (16 bytes each) up to which t
 UNITS = ("mm cm m km in ft yd mi mg g kg lb oz ml l s min h hr hrs hours minutes seconds days weeks years "
          "usd eur gbp dollars euros cents percent % kb mb gb tb hz khz mhz ghz v w kw j kj c f k")
 NUMBER = r"\d+(?:[.,:/]\d+)*"
-SENTENCE_MARKS = ".!?:;"
+MARKS = "\x01\x02\x03\x04"   # number, unit, name, end of a value; in texts they count as white space
 
 
-def _words(text: Column) -> Column:
-    """Words of a text, marks included."""
-    return F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+def _unmarked(text: Column) -> Column:
+    """The text without characters that serve as marks (few texts hold one, and translate is slow)."""
+    return F.when(text.rlike(f"[{MARKS}]"), F.translate(text, MARKS, " " * len(MARKS))).otherwise(text)
 
 
 def template_text(text: Column) -> Column:
     """Whole-text canonicalisation: placeholders <N> <U> <P>, lower case, punctuation dropped; words by one space."""
     units = "|".join(u for u in UNITS.split() if u.isalpha())
-    out = F.regexp_replace(text, rf"\b{NUMBER}([\x20\x09-\x0D]*(?:%|(?:{units})\b))", "\x01\x20\x02\x20")
+    out = F.regexp_replace(_unmarked(text), rf"\b{NUMBER}([\x20\x09-\x0D]*(?:%|(?:{units})\b))", "\x01\x20\x02\x20")
     out = F.regexp_replace(out, rf"\b{NUMBER}\b", "\x01")
     out = F.regexp_replace(out, r"(?<=[^.!?:;\x20\x09-\x0D][\x20\x09-\x0D])\p{Lu}\p{Ll}[\p{L}'-]*", "\x03")
     return F.trim(F.regexp_replace(F.lower(out), r"[^\p{L}\p{Nd}\x01\x02\x03]+", " "))
@@ -68,10 +73,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  similarity: float = SIMILARITY, consistent: float = CONSISTENT,
                  max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """One row per (document row, item) found: doc_id, text_key, item_id, share, n_slots, n_consistent."""
-    items = _templates(benchmark.select(F.col(item_col).alias("item_id"), text_of(item_text).alias("text")), window)
-    item_keys = staged(items.select("item_id", F.explode_outer(F.array_distinct("keys")).alias("key"),
-                                    F.size(F.array_distinct("keys")).alias("n_keys")).filter("key is not null"), "bench-windows")
-    keys = item_keys.groupBy("key").agg(F.collect_set(F.struct("item_id", "n_keys")).alias("items"))
+    items = benchmark.select(F.col(item_col).alias("item_id"), text_of(item_text).alias("text")) \
+        .withColumn("item_key", F.xxhash64("text"))
+    item_keys = staged(_templates(items, window).select(
+        "item_id", "item_key", F.explode_outer(F.array_distinct("keys")).alias("key"),
+        F.size(F.array_distinct("keys")).alias("n_keys")).filter("key is not null"), "bench-windows")
+    keys = item_keys.groupBy("key").agg(F.collect_set(F.struct("item_id", "item_key", "n_keys")).alias("items"))
     small = item_keys.count() <= max_broadcast
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")) \
         .withColumn("text_key", F.xxhash64("text"))
@@ -82,61 +89,86 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
              .distinct().groupBy("doc_id", "text_key", "item")
              .agg(F.count(F.lit(1)).alias("n_hit"))
              .filter(F.col("n_hit") >= similarity * F.col("item.n_keys"))
-             .select("doc_id", "text_key", F.col("item.item_id").alias("item_id"),
+             .select("doc_id", "text_key", "item.item_id", "item.item_key", "item.n_keys",
                      (F.col("n_hit") / F.col("item.n_keys")).alias("share")))
     found = staged(found, "bench-found")
-    return _with_slots(found, rows, benchmark, item_col, item_text, window, consistent)
+    return _with_slots(found, rows, items, window, similarity, consistent)
 
 
 def _valued(text: Column) -> Column:
-    """The template's words, each placeholder followed by its value (white space and outer marks dropped)."""
+    """The template's words; a placeholder is followed by its value and an end mark."""
     units = "|".join(u for u in UNITS.split() if u.isalpha())
-    out = F.regexp_replace(text, rf"\b({NUMBER})[\x20\x09-\x0D]*(%|(?:{units})\b)", "\x01$1\x20\x02$2\x20")
-    out = F.regexp_replace(out, rf"(?<!\x01)\b({NUMBER})\b", "\x01$1")
-    out = F.regexp_replace(out, r"(?<=[^.!?:;\x20\x09-\x0D][\x20\x09-\x0D])(\p{Lu}\p{Ll}[\p{L}'-]*)", "\x03$1")
-    return out
-
-
-def _slot_windows(rows: DataFrame, ident: list[str], n: int) -> DataFrame:
-    """ident, window hash, ordinal and value of each slot in it - only of windows that hold a slot."""
-    words = F.filter(F.transform(_words(_valued(F.col("text"))), lambda w: F.regexp_replace(
-        F.lower(w), r"[^\p{L}\p{Nd}\x01\x02\x03]+", "")), lambda w: F.length(w) > 0)
-    plain = F.transform(F.col("valued"), lambda w: F.when(w.rlike("^[\x01\x02\x03]"), F.substring(w, 1, 1)).otherwise(w))
-    tagged = rows.withColumn("valued", words).withColumn("plain", plain).filter(F.size("valued") > 0)
-    at = F.sequence(F.lit(0), F.greatest(F.size("valued") - n, F.lit(0)))
-    cut = tagged.select(*ident, F.explode_outer(F.transform(at, lambda i: F.struct(
-        F.xxhash64(*[F.get(F.col("plain"), i + k) for k in range(n)]).alias("key"),
-        F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(
-            k.alias("k"), (i + k).alias("at"), F.get(F.col("valued"), i + k).alias("value"))).alias("words")))).alias("w"))
-    return (cut.select(*ident, F.col("w.key").alias("key"), F.explode(F.filter(
-        "w.words", lambda x: x["value"].rlike("^[\x01\x02\x03]"))).alias("s"))
-        .select(*ident, "key", F.col("s.k").alias("k"), F.col("s.at").alias("at"), F.col("s.value").alias("value")))
-
-
-def _with_slots(found: DataFrame, rows: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, n: int,
+    out = F.regexp_replace(_unmarked(text),
+                           rf"\b({NUMBER})[\x20\x09-\x0D]*(%|(?:{units})\b)", "\x01$1\x04\x20\x02$2\x04\x20")
+    out = F.regexp_replace(out, rf"\b({NUMBER})\b(?![\d.,:/]*\x04)", "\x01$1\x04")
+    out = F.regexp_replace(out, r"(?<=[^.!?:;\x20\x09-\x0D][\x20\x09-\x0D])(\p{Lu}\p{Ll}[\p{L}'-]*)", "\x03$1\x04")
+    letters = r"[\p{L}\p{Nd}]"
+    return F.regexp_extract_all(F.lower(out), F.lit(
+        rf"{letters}*+(?:[\x01-\x03][^\x04]*+\x04{letters}*+)++|{letters}++"), F.lit(0))
+
+
+def _placed(rows: DataFrame, ident: list[str], n: int) -> DataFrame:
+    """ident, n_words, and of each window its hash, position and words with their values."""
+    plain = F.transform("valued", lambda w: F.regexp_replace(w, r"([\x01-\x03])[^\x04]*\x04", "$1"))
+    keys = F.when(F.size("plain") > 0, _windows(F.col("plain"), n)).otherwise(F.array().cast("array<bigint>"))
+    keyed = rows.withColumn("valued", _valued(F.col("text"))).withColumn("plain", plain).withColumn("keys", keys)
+    # outer, for the same reason as above
+    cut = keyed.select(*ident, F.size("plain").alias("n_words"), F.explode_outer(F.transform("keys", lambda key, i: F.struct(
+        key.alias("key"), i.alias("at"), F.slice("valued", i + 1, n).alias("words")))).alias("w"))
+    return cut.select(*ident, "n_words", "w.key", "w.at", "w.words").filter("key is not null")
+
+
+def _slots(item_at: Column, item_words: Column, doc_words: Column) -> Column:
+    """Item position, item value and document value of each slot of a pair of equal windows."""
+    both = F.transform(item_words, lambda was, k: F.struct((item_at + k).alias("at"), was.alias("was"),
+                                                           F.get(doc_words, k).alias("value")))
+    return F.filter(both, lambda x: x["was"].rlike("[\x01-\x03]"))
+
+
+def _with_slots(found: DataFrame, rows: DataFrame, items: DataFrame, n: int, similarity: float,
                 consistent: float) -> DataFrame:
-    pairs = found.alias("f")
+    """The candidates of which an alignment passes, with the slots of the best one."""
     same = F.col("f.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("f.text_key") == F.col("d.text_key"))
     texts = rows.alias("d").join(found.select("doc_id", "text_key").distinct().alias("f"), same) \
         .select("d.doc_id", "d.text_key", "d.text").distinct()
-    in_docs = _slot_windows(texts, ["doc_id", "text_key"], n).select("doc_id", "text_key", "key", "k", "value").distinct()
-    in_items = _slot_windows(benchmark.select(F.col(item_col).alias("item_id"), text_of(item_text).alias("text")),
-                             ["item_id"], n)
-    slots = (pairs.join(in_docs.alias("d"), same).join(in_items.alias("i"), (F.col("f.item_id").eqNullSafe(F.col("i.item_id")))
-                                                       & (F.col("d.key") == F.col("i.key")) & (F.col("d.k") == F.col("i.k")))
-             .select("f.doc_id", "f.text_key", "f.item_id", F.col("i.at").alias("at"), F.col("d.value").alias("value"),
-                     F.col("i.value").alias("was")))
-    # a slot is consistent when the windows around it agree on a value that replaces its item value everywhere
-    per_value = slots.groupBy("doc_id", "text_key", "item_id", "was").agg(
-        F.countDistinct("value").alias("values"), F.countDistinct("at").alias("slots"))
-    judged = per_value.groupBy("doc_id", "text_key", "item_id").agg(
-        F.sum("slots").alias("n_slots"), F.sum(F.when(F.col("values") == 1, F.col("slots")).otherwise(0)).alias("n_same"))
-    j = judged.alias("j")
-    out = pairs.join(j, F.col("f.doc_id").eqNullSafe(F.col("j.doc_id")) & (F.col("f.text_key") == F.col("j.text_key"))
-                     & F.col("f.item_id").eqNullSafe(F.col("j.item_id")), "left")
-    slots_n, same_n = F.coalesce("n_slots", F.lit(0)), F.coalesce("n_same", F.lit(0))
-    return out.select("f.doc_id", "f.text_key", "f.item_id", "f.share", slots_n.alias("n_slots"),
-                      same_n.alias("n_consistent")).filter(F.col("n_consistent") >= consistent * F.col("n_slots"))
+    in_docs = _placed(texts, ["doc_id", "text_key"], n).alias("d")
+    in_items = _placed(items.select("item_id", "item_key", "text").distinct(), ["item_id", "item_key"], n).alias("i")
+    pair = ["doc_id", "text_key", "item_id", "item_key", "n_keys"]
+    diagonals = staged(
+        found.alias("f").join(in_items, F.col("f.item_id").eqNullSafe(F.col("i.item_id"))
+                              & (F.col("f.item_key") == F.col("i.item_key")))
+        .join(in_docs, same & (F.col("d.key") == F.col("i.key")))
+        .select(*[f"f.{c}" for c in pair], "i.n_words", "i.key", (F.col("d.at") - F.col("i.at")).alias("diagonal"),
+                _slots(F.col("i.at"), F.col("i.words"), F.col("d.words")).alias("slots"))
+        .groupBy(*pair, "n_words", "diagonal").agg(
+            F.count(F.lit(1)).alias("hits"), F.collect_set("key").alias("keys"),
+            F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots")), "bench-diagonals")
+
+    def band(kind: int, at: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"))
+    shifted = F.col("diagonal") + F.floor(F.col("n_words") / 2)
+    alignments = diagonals.withColumn("alignment", F.explode(F.array(
+        band(0, F.col("diagonal")), band(1, F.floor(F.col("diagonal") / F.col("n_words"))),
+        band(2, F.floor(shifted / F.col("n_words"))), band(3, F.lit(0)))))
+    one = [*pair, "alignment"]
+    held = alignments.select(*one, F.explode("keys").alias("key")).groupBy(*one) \
+        .agg(F.countDistinct("key").alias("n_held")).filter(F.col("n_held") >= similarity * F.col("n_keys"))
+    slots = alignments.select(*one, "hits", "diagonal", F.explode("slots").alias("s")).groupBy(*one, "s.at", "s.was") \
+        .agg(F.max_by("s.value", F.struct("hits", -F.col("diagonal"))).alias("value"))
+    own = F.count(F.when(F.col("value") == F.col("was"), 1))
+    judged = slots.groupBy(*one, "was").agg(F.count(F.lit(1)).alias("n"), own.alias("n_own"),
+                                            F.countDistinct("value").alias("values")) \
+        .groupBy(*one).agg(F.sum("n").alias("n_slots"),
+                           F.sum(F.when(F.col("values") == 1, F.col("n")).otherwise(F.col("n_own"))).alias("n_consistent"))
+    equal = [F.col(f"h.{c}").eqNullSafe(F.col(f"j.{c}")) for c in one]
+    passed = held.alias("h").join(judged.alias("j"), equal, "left").select(
+        *[f"h.{c}" for c in pair], F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
+        F.coalesce("n_consistent", F.lit(0)).alias("n_consistent")).filter(F.col("n_consistent") >= consistent * F.col("n_slots"))
+    best = passed.groupBy(*pair).agg(F.max(F.struct("n_consistent", "n_slots")).alias("best"))
+    equal = [F.col(f"f.{c}").eqNullSafe(F.col(f"b.{c}")) for c in pair]
+    return found.alias("f").join(best.alias("b"), equal).select(
+        "f.doc_id", "f.text_key", "f.item_id", "f.share", F.col("b.best.n_slots").alias("n_slots"),
+        F.col("b.best.n_consistent").alias("n_consistent"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -278,3 +278,22 @@ def test_decontamination(spark):
 def test_empty_table(spark, operator):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert operator(df).collect() == []
+
+
+def flagged(spark, items, docs):
+    """{doc_id: item ids} of texts numbered from 0."""
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {r.doc_id: list(r.item_ids) for r in contamination(df, bench).collect()}
+
+
+def test_decontamination_judges_each_alignment(spark):
+    twice = "Add 3 apples to the box and then add 4 apples to the box before lunch."
+    item = ("The train leaves at 12 and takes 5 hours to reach the town where 12 people wait for it, "
+            "all of them glad that after so many long and rainy weeks somebody comes to see how they have been.")
+    other = item.replace("12", "40").replace("5 hours", "9 hours")
+    wrong = item.replace("at 12", "at 40").replace("5 hours", "9 days").replace("where 12", "where 77")
+    longer = other.replace("to reach", "to finally reach")
+    docs = [twice, twice.replace("3", "8").replace("4", "9"), f"{item} In other words: {other}", f"{wrong} Said so. {longer}",
+            wrong, f"{wrong} {wrong}"]
+    assert flagged(spark, [twice, item], docs) == {0: [0], 1: [0], 2: [1], 3: [1], 4: [], 5: []}
