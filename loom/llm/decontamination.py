@@ -1,10 +1,13 @@
 """Benchmark decontamination by template canonicalisation [native].
 
 Texts are reduced to templates: numbers, names (capitalised words inside a sentence) and units become typed placeholders,
-case and punctuation go.  Windows of five template words of the documents are hash-joined to those of the benchmark items.
+case and punctuation go.  A capitalised word that starts a sentence, a line or a quotation may be a name or not: it counts
+as its word and as a name, so its windows have a hash for either reading (only its letters: "Anna's" there is a name and
+an "s", "Anne-Marie" two names).  Windows of five template words of the documents are hash-joined to those of the benchmark items.
 A document that holds at least 80 % of an item's distinct windows is a candidate; its slots are then checked, alignment by
 alignment: a slot (a placeholder of the item) is consistent if the document has the item's own value there, or if all
-slots of that value have one other value.  An alignment that holds 80 % of the windows and 80 % consistent slots makes the
+slots of that value have one other value.  Possible names are slots only where the item or the document has a name for sure
+or the words differ.  An alignment that holds 80 % of the windows and 80 % consistent slots makes the
 document contaminated, whatever else it holds.  That catches items whose numbers or names were replaced while the template
 was kept, and items held more than once.
 
@@ -16,8 +19,8 @@ Two passes: the first carries hashes only and finds the (document, item) candida
 texts for positions and slot values.  The benchmark's windows are broadcast while there are at most ``max_broadcast`` of them (counted
 first); a larger benchmark is joined by shuffle.  Window hashes that the join keeps are pre-aggregated per document.
 
-Defined results: NULL or short texts (fewer words than a window) are compared by their whole template; an empty benchmark
-flags nothing; a document matching several items lists them all in order; repeated rows are judged each; extra columns
+Defined results: an item of fewer words than a window is looked for by windows of its own length, and if it holds no
+ordinary word, only with its own values; NULL or empty texts hold and are held by nothing; an empty benchmark flags nothing; a document matching several items lists them all in order; repeated rows are judged each; extra columns
 pass through ``decontaminate`` untouched.
 """
 
@@ -36,7 +39,9 @@ MAX_BROADCAST = 1_000_000      # benchmark windows (16 bytes each) up to which t
 UNITS = ("mm cm m km in ft yd mi mg g kg lb oz ml l s min h hr hrs hours minutes seconds days weeks years "
          "usd eur gbp dollars euros cents percent % kb mb gb tb hz khz mhz ghz v w kw j kj c f k")
 NUMBER = r"\d+(?:[.,:/]\d+)*"
-MARKS = "\x01\x02\x03\x04"   # number, unit, name, end of a value; in texts they count as white space
+MARKS = "\x01\x02\x03\x04\x05"   # number, unit, name, end of a value, possible name; in texts they count as white space
+NAME = r"(?<=[^.!?:;\x20\x09-\x0D][\x20\x09-\x0D])(\p{Lu}\p{Ll}[\p{L}'-]*)"
+INITIAL = r"(?<![\p{L}\p{Nd}\x01\x03\x04])(?<!\p{L}['-])(\p{Lu}\p{Ll}\p{L}*)"
 
 
 def _unmarked(text: Column) -> Column:
@@ -45,27 +50,48 @@ def _unmarked(text: Column) -> Column:
 
 
 def template_text(text: Column) -> Column:
-    """Whole-text canonicalisation: placeholders <N> <U> <P>, lower case, punctuation dropped; words by one space."""
+    """Whole-text canonicalisation: placeholders <N> <U> <P>, possible names marked, lower case, punctuation dropped; words
+    by one space."""
     units = "|".join(u for u in UNITS.split() if u.isalpha())
     out = F.regexp_replace(_unmarked(text), rf"\b{NUMBER}([\x20\x09-\x0D]*(?:%|(?:{units})\b))", "\x01\x20\x02\x20")
     out = F.regexp_replace(out, rf"\b{NUMBER}\b", "\x01")
-    out = F.regexp_replace(out, r"(?<=[^.!?:;\x20\x09-\x0D][\x20\x09-\x0D])\p{Lu}\p{Ll}[\p{L}'-]*", "\x03")
-    return F.trim(F.regexp_replace(F.lower(out), r"[^\p{L}\p{Nd}\x01\x02\x03]+", " "))
+    out = F.regexp_replace(F.regexp_replace(out, NAME, "\x03"), INITIAL, "\x05$1")
+    return F.trim(F.regexp_replace(F.lower(out), r"[^\p{L}\p{Nd}\x01\x02\x03\x05]+", " "))
 
 
-def _windows(words: Column, n: int) -> Column:
-    """Hashes of all n-word windows; a shorter text is one window."""
-    whole = F.array(F.xxhash64(F.concat_ws(" ", words)))
-    each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))),
-                       lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
-    return F.when(F.size(words) >= n, each).otherwise(whole)
+def _masks(mask: Column, n: int) -> Column:
+    """The subsets of a bit mask, the empty one first."""
+    grown = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.array(F.lit(0)), lambda acc, k: F.when(
+        F.expr("0") == F.pmod(F.floor(mask / F.pow(F.lit(2), k)), F.lit(2)), acc).otherwise(
+        F.concat(acc, F.transform(acc, lambda a: a + F.pow(F.lit(2), k).cast("int")))))
+    return F.when(mask == 0, F.array(F.lit(0))).when(mask.bitwiseAND(mask - 1) == 0, F.array(F.lit(0), mask)).otherwise(grown)
 
 
-def _templates(rows: DataFrame, n: int) -> DataFrame:
-    """id, text, words (of the template) and window hashes; texts without any word have none."""
+def _keys_at(plain: Column, unsure: Column, i: Column, n: int) -> Column:
+    """Hashes of the n words from i: as they are, and with each choice of the possible names among them as names."""
+    mask = sum((F.when(F.get(unsure, i + k), 1 << k).otherwise(0) for k in range(1, n)), F.when(F.get(unsure, i), 1).otherwise(0))
+    return F.flatten(F.transform(F.array(mask), lambda m: F.transform(_masks(m, n), lambda chosen: F.xxhash64(
+        *[F.when(chosen.bitwiseAND(1 << k) != 0, "\x03").otherwise(F.get(plain, i + k)) for k in range(n)]))))
+
+
+def _starts(words: Column, n: int) -> Column:
+    """Positions of the n-word windows."""
+    return F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+
+
+def _keys(n: int) -> Column:
+    return F.transform(_starts(F.col("plain"), n), lambda i: _keys_at(F.col("plain"), F.col("unsure"), i, n))
+
+
+def _unsure(words: Column) -> Column:
+    return F.transform(words, lambda w: w.startswith("\x05"))
+
+
+def _templates(rows: DataFrame) -> DataFrame:
+    """The columns of rows, plain (the template's words) and unsure (which of them are possible names)."""
     words = F.filter(F.split(template_text(F.col("text")), " "), lambda w: w != "")
-    return rows.withColumn("words", words).withColumn(
-        "keys", F.when(F.size("words") > 0, _windows(F.col("words"), n)).otherwise(F.array().cast("array<bigint>")))
+    plain = F.transform("words", lambda w: F.when(w.startswith("\x05"), F.substring(w, 2, 2 ** 31 - 1)).otherwise(w))
+    return rows.withColumn("words", words).withColumn("plain", plain).withColumn("unsure", _unsure(F.col("words")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -75,24 +101,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per (document row, item) found: doc_id, text_key, item_id, share, n_slots, n_consistent."""
     items = benchmark.select(F.col(item_col).alias("item_id"), text_of(item_text).alias("text")) \
         .withColumn("item_key", F.xxhash64("text"))
-    item_keys = staged(_templates(items, window).select(
-        "item_id", "item_key", F.explode_outer(F.array_distinct("keys")).alias("key"),
-        F.size(F.array_distinct("keys")).alias("n_keys")).filter("key is not null"), "bench-windows")
-    keys = item_keys.groupBy("key").agg(F.collect_set(F.struct("item_id", "item_key", "n_keys")).alias("items"))
+    cut = staged(_item_windows(_templates(items), window), "bench-windows")
+    lengths = sorted(r[0] for r in cut.select("n_window").distinct().collect())        # window, and those of short items
+    counts = cut.groupBy("item_id", "item_key").agg(F.countDistinct("w").alias("n_keys"))
+    item_keys = cut.alias("c").join(F.broadcast(counts).alias("n") if cut.count() <= max_broadcast else counts.alias("n"),
+                                    F.col("c.item_id").eqNullSafe(F.col("n.item_id")) & (F.col("c.item_key") == F.col("n.item_key"))) \
+        .select("c.item_id", "c.item_key", "n_keys", "w", "key").distinct()
+    keys = item_keys.groupBy("key").agg(F.collect_set(F.struct("item_id", "item_key", "n_keys", "w")).alias("items"))
     small = item_keys.count() <= max_broadcast
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")) \
         .withColumn("text_key", F.xxhash64("text"))
     # outer: for an inner explode the optimiser would test the array's size below, and compute the words anew per window
-    windows = _templates(rows, window).select("doc_id", "text_key", F.explode_outer("keys").alias("key"))
+    doc_keys = F.flatten(F.concat(*[_keys(n) for n in lengths or [window]]))
+    windows = _templates(rows).select("doc_id", "text_key", F.explode_outer(doc_keys).alias("key"))
     hits = windows.join(F.broadcast(keys) if small else keys, "key")
-    found = (hits.select("doc_id", "text_key", "key", F.explode("items").alias("item"))
-             .distinct().groupBy("doc_id", "text_key", "item")
+    found = (hits.select("doc_id", "text_key", F.explode("items").alias("item")).select("doc_id", "text_key", "item.*")
+             .distinct().groupBy("doc_id", "text_key", "item_id", "item_key", "n_keys")
              .agg(F.count(F.lit(1)).alias("n_hit"))
-             .filter(F.col("n_hit") >= similarity * F.col("item.n_keys"))
-             .select("doc_id", "text_key", "item.item_id", "item.item_key", "item.n_keys",
-                     (F.col("n_hit") / F.col("item.n_keys")).alias("share")))
+             .filter(F.col("n_hit") >= similarity * F.col("n_keys"))
+             .select("doc_id", "text_key", "item_id", "item_key", "n_keys", (F.col("n_hit") / F.col("n_keys")).alias("share")))
     found = staged(found, "bench-found")
-    return _with_slots(found, rows, items, window, similarity, consistent)
+    return _with_slots(found, rows, items, window, lengths, similarity, consistent)
 
 
 def _valued(text: Column) -> Column:
@@ -101,47 +130,70 @@ def _valued(text: Column) -> Column:
     out = F.regexp_replace(_unmarked(text),
                            rf"\b({NUMBER})[\x20\x09-\x0D]*(%|(?:{units})\b)", "\x01$1\x04\x20\x02$2\x04\x20")
     out = F.regexp_replace(out, rf"\b({NUMBER})\b(?![\d.,:/]*\x04)", "\x01$1\x04")
-    out = F.regexp_replace(out, r"(?<=[^.!?:;\x20\x09-\x0D][\x20\x09-\x0D])(\p{Lu}\p{Ll}[\p{L}'-]*)", "\x03$1\x04")
+    out = F.regexp_replace(F.regexp_replace(out, NAME, "\x03$1\x04"), INITIAL, "\x05$1\x04")
     letters = r"[\p{L}\p{Nd}]"
     return F.regexp_extract_all(F.lower(out), F.lit(
-        rf"{letters}*+(?:[\x01-\x03][^\x04]*+\x04{letters}*+)++|{letters}++"), F.lit(0))
+        rf"{letters}*+(?:[\x01-\x03\x05][^\x04]*+\x04{letters}*+)++|{letters}++"), F.lit(0))
+
 
+def _valued_templates(rows: DataFrame) -> DataFrame:
+    """As _templates, with words that hold their values."""
+    plain = F.transform("words", lambda w: F.regexp_replace(w, r"([\x01-\x03])[^\x04]*\x04|[\x04\x05]", "$1"))
+    return rows.withColumn("words", _valued(F.col("text"))).withColumn("plain", plain) \
+        .withColumn("unsure", _unsure(F.col("words")))
 
-def _placed(rows: DataFrame, ident: list[str], n: int) -> DataFrame:
-    """ident, n_words, and of each window its hash, position and words with their values."""
-    plain = F.transform("valued", lambda w: F.regexp_replace(w, r"([\x01-\x03])[^\x04]*\x04", "$1"))
-    keys = F.when(F.size("plain") > 0, _windows(F.col("plain"), n)).otherwise(F.array().cast("array<bigint>"))
-    keyed = rows.withColumn("valued", _valued(F.col("text"))).withColumn("plain", plain).withColumn("keys", keys)
+
+def _cut(rows: DataFrame, ident: list[str], lengths: list[int], least: int = 0) -> DataFrame:
+    """ident, n_words, n_window, and of each window its position, words, plain hash (w) and each of its hashes (key);
+    windows shorter than ``least`` only where the text is no longer."""
+    def windows(n: int) -> Column:
+        at = _starts(F.col("plain"), n)
+        at = at if n >= least else F.when(F.size("plain") == n, at).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(
+            F.lit(n).alias("n_window"), i.alias("at"), F.slice("words", i + 1, n).alias("words"),
+            _keys_at(F.col("plain"), F.col("unsure"), i, n).alias("keys")))
     # outer, for the same reason as above
-    cut = keyed.select(*ident, F.size("plain").alias("n_words"), F.explode_outer(F.transform("keys", lambda key, i: F.struct(
-        key.alias("key"), i.alias("at"), F.slice("valued", i + 1, n).alias("words")))).alias("w"))
-    return cut.select(*ident, "n_words", "w.key", "w.at", "w.words").filter("key is not null")
+    cut = rows.select(*ident, F.size("plain").alias("n_words"), F.explode_outer(F.concat(*[windows(n) for n in lengths])).alias("x"))
+    cut = cut.select(*ident, "n_words", "x.*")
+    return cut.select(*ident, "n_words", "n_window", "at", "words", F.col("keys")[0].alias("w"),
+                      F.explode_outer("keys").alias("key")).filter("key is not null")
 
 
-def _slots(item_at: Column, item_words: Column, doc_words: Column) -> Column:
-    """Item position, item value and document value of each slot of a pair of equal windows."""
-    both = F.transform(item_words, lambda was, k: F.struct((item_at + k).alias("at"), was.alias("was"),
-                                                           F.get(doc_words, k).alias("value")))
-    return F.filter(both, lambda x: x["was"].rlike("[\x01-\x03]"))
+def _item_windows(items: DataFrame, n: int) -> DataFrame:
+    return _cut(items, ["item_id", "item_key"], list(range(1, n + 1)), n)
 
 
-def _with_slots(found: DataFrame, rows: DataFrame, items: DataFrame, n: int, similarity: float,
-                consistent: float) -> DataFrame:
+def _slots(item_at: Column, item_words: Column, doc_words: Column) -> Column:
+    """Item position, item value, document value and certainty of each slot of a pair of equal windows."""
+    def slot(was: Column, k: Column) -> Column:
+        name, value = was.rlike("[\x03\x05]"), F.get(doc_words, k)
+        return F.struct((item_at + k).alias("at"),
+                        F.when(name, F.concat(F.lit("\x03"), F.regexp_replace(was, "[\x03-\x05]", ""))).otherwise(was).alias("was"),
+                        F.when(name, F.concat(F.lit("\x03"), F.regexp_replace(value, "[\x03-\x05]", ""))).otherwise(value).alias("value"),
+                        (was.rlike("[\x01-\x03]") | (name & value.contains("\x03"))).alias("sure"), (name | was.rlike("[\x01\x02]")).alias("slot"))
+    return F.filter(F.transform(item_words, slot), lambda x: x["slot"])
+
+
+def _with_slots(found: DataFrame, rows: DataFrame, items: DataFrame, n: int, lengths: list[int],
+                similarity: float, consistent: float) -> DataFrame:
     """The candidates of which an alignment passes, with the slots of the best one."""
     same = F.col("f.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("f.text_key") == F.col("d.text_key"))
     texts = rows.alias("d").join(found.select("doc_id", "text_key").distinct().alias("f"), same) \
         .select("d.doc_id", "d.text_key", "d.text").distinct()
-    in_docs = _placed(texts, ["doc_id", "text_key"], n).alias("d")
-    in_items = _placed(items.select("item_id", "item_key", "text").distinct(), ["item_id", "item_key"], n).alias("i")
+    in_docs = _cut(_valued_templates(texts), ["doc_id", "text_key"], lengths or [n]).alias("d")
+    in_items = _valued_templates(items.select("item_id", "item_key", "text").distinct())
+    worded = F.exists("words", lambda w: ~w.rlike("[\x01-\x05]"))
+    in_items = _cut(in_items.withColumn("worded", worded), ["item_id", "item_key", "worded"], list(range(1, n + 1)), n).alias("i")
     pair = ["doc_id", "text_key", "item_id", "item_key", "n_keys"]
     diagonals = staged(
         found.alias("f").join(in_items, F.col("f.item_id").eqNullSafe(F.col("i.item_id"))
                               & (F.col("f.item_key") == F.col("i.item_key")))
         .join(in_docs, same & (F.col("d.key") == F.col("i.key")))
-        .select(*[f"f.{c}" for c in pair], "i.n_words", "i.key", (F.col("d.at") - F.col("i.at")).alias("diagonal"),
+        .select(*[f"f.{c}" for c in pair], "i.n_words", (F.col("i.worded") | (F.col("i.n_window") >= n)).alias("free"),
+                "i.at", "i.w", (F.col("d.at") - F.col("i.at")).alias("diagonal"),
                 _slots(F.col("i.at"), F.col("i.words"), F.col("d.words")).alias("slots"))
-        .groupBy(*pair, "n_words", "diagonal").agg(
-            F.count(F.lit(1)).alias("hits"), F.collect_set("key").alias("keys"),
+        .groupBy(*pair, "n_words", "free", "diagonal").agg(
+            F.countDistinct("at").alias("hits"), F.collect_set("w").alias("keys"),
             F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots")), "bench-diagonals")
 
     def band(kind: int, at: Column) -> Column:
@@ -153,13 +205,17 @@ def _with_slots(found: DataFrame, rows: DataFrame, items: DataFrame, n: int, sim
     one = [*pair, "alignment"]
     held = alignments.select(*one, F.explode("keys").alias("key")).groupBy(*one) \
         .agg(F.countDistinct("key").alias("n_held")).filter(F.col("n_held") >= similarity * F.col("n_keys"))
-    slots = alignments.select(*one, "hits", "diagonal", F.explode("slots").alias("s")).groupBy(*one, "s.at", "s.was") \
-        .agg(F.max_by("s.value", F.struct("hits", -F.col("diagonal"))).alias("value"))
+    slots = alignments.select(*one, "free", "hits", "diagonal", F.explode("slots").alias("s")) \
+        .groupBy(*one, "free", "s.at", "s.was") \
+        .agg(F.max_by("s.value", F.struct("hits", -F.col("diagonal"))).alias("value"),
+             F.max_by("s.sure", F.struct("hits", -F.col("diagonal"))).alias("sure"))
     own = F.count(F.when(F.col("value") == F.col("was"), 1))
-    judged = slots.groupBy(*one, "was").agg(F.count(F.lit(1)).alias("n"), own.alias("n_own"),
-                                            F.countDistinct("value").alias("values")) \
-        .groupBy(*one).agg(F.sum("n").alias("n_slots"),
-                           F.sum(F.when(F.col("values") == 1, F.col("n")).otherwise(F.col("n_own"))).alias("n_consistent"))
+    per_value = slots.groupBy(*one, "free", "was").agg(
+        F.count(F.lit(1)).alias("n"), own.alias("n_own"), F.countDistinct("value").alias("values"), F.max("sure").alias("sure")) \
+        .filter(F.col("sure") | (F.col("n_own") < F.col("n")))
+    judged = per_value.groupBy(*one).agg(
+        F.sum("n").alias("n_slots"),
+        F.sum(F.when(F.col("free") & (F.col("values") == 1), F.col("n")).otherwise(F.col("n_own"))).alias("n_consistent"))
     equal = [F.col(f"h.{c}").eqNullSafe(F.col(f"j.{c}")) for c in one]
     passed = held.alias("h").join(judged.alias("j"), equal, "left").select(
         *[f"h.{c}" for c in pair], F.coalesce("n_slots", F.lit(0)).alias("n_slots"),

@@ -297,3 +297,13 @@ def test_decontamination_judges_each_alignment(spark):
     docs = [twice, twice.replace("3", "8").replace("4", "9"), f"{item} In other words: {other}", f"{wrong} Said so. {longer}",
             wrong, f"{wrong} {wrong}"]
     assert flagged(spark, [twice, item], docs) == {0: [0], 1: [0], 2: [1], 3: [1], 4: [], 5: []}
+
+
+def test_decontamination_of_sentence_initial_names_and_short_items(spark):
+    fruits = "Alice has 5 apples. Bob has 7 pears. How many fruits do they have together?"
+    other = fruits.replace("Alice", "Carol").replace("Bob", "David").replace("7", "9")
+    items = [fruits, "What is 12 + 7?", "Lisbon"]
+    docs = [other, f"Read this: {other} Then answer.", other.replace(". How", ", how"), fruits.replace(". Bob", ", Bob"),
+            "Somebody asks what is 30 + 4? Nobody knows.", "What is 12 + 7?", "Nothing of that.", "A letter to Porto",
+            "A letter to Lisbon", None, ""]
+    assert flagged(spark, items, docs) == {0: [0], 1: [0], 2: [0], 3: [0], 4: [1], 5: [1], 6: [], 7: [], 8: [2], 9: [], 10: []}
