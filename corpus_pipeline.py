@@ -28,8 +28,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest id stays."""
-    return drop_near_copies(docs)
+    """Of each group of near copies (similarity 0.8 or more of five-word shingles) the smallest id stays."""
+    return drop_near_copies(docs, percent=80, shingle=5)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

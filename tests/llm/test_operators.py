@@ -307,3 +307,14 @@ def test_decontamination_of_sentence_initial_names_and_short_items(spark):
             "Somebody asks what is 30 + 4? Nobody knows.", "What is 12 + 7?", "Nothing of that.", "A letter to Porto",
             "A letter to Lisbon", None, ""]
     assert flagged(spark, items, docs) == {0: [0], 1: [0], 2: [0], 3: [0], 4: [1], 5: [1], 6: [], 7: [], 8: [2], 9: [], 10: []}
+
+
+def test_near_dedup_stage_compares_five_word_shingles_at_80_percent(spark):
+    from corpus_pipeline import near
+    words = [f"w{i}" for i in range(1000)]
+    longer = words + [f"x{i}" for i in range(200)]                                  # similarity 0.83 either way
+    other = [f"y{i}" for i in range(1000)]
+    edited = [f"z{i}" if i % 27 == 13 else w for i, w in enumerate(other)]          # 0.80 of three words, 0.69 of five
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((words, longer, other, edited))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near(spark, df, "").collect()) == [0, 2, 3]
+    assert near_dedup(df).filter("kept").count() == 4
