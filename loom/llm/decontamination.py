@@ -40,8 +40,8 @@ UNITS = ("mm cm m km in ft yd mi mg g kg lb oz ml l s min h hr hrs hours minutes
          "usd eur gbp dollars euros cents percent % kb mb gb tb hz khz mhz ghz v w kw j kj c f k")
 NUMBER = r"\d+(?:[.,:/]\d+)*"
 MARKS = "\x01\x02\x03\x04\x05"   # number, unit, name, end of a value, possible name; in texts they count as white space
-NAME = r"(?<=[^.!?:;\x20\x09-\x0D][\x20\x09-\x0D])(\p{Lu}\p{Ll}[\p{L}'-]*)"
-INITIAL = r"(?<![\p{L}\p{Nd}\x01\x03\x04])(?<!\p{L}['-])(\p{Lu}\p{Ll}\p{L}*)"
+NAME = r"(?=\p{Lu}\p{Ll})(?<=[^.!?:;\x20\x09-\x0D][\x20\x09-\x0D])(\p{Lu}\p{Ll}[\p{L}'-]*)"
+INITIAL = r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{Nd}\x01\x03\x04])(?<!\p{L}['-])(\p{Lu}\p{Ll}\p{L}*)"
 
 
 def _unmarked(text: Column) -> Column:
@@ -80,7 +80,13 @@ def _starts(words: Column, n: int) -> Column:
 
 
 def _keys(n: int) -> Column:
-    return F.transform(_starts(F.col("plain"), n), lambda i: _keys_at(F.col("plain"), F.col("unsure"), i, n))
+    """The plain hashes of all windows, and all hashes of the windows that hold possible names (few, and slow to make)."""
+    plain, unsure = F.col("plain"), F.col("unsure")
+    each = F.transform(_starts(plain, n), lambda i: F.xxhash64(*[F.get(plain, i + k) for k in range(n)]))
+    at = F.filter(F.transform(unsure, lambda u, i: F.when(u, i)), lambda i: i.isNotNull())
+    starts = F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(p - n + 1, F.lit(0)), p)))
+    starts = F.filter(F.array_distinct(starts), lambda i: i <= F.size(plain) - n)
+    return F.concat(F.array(each), F.transform(starts, lambda i: _keys_at(plain, unsure, i, n)))
 
 
 def _unsure(words: Column) -> Column:
