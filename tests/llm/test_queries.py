@@ -17,7 +17,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_registered():
-    assert {int(n[2:].split("_")[0]) for n in queries() if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries() if n.startswith("op")} == set(range(1, 14))
     assert "pipeline" in queries() and [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity"
 
 
