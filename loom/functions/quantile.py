@@ -2,34 +2,77 @@
 
 Spark's exact ``percentile`` keeps a value->count map per group and merges the
 maps of a group in one task; on a continuous column of a very large table that
-map holds every distinct value.  So the exact path is:
-
-* small inputs (``n <= EXACT_DIRECT_ROWS``): Spark's ``percentile`` directly;
-* otherwise *bucket refinement*: equal-width histogram of the current value
-  range (one aggregation pass over the one column, pruned and range-filtered at
-  the scan), pick the bucket holding the wanted rank, recurse into that bucket
-  (actual min/max of the bucket become the new range).  Once a bucket holds at
-  most ``leaf_rows`` rows (or a single value) the rank is resolved exactly with
-  a grouped count and a running sum over that bounded bucket.
-
-Every table that reaches the driver is bounded by the number of targets
-(groups x ranks); the data itself never leaves the executors.
+map holds every distinct value.  Here quantiles come from *radix selection*:
+
+* every double maps to a 64-bit key of the same order (``sort_key``: sign,
+  binary exponent and mantissa, computed with SQL arithmetic);
+* the first pass counts rows per (group, leading 12 bits) and picks, per
+  wanted rank, the bucket that holds it; each further pass counts the next 12
+  bits of the rows inside the picked buckets only (a range filter on the
+  column, pushed into the scan when there is no grouping).  A bucket of at most
+  ``leaf_rows`` rows is counted by whole keys, which ends its search;
+* 64 bits are used up after at most six passes, whatever the spread of the
+  values; infinities and NaN have keys of their own.
+
+Tables that reach the driver hold one row per (group, wanted rank).  With more
+than ``MAX_LEVELS`` groups nothing is collected: distinct (group, value) counts
+are range-partitioned and the ranks found by running sums.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import struct
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import session as S
+from .running import running_sums
 from .stats import col, spark_interpolate
 
-_X = "__qx"
-_G = "__qg"
+_X, _G, _K = "__qx", "__qg", "__qk"
+BITS = 12
+LEAF_ROWS = 100_000
+_TINY = 2.0 ** -1022           # below it doubles have no implicit leading bit
+_INF_KEY = 0x7FF << 52
+_NAN_KEY = 0x7FF8 << 48        # NaN sorts above infinity, as in Spark
+
+
+# keys ---------------------------------------------------------------------------------
+def sort_key(df: DataFrame, x: str, out: str = _K) -> DataFrame:
+    """Add the order-preserving 64-bit key of the double column ``x`` (equal values, -0.0 and 0.0 too, share a key).
+
+    The key is sign * (biased exponent * 2^52 + mantissa); every step is exact in double arithmetic.
+    """
+    a, e, p = "__ka", "__ke", "__kp"
+    names = df.columns
+    size = F.abs(col(x))
+    plain = (size >= F.lit(_TINY)) & (size < F.lit(math.inf))
+    out_df = df.withColumn(a, F.when(plain, size).otherwise(F.lit(1.0)))
+    out_df = out_df.withColumn(e, F.floor(F.log2(a)))
+    out_df = out_df.withColumn(p, F.pow(F.lit(2.0), col(e)))
+    # log2 may be off by one next to a power of two
+    out_df = out_df.withColumn(e, col(e) - (col(a) < col(p)).cast("long") + (col(a) >= 2 * col(p)).cast("long"))
+    fraction = ((col(a) / F.pow(F.lit(2.0), col(e)) - 1) * F.lit(2.0 ** 52)).cast("long")
+    bits = (F.when(F.isnan(col(x)), F.lit(_NAN_KEY)).when(size == F.lit(math.inf), F.lit(_INF_KEY))
+            .when(size < F.lit(_TINY), (size * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("long"))
+            .otherwise((col(e) + 1023) * F.lit(2 ** 52) + fraction))
+    return out_df.select(*[col(n) for n in names], F.when(col(x) < 0, -bits).otherwise(bits).alias(out))
+
+
+def key_of(value: float) -> int:
+    if math.isnan(value):
+        return _NAN_KEY
+    bits = struct.unpack("<q", struct.pack("<d", abs(value)))[0]
+    return -bits if value < 0 else bits
+
+
+def value_of(key: int) -> float:
+    value = struct.unpack("<d", struct.pack("<q", abs(key)))[0]
+    return -value if key < 0 else value
 
 
 def _rank_positions(n: int, p: float) -> tuple[int, int, float]:
@@ -39,15 +82,15 @@ def _rank_positions(n: int, p: float) -> tuple[int, int, float]:
     return lo + 1, hi + 1, pos
 
 
+# quantiles ----------------------------------------------------------------------------
 def quantiles(
     df: DataFrame,
     column: str,
     probs: Sequence[float],
     by: str | None = None,
     names: Sequence[str] | None = None,
-    direct_limit: int | None = None,
-    leaf_rows: int = 100_000,
-    buckets: int = 4096,
+    leaf_rows: int = LEAF_ROWS,
+    bits: int = BITS,
 ) -> DataFrame:
     """Exact type-7 quantiles of ``column`` (NULLs ignored), optionally per ``by``.
 
@@ -55,24 +98,41 @@ def quantiles(
     A group (or table) without non-NULL values gives NULLs.
     """
     names = list(names or [f"q{p}" for p in probs])
-    direct_limit = S.EXACT_DIRECT_ROWS if direct_limit is None else direct_limit
-    x = col(column).cast("double")
-    base = df.select(*([col(by).alias(_G)] if by else []), x.alias(_X))
+    base = df.select((col(by) if by else F.lit(0)).alias(_G), col(column).cast("double").alias(_X))
     data = base.where(F.col(_X).isNotNull())
+    spark = df.sparkSession
     by_type = df.schema[by].dataType if by else None
-    # One pass gives the per-group size and range: it decides the path and seeds the refinement.
-    groups = _group_ranges(data if by else data.withColumn(_G, F.lit(0)))
-    if sum(g["n"] for g in groups) <= direct_limit:
-        aggs = [F.percentile(F.col(_X), float(p)).alias(nm) for p, nm in zip(probs, names)]
-        if by:
-            return base.groupBy(_G).agg(*aggs).withColumnRenamed(_G, by)
-        return base.agg(*aggs)
-    out = _refined(df.sparkSession, base, by, probs, names, leaf_rows, buckets, by_type, groups)
+
+    def wanted(n: Column) -> Column:
+        at = [(n - 1) * F.lit(float(p)) for p in probs]
+        return F.array_distinct(F.array(*[f(a) + 1 for a in at for f in (F.floor, F.ceil)]))
+    first = _first_pass(data, wanted, S.MAX_LEVELS * 2 * len(probs))
+    groups = list(dict.fromkeys(r[_G] for r in first or ()))
+    if first is None or len(groups) > S.MAX_LEVELS:
+        out = _sorted_quantiles(data, probs, names)
+    else:
+        index = {g: i for i, g in enumerate(groups)}
+        sizes = {index[r[_G]]: r["n"] for r in first}
+        start = {(index[r[_G]], r["rank"]): (r["lo"], r["hi"], r["below"], r["cnt"]) for r in first}
+        values = _select(data, by_type, groups, start, leaf_rows, bits)
+        rows = []
+        for g, i in index.items():
+            found = []
+            for p in probs:
+                lo, hi, pos = _rank_positions(sizes[i], p)
+                found.append(spark_interpolate(values[(i, lo)][0], values[(i, hi)][0], pos))
+            rows.append(([g] if by else []) + found)
+        if not by and not rows:
+            rows = [[None] * len(names)]
+        fields = ([T.StructField(_G, by_type, True)] if by else []) + [
+            T.StructField(nm, T.DoubleType(), True) for nm in names]
+        out = spark.createDataFrame(rows, T.StructType(fields))
     if not by:
         return out
-    # groups whose values are all NULL have no range to refine: they come from the table itself
-    keys = base.select(_G).distinct()
-    return keys.join(out, F.col(_G).eqNullSafe(out[by]), "left").select(F.col(_G).alias(by), *[col(nm) for nm in names])
+    # groups whose values are all NULL have no ranks: they come from the table itself
+    keys = base.select(F.col(_G).alias("__qkey")).distinct()
+    return (keys.join(out, F.col("__qkey").eqNullSafe(F.col(_G)), "left")
+            .select(F.col("__qkey").alias(by), *[col(nm) for nm in names]))
 
 
 def quantile_values(df: DataFrame, column: str, probs: Sequence[float], **kw) -> list[float | None]:
@@ -81,202 +141,6 @@ def quantile_values(df: DataFrame, column: str, probs: Sequence[float], **kw) ->
     return [row[i] for i in range(len(probs))]
 
 
-def _refined(spark, base, by, probs, names, leaf_rows, buckets, by_type, groups) -> DataFrame:
-    data = base.where(F.col(_X).isNotNull())
-    if not by:
-        data = data.withColumn(_G, F.lit(0))
-    # infinities have ranks but no range to refine: they are counted, and only finite values are refined
-    tails, finite = {}, groups
-    if any(math.isinf(v) for g in groups for v in (g["lo"], g["hi"])):
-        infinite = F.abs(F.col(_X)) == F.lit(math.inf)
-        tails = {(r[_G], r[_X]): r["n"] for r in
-                 data.where(infinite).groupBy(_G, _X).agg(F.count("*").alias("n")).collect()}
-        data = data.where(~infinite)
-        finite = _group_ranges(data)
-    place = {g[_G]: i for i, g in enumerate(finite)}
-    wanted = {i: [] for i in place.values()}
-    for g in groups:
-        below, above = tails.get((g[_G], -math.inf), 0), tails.get((g[_G], math.inf), 0)
-        ranks = sorted({r for p in probs for r in _rank_positions(g["n"], p)[:2]})
-        if g[_G] in place:
-            wanted[place[g[_G]]] = [r - below for r in ranks if below < r <= g["n"] - above]
-    values = _order_stats(spark, data, by_type, finite, {i: r for i, r in wanted.items() if r}, leaf_rows, buckets)
-
-    def at(g, rank: int) -> float:
-        below, above = tails.get((g[_G], -math.inf), 0), tails.get((g[_G], math.inf), 0)
-        if rank <= below:
-            return -math.inf
-        return math.inf if rank > g["n"] - above else values[(place[g[_G]], rank - below)]
-
-    out_rows = []
-    for g in groups:
-        qs = []
-        for p in probs:
-            r_lo, r_hi, pos = _rank_positions(g["n"], p)
-            qs.append(spark_interpolate(at(g, r_lo), at(g, r_hi), pos))
-        out_rows.append(([g[_G]] if by else []) + qs)
-    fields = ([T.StructField(by, by_type, True)] if by else []) + [T.StructField(nm, T.DoubleType(), True) for nm in names]
-    if not by and not out_rows:
-        out_rows = [[None] * len(names)]
-    return spark.createDataFrame(out_rows, T.StructType(fields))
-
-
-def _group_ranges(data: DataFrame) -> list:
-    """Per-group size and value range (bounded by MAX_LEVELS groups)."""
-    groups = (data.groupBy(_G).agg(F.count("*").alias("n"), F.min(_X).alias("lo"), F.max(_X).alias("hi"))
-              .limit(S.MAX_LEVELS + 1).collect())
-    if len(groups) > S.MAX_LEVELS:
-        raise ValueError(f"more than {S.MAX_LEVELS} groups for grouped order statistics")
-    return groups
-
-
-def kth_smallest(df: DataFrame, column: str, ranks: dict, by: str | None = None,
-                 leaf_rows: int = 100_000, buckets: int = 4096, sizes: dict | None = None,
-                 domain: tuple | None = None, with_counts: bool = False) -> dict:
-    """Exact k-th smallest values of a numeric column (NULLs ignored).
-
-    ``ranks`` maps a group value (``None`` key when ungrouped) to a list of
-    1-based ranks.  Returns ``{(group, rank): value}``.  When the caller already
-    knows the non-NULL count per group (``sizes``) and a value range containing
-    every value (``domain``, e.g. the range of a hash), the sizing pass is skipped.
-    """
-    spark = df.sparkSession
-    base = df.select(*([col(by).alias(_G)] if by else [F.lit(0).alias(_G)]), col(column).cast("double").alias(_X))
-    data = base.where(F.col(_X).isNotNull())
-    by_type = df.schema[by].dataType if by else None
-    if sizes is not None and domain is not None:
-        groups = [{_G: (g if by else 0), "n": n, "lo": float(domain[0]), "hi": float(domain[1])}
-                  for g, n in sizes.items() if n > 0]
-    else:
-        groups = _group_ranges(data)
-    index = {(g[_G] if by else None): i for i, g in enumerate(groups)}
-    wanted = {index[gv]: sorted(set(rs)) for gv, rs in ranks.items() if gv in index and rs}
-    info: dict = {}
-    values = _order_stats(spark, data, by_type, groups, wanted, leaf_rows, buckets, info)
-    rev = {i: gv for gv, i in index.items()}
-    if with_counts:  # value, rows strictly below it, rows equal to it
-        return {(rev[i], r): (v, *info[(i, r)]) for (i, r), v in values.items() if r <= groups[i]["n"]}
-    return {(rev[i], r): v for (i, r), v in values.items() if r <= groups[i]["n"]}
-
-
-def _order_stats(spark, data, by_type, groups, wanted: dict, leaf_rows: int, buckets: int,
-                 info: dict | None = None) -> dict:
-    """Resolve {(group index, rank): value} by bucket refinement.
-
-    ``info`` (optional) receives {(group index, rank): (rows below the value, rows equal to it)}.
-    """
-    ranges: dict[int, tuple] = {}
-    targets: dict[tuple, int] = {}
-    for i, g in enumerate(groups):
-        if i not in wanted:
-            continue
-        ranges[i] = (g[_G], g["lo"], g["hi"], 0, g["n"])
-        for r in wanted[i]:
-            targets[(i, r)] = i
-    values: dict[tuple, float] = {}
-    per_level_buckets = max(16, min(buckets, (1 << 22) // max(1, len(ranges))))
-    while True:      # every level parts the least from the greatest value of a range, so it ends
-        leaf, split = {}, {}
-        for rid, (g, lo, hi, below, cnt) in ranges.items():
-            if lo == hi:
-                for (gi, r), trid in targets.items():
-                    if trid == rid:
-                        values[(gi, r)] = lo
-                        if info is not None:
-                            info[(gi, r)] = (below, cnt)
-            elif cnt <= leaf_rows:
-                leaf[rid] = ranges[rid]
-            else:
-                split[rid] = ranges[rid]
-        if leaf:
-            _resolve_leaves(spark, data, by_type, leaf, targets, values, info)
-        if not split:
-            break
-        ranges = _split_level(spark, data, by_type, split, targets, per_level_buckets)
-        targets = {k: v for k, v in targets.items() if k not in values}
-    return values
-
-
-def _range_frame(spark, data, by_type, ranges: dict) -> DataFrame:
-    """Rows of ``data`` that fall in one of the (disjoint) active ranges, tagged with rid/lo/hi."""
-    rows = [(rid, g, float(lo), float(hi)) for rid, (g, lo, hi, _b, _c) in ranges.items()]
-    if by_type is None and len(rows) <= 64:
-        # Ungrouped: literal range predicates (pushed into the scan as range filters).
-        rid = None
-        lo_e = hi_e = None
-        for r, g, lo, hi in rows:
-            cond = F.col(_X).between(lo, hi) & F.col(_G).eqNullSafe(F.lit(g).cast(by_type) if by_type else F.lit(g))
-            rid = F.when(cond, F.lit(r)) if rid is None else rid.when(cond, F.lit(r))
-            lo_e = F.when(cond, F.lit(lo)) if lo_e is None else lo_e.when(cond, F.lit(lo))
-            hi_e = F.when(cond, F.lit(hi)) if hi_e is None else hi_e.when(cond, F.lit(hi))
-        return (data.select(_G, _X, rid.alias("rid"), lo_e.alias("rlo"), hi_e.alias("rhi"))
-                .where(F.col("rid").isNotNull()))
-    schema = T.StructType([
-        T.StructField("rid", T.IntegerType()), T.StructField("rg", by_type or T.IntegerType()),
-        T.StructField("rlo", T.DoubleType()), T.StructField("rhi", T.DoubleType()),
-    ])
-    rtab = spark.createDataFrame(rows, schema)  # bounded by groups x ranks
-    return (data.join(F.broadcast(rtab), data[_G].eqNullSafe(rtab["rg"]))
-            .where(F.col(_X).between(F.col("rlo"), F.col("rhi")))
-            .select(_G, _X, "rid", "rlo", "rhi"))
-
-
-def _split_level(spark, data, by_type, split: dict, targets: dict, nb: int) -> dict:
-    framed = _range_frame(spark, data, by_type, split)
-    width = F.col("rhi") - F.col("rlo")
-    bucket = F.least(F.lit(nb - 1), F.floor((F.col(_X) - F.col("rlo")) / width * F.lit(nb))).cast("int")
-    hist = framed.groupBy("rid", bucket.alias("b")).agg(
-        F.count("*").alias("cnt"), F.min(_X).alias("blo"), F.max(_X).alias("bhi"))
-    w = Window.partitionBy("rid").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("cum", F.sum("cnt").over(w))
-    # Wanted (rid, rank) pairs: bounded by the number of targets.
-    want_rows = sorted({(rid, r - split[rid][3]) for (gi, r), rid in targets.items() if rid in split})
-    want = spark.createDataFrame(want_rows, "rid int, k long")
-    hit = (hist.join(F.broadcast(want), "rid")
-           .where((F.col("cum") - F.col("cnt") < F.col("k")) & (F.col("k") <= F.col("cum")))
-           .select("rid", "k", "b", "cnt", "blo", "bhi", (F.col("cum") - F.col("cnt")).alias("before"))
-           .collect())
-    new_ranges: dict[int, tuple] = {}
-    key_to_new: dict[tuple, int] = {}
-    remap: dict[tuple, int] = {}
-    for h in hit:
-        g, _lo, _hi, below, _cnt = split[h["rid"]]
-        key = (h["rid"], h["b"])
-        if key not in key_to_new:
-            nid = len(key_to_new) + 10_000_000 * (1 + max(split))  # fresh ids
-            key_to_new[key] = nid
-            new_ranges[nid] = (g, h["blo"], h["bhi"], below + h["before"], h["cnt"])
-        remap[(h["rid"], h["k"])] = key_to_new[key]
-    for tkey, rid in list(targets.items()):
-        if rid in split:
-            targets[tkey] = remap[(rid, tkey[1] - split[rid][3])]
-    # Renumber compactly so ids stay small ints.
-    compact = {old: i for i, old in enumerate(new_ranges)}
-    for tkey, rid in list(targets.items()):
-        if rid in compact:
-            targets[tkey] = compact[rid]
-    return {compact[old]: v for old, v in new_ranges.items()}
-
-
-def _resolve_leaves(spark, data, by_type, leaf: dict, targets: dict, values: dict, info: dict | None = None) -> None:
-    framed = _range_frame(spark, data, by_type, leaf)
-    counts = framed.groupBy("rid", _X).agg(F.count("*").alias("cnt"))
-    w = Window.partitionBy("rid").orderBy(_X).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("cum", F.sum("cnt").over(w))
-    want_rows = sorted({(rid, r - leaf[rid][3]) for (gi, r), rid in targets.items() if rid in leaf})
-    want = spark.createDataFrame(want_rows, "rid int, k long")
-    hits = (counts.join(F.broadcast(want), "rid")
-            .where((F.col("cum") - F.col("cnt") < F.col("k")) & (F.col("k") <= F.col("cum")))
-            .select("rid", "k", _X, "cum", "cnt").collect())
-    found = {(h["rid"], h["k"]): h for h in hits}
-    for (gi, r), rid in targets.items():
-        if rid in leaf:
-            h = found[(rid, r - leaf[rid][3])]
-            values[(gi, r)] = h[_X]
-            if info is not None:
-                info[(gi, r)] = (leaf[rid][3] + h["cum"] - h["cnt"], h["cnt"])
-
-
 def multi_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> dict:
     """Exact quantiles of several numeric columns in shared passes.
 
@@ -290,7 +154,138 @@ def multi_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         return {}
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("g"), col(c).cast("double").alias("x")) for i, c in enumerate(cols)])).alias("s"))
-    stacked = stacked.select(F.col("s.g").alias("g"), F.col("s.x").alias("x"))
+    stacked = stacked.select(F.col("s.g").alias("g"), F.col("s.x").alias("x")).where(F.col("x").isNotNull())
     rows = quantiles(stacked, "x", probs, by="g", **kw).collect()
     found = {r[0]: [r[i + 1] for i in range(len(probs))] for r in rows}
     return {c: found.get(i, [None] * len(probs)) for i, c in enumerate(cols)}
+
+
+def kth_smallest(df: DataFrame, column: str, ranks: dict, by: str | None = None,
+                 leaf_rows: int = LEAF_ROWS, bits: int = BITS, sizes: dict | None = None,
+                 domain: tuple | None = None, with_counts: bool = False) -> dict:
+    """Exact k-th smallest values of a numeric column (NULLs ignored).
+
+    ``ranks`` maps a group value (``None`` key when ungrouped) to a list of
+    1-based ranks (a bounded dictionary of the caller's).  Returns
+    ``{(group, rank): value}``, or with ``with_counts`` (value, rows below it,
+    rows equal to it).  When the caller already knows the non-NULL count per
+    group (``sizes``) and a value range containing every value (``domain``,
+    e.g. the range of a hash), the first pass starts from that range.
+    """
+    spark = df.sparkSession
+    by_type = df.schema[by].dataType if by else None
+    data = (df.select((col(by) if by else F.lit(0)).alias(_G), col(column).cast("double").alias(_X))
+            .where(F.col(_X).isNotNull()))
+    groups = list(ranks)
+    if sizes is not None and domain is not None:
+        lo, hi = (key_of(float(v)) for v in domain)
+        start = {(i, r): (lo, hi, 0, sizes[g]) for i, g in enumerate(groups) for r in set(ranks[g])
+                 if 0 < r <= sizes.get(g, 0)}
+    else:
+        asked = spark.createDataFrame(
+            [(i, g if by else 0, sorted(set(ranks[g]))) for i, g in enumerate(groups) if ranks[g]],
+            T.StructType([T.StructField("gi", T.IntegerType()), T.StructField("ag", by_type or T.IntegerType()),
+                          T.StructField("ranks", T.ArrayType(T.LongType()))]))
+        few = data.join(F.broadcast(asked), F.col(_G).eqNullSafe(F.col("ag"))).select(F.col("gi").alias(_G), _X, "ranks")
+        first = _first_pass(few, None, sum(len(set(r)) for r in ranks.values()))
+        start = {(r[_G], r["rank"]): (r["lo"], r["hi"], r["below"], r["cnt"]) for r in first}
+    found = _select(data, by_type, groups if by else [0], start, leaf_rows, bits)
+    return {(groups[i], r): (v if with_counts else v[0]) for (i, r), v in found.items()}
+
+
+# radix selection ----------------------------------------------------------------------
+def _first_pass(data: DataFrame, wanted: Callable[[Column], Column] | None, limit: int) -> list | None:
+    """Per group and wanted rank the bucket of leading bits that holds it; None beyond ``limit`` rows.
+
+    ``wanted`` gives the ranks from the group's size; without it, data carries them in the column ``ranks``.
+    """
+    keyed = sort_key(data, _X)
+    aggs = [F.count("*").alias("cnt"), F.min(_K).alias("lo"), F.max(_K).alias("hi")]
+    if wanted is None:
+        aggs.append(F.first("ranks").alias("ranks"))
+    hist = keyed.groupBy(_G, F.shiftright(_K, 64 - BITS).alias("top")).agg(*aggs)
+    w = Window.partitionBy(_G)
+    hist = hist.select("*", F.sum("cnt").over(w).alias("n"),
+                       (F.sum("cnt").over(w.orderBy("top")) - F.col("cnt")).alias("below"))
+    ranks = F.col("ranks") if wanted is None else wanted(F.col("n"))
+    hit = (hist.withColumn("ranks", F.filter(ranks, lambda r: (r > F.col("below")) & (r <= F.col("below") + F.col("cnt"))))
+           .select(_G, "n", "below", "cnt", "lo", "hi", F.explode("ranks").alias("rank")))
+    rows = hit.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
+
+
+def _select(data: DataFrame, by_type, groups: list, start: dict, leaf_rows: int, bits: int) -> dict:
+    """{(group index, rank): (value, rows below it, rows equal to it)}, one pass per level of digits.
+
+    ``start`` gives per (group index, rank) a range of keys that holds it: (lo, hi, rows below lo, rows in it).
+    """
+    found, active = {}, dict(start)
+    while True:
+        found.update({k: (value_of(lo), below, cnt) for k, (lo, hi, below, cnt) in active.items() if lo == hi})
+        active = {k: v for k, v in active.items() if k not in found}
+        if not active:
+            return found
+        # ranks that share a range share its counts
+        ranges = {r: i for i, r in enumerate(dict.fromkeys((k[0], *v) for k, v in active.items()))}
+        rows = [(i, groups[g], value_of(lo), value_of(hi),
+                 0 if cnt <= leaf_rows else max(0, (hi - lo).bit_length() - bits))
+                for (g, lo, hi, _below, cnt), i in ranges.items()]
+        asked = {(ranges[(k[0], *v)], k[1] - v[2]) for k, v in active.items()}
+        hits = _digit_pass(data, by_type, rows, sorted(asked))
+        active = {k: (h["lo"], h["hi"], v[2] + h["below"], h["cnt"]) for k, v in active.items()
+                  for h in [hits[(ranges[(k[0], *v)], k[1] - v[2])]]}
+
+
+def _in_ranges(data: DataFrame, by_type, rows: list) -> DataFrame:
+    """Rows of ``data`` in one of the ranges, tagged with its number and its digits' shift."""
+    if by_type is None and len(rows) <= 64:
+        # ungrouped: literal range predicates (pushed into the scan as range filters)
+        rid = shift = None
+        for i, _g, lo, hi, s in rows:
+            inside = F.col(_X).between(F.lit(lo), F.lit(hi))
+            rid = F.when(inside, F.lit(i)) if rid is None else rid.when(inside, F.lit(i))
+            shift = F.when(inside, F.lit(s)) if shift is None else shift.when(inside, F.lit(s))
+        low, high = min(r[2] for r in rows), max(r[3] for r in rows)
+        return (data.where(F.col(_X).between(F.lit(low), F.lit(high)))
+                .select(_X, rid.alias("rid"), shift.alias("shift")).where(F.col("rid").isNotNull()))
+    table = data.sparkSession.createDataFrame(rows, T.StructType([   # bounded by MAX_LEVELS groups x ranks
+        T.StructField("rid", T.IntegerType()), T.StructField("rg", by_type or T.IntegerType()),
+        T.StructField("rlo", T.DoubleType()), T.StructField("rhi", T.DoubleType()),
+        T.StructField("shift", T.IntegerType())]))
+    return (data.join(F.broadcast(table), F.col(_G).eqNullSafe(F.col("rg")))
+            .where(F.col(_X).between(F.col("rlo"), F.col("rhi"))).select(_X, "rid", "shift"))
+
+
+def _digit_pass(data: DataFrame, by_type, rows: list, asked: list) -> dict:
+    """{(range, rank in it): its digit's bucket} from one count of the rows in the ranges by their next digit."""
+    keyed = sort_key(_in_ranges(data, by_type, rows), _X)
+    hist = keyed.groupBy("rid", F.expr(f"shiftright({_K}, shift)").alias("digit")).agg(
+        F.count("*").alias("cnt"), F.min(_K).alias("lo"), F.max(_K).alias("hi"))
+    w = Window.partitionBy("rid").orderBy("digit")
+    hist = hist.withColumn("below", F.sum("cnt").over(w) - F.col("cnt"))
+    want = data.sparkSession.createDataFrame(asked, "rid int, rank long")
+    hits = (hist.join(F.broadcast(want), "rid")
+            .where((F.col("below") < F.col("rank")) & (F.col("rank") <= F.col("below") + F.col("cnt")))
+            .select("rid", "rank", "below", "cnt", "lo", "hi").collect())
+    return {(h["rid"], h["rank"]): h for h in hits}
+
+
+# any number of groups -----------------------------------------------------------------
+def _sorted_quantiles(data: DataFrame, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Quantiles per group from one global sort of the distinct (group, value) counts; nothing is collected."""
+    counts = data.groupBy(_G, _X).agg(F.count("*").alias("cnt"))
+    cum = running_sums(counts, _X, ["cnt"], by=_G)
+    sizes = data.groupBy(F.col(_G).alias("__qs")).agg(F.count("*").alias("n"))
+    placed = cum.join(sizes, F.col(_G).eqNullSafe(F.col("__qs")))
+
+    def at(rank: Column) -> Column:
+        here = (F.col("cum_cnt") - F.col("cnt") < rank) & (rank <= F.col("cum_cnt"))
+        return F.max(F.when(here, F.col(_X)))
+    parts, out = [], []
+    for i, (p, nm) in enumerate(zip(probs, names)):
+        pos = (F.col("n") - 1) * F.lit(float(p))
+        parts += [at(F.floor(pos) + 1).alias(f"lo{i}"), at(F.ceil(pos) + 1).alias(f"hi{i}")]
+        # written as Spark's percentile evaluates it
+        out.append(F.when(F.floor(pos) == F.ceil(pos), F.col(f"lo{i}")).otherwise(
+            (F.ceil(pos) - pos) * F.col(f"lo{i}") + (pos - F.floor(pos)) * F.col(f"hi{i}")).alias(nm))
+    return placed.groupBy(_G, "n").agg(*parts).select(_G, *out)

@@ -2,25 +2,25 @@
 
 Every chart of the reference becomes its plot data as a DataFrame.  Row-level
 work is aggregation on the executors; what comes back to the driver is a
-one-row statistic or a level list bounded by ``MAX_LEVELS``.
+one-row statistic or, for tables with a column per level, a level list bounded
+by ``MAX_LEVELS``.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import session as S
+from ..functions.moments import correlations
+from ..functions.pairs import chi_square_share, dense_cells, level_totals, pair_counts
 from ..functions.quantile import quantile_values, quantiles
 from ..functions.stats import col, complete_rows, guarded_corr, is_factor, is_numeric, is_string, one_row, rounded
 from ..fixed import HIST_BINS, IQR_FACTOR, QUALITATIVE_MAX_DISTINCT, STAT_DECIMALS
 from .profile import is_qualitative
 
-MAX_CELLS = 1_000_000
-
 
 def _require_numeric(df: DataFrame, c: str) -> None:
     if not is_numeric(df, c) or is_factor(df, c):
@@ -113,12 +113,9 @@ def _box_by(df: DataFrame, c: str, by: str) -> DataFrame:
     fences = qs.select(col(by).alias("__lvl"), "q1", "median", "q3",
                        (F.col("q1") - IQR_FACTOR * (F.col("q3") - F.col("q1"))).alias("lower_fence"),
                        (F.col("q3") + IQR_FACTOR * (F.col("q3") - F.col("q1"))).alias("upper_fence"))
-    n_levels = fences.count()
-    if n_levels > S.MAX_LEVELS:
-        raise ValueError(f"{by!r} has more than {S.MAX_LEVELS} levels")
+    right = F.broadcast(fences) if fences.count() <= S.BROADCAST_ROWS else fences
     x = col(c).cast("double")
-    joined = df.select(col(by).alias("__g"), x.alias("__x")).join(
-        F.broadcast(fences), F.col("__g").eqNullSafe(F.col("__lvl")))  # bounded by MAX_LEVELS rows
+    joined = df.select(col(by).alias("__g"), x.alias("__x")).join(right, F.col("__g").eqNullSafe(F.col("__lvl")))
     lf, uf, xx = F.col("lower_fence"), F.col("upper_fence"), F.col("__x")
     return (joined.groupBy("__lvl", "q1", "median", "q3", "lower_fence", "upper_fence")
             .agg(F.min(F.when(xx >= lf, xx)).alias("lower_whisker"),
@@ -184,23 +181,10 @@ def pearson(df: DataFrame, x: str, y: str, digits: int | None = STAT_DECIMALS) -
 def corr_matrix(df: DataFrame, cols=None, digits: int | None = None) -> DataFrame:
     """Correlation matrix over listwise-complete rows, long form (x, y, r) for x <= y."""
     cols = list(cols or [f.name for f in df.schema.fields if is_numeric(df, f.name) and not is_factor(df, f.name)])
+    if not cols:
+        return df.sparkSession.createDataFrame([], "x string, y string, r double")
     complete = complete_rows(df.select(*[col(c).cast("double").alias(c) for c in cols]))
-    spark = df.sparkSession
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    if len(cols) <= 60:
-        exprs = [guarded_corr(col(a), col(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)]
-        row = one_row(complete, exprs)
-        vals = [(a, b, row[f"{i}"]) for i, (a, b) in enumerate(pairs)]
-    else:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-        vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(complete).select("__v")
-        m = Correlation.corr(vec, "__v").first()[0].toArray()
-        vals = [(a, b, None if math.isnan(m[i][j]) else float(m[i][j]))
-                for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    # a column correlates fully with itself, constant or not
-    vals = [(a, b, 1.0 if a == b else r) for a, b, r in vals]
-    res = spark.createDataFrame(vals, "x string, y string, r double")
+    res = correlations(complete, cols)
     return res.select("x", "y", rounded(F.col("r"), digits).alias("r"))
 
 
@@ -226,71 +210,44 @@ def correlation_ratio(df: DataFrame, x: str, y: str, digits: int | None = STAT_D
 
 
 # B7 / B8 ------------------------------------------------------------------------------
-def _levels(df: DataFrame, c: str) -> list:
-    rows = (df.select(col(c)).where(col(c).isNotNull()).distinct().orderBy(col(c))
-            .limit(S.MAX_LEVELS + 1).collect())
-    if len(rows) > S.MAX_LEVELS:
-        raise ValueError(f"{c!r} has more than {S.MAX_LEVELS} levels")
-    return [r[0] for r in rows]
-
-
 def contingency(df: DataFrame, x: str, y: str, wide: bool = False, check_qualitative: bool = True) -> DataFrame:
     """Counts for every (x level, y level) pair, zeros included, pairs with a NULL excluded.
 
-    The level grid is generated from the two bounded level lists (no join of
-    data rows); the observed counts are one distributed aggregate.
+    Any number of levels in the long form; ``wide`` has a column per level of y, at most ``MAX_LEVELS``.
     """
     if check_qualitative:
         for c in (x, y):
             if not is_qualitative(df, c):
                 raise ValueError(f"{c!r} is not qualitative")
-    pairs = df.select(col(x).alias("x"), col(y).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    counts = pairs.groupBy("x", "y").agg(F.count("*").alias("count"))
-    lx, ly = _levels(pairs, "x"), _levels(pairs, "y")
-    if len(lx) * len(ly) > MAX_CELLS:
-        raise ValueError("contingency table too large")
-    spark = df.sparkSession
-    tx, ty = df.schema[x].dataType, df.schema[y].dataType
-    if not lx or not ly:
-        return spark.createDataFrame([], T.StructType([T.StructField(x, tx), T.StructField(y, ty),
-                                                        T.StructField("count", T.LongType())]))
-    arr_x = F.array(*[F.lit(v).cast(tx) for v in lx])
-    arr_y = F.array(*[F.lit(v).cast(ty) for v in ly])
-    ny = len(ly)
-    grid = spark.range(len(lx) * ny).select(
-        F.element_at(arr_x, (F.col("id") / ny).cast("int") + 1).alias("x"),
-        F.element_at(arr_y, (F.col("id") % ny).cast("int") + 1).alias("y"))
-    cells = (grid.join(counts, ["x", "y"], "left")
-             .select(F.col("x").alias(x), F.col("y").alias(y), F.coalesce("count", F.lit(0)).cast("long").alias("count")))
+    counts = pair_counts(df, x, y)
+    cells = dense_cells(counts, counts.select("x").distinct(), counts.select("y").distinct())
+    cells = cells.select(F.col("x").alias(x), F.col("y").alias(y), F.col("n").alias("count"))
     if wide:
-        return cells.groupBy(x).pivot(y, ly).agg(F.first("count")).orderBy(x)
+        levels = [r[0] for r in counts.select("y").distinct().orderBy("y").limit(S.MAX_LEVELS + 1).collect()]
+        if len(levels) > S.MAX_LEVELS:
+            raise ValueError(f"{y!r} has more than {S.MAX_LEVELS} levels; the wide form has a column for each")
+        return cells.groupBy(x).pivot(y, levels).agg(F.first("count")).orderBy(x)
     return cells
 
 
 def column_profiles(df: DataFrame, x: str, y: str) -> DataFrame:
     """Within each level of y, the share of each level of x (zero cells kept)."""
-    cells = contingency(df, x, y, check_qualitative=False)
-    per_y = Window.partitionBy(col(y))  # over the bounded cell table
-    return cells.select(col(x), col(y), "count",
-                        F.try_divide(F.col("count").cast("double"), F.sum("count").over(per_y).cast("double"))
-                        .alias("proportion"))
+    counts = pair_counts(df, x, y)
+    cells = dense_cells(counts, counts.select("x").distinct(), counts.select("y").distinct())
+    share = F.try_divide(F.col("n").cast("double"), F.col("y_total").cast("double"))
+    return cells.join(level_totals(counts, "y"), "y").select(
+        F.col("x").alias(x), F.col("y").alias(y), F.col("n").alias("count"), share.alias("proportion"))
 
 
 # B9 -----------------------------------------------------------------------------------
 def cramers_v(df: DataFrame, x: str, y: str, digits: int | None = STAT_DECIMALS) -> DataFrame:
     """Cramer's V without continuity correction; NULL when a side has one level."""
-    cells = contingency(df, x, y)
-    wx, wy = Window.partitionBy(col(x)), Window.partitionBy(col(y))
-    tot = Window.partitionBy()
-    e = cells.select(
-        F.col("count").cast("double").alias("o"),
-        (F.sum("count").over(wx) * F.sum("count").over(wy) / F.sum("count").over(tot)).alias("e"),
-        F.sum("count").over(tot).cast("double").alias("n"))
-    nx = cells.select(col(x)).distinct().count()
-    ny = cells.select(col(y)).distinct().count()
-    k = min(nx, ny) - 1
-    chi2 = F.sum(F.try_divide((F.col("o") - F.col("e")) ** 2, F.col("e")))
-    return e.agg(rounded(F.sqrt(F.try_divide(chi2, F.first("n") * F.lit(float(k)))), digits).alias("cramers_v"))
+    for c in (x, y):
+        if not is_qualitative(df, c):
+            raise ValueError(f"{c!r} is not qualitative")
+    levels = (F.least("n_x", "n_y") - 1).cast("double")
+    return chi_square_share(pair_counts(df, x, y)).select(
+        rounded(F.sqrt(F.try_divide(F.col("phi2"), levels)), digits).alias("cramers_v"))
 
 
 # B10 ----------------------------------------------------------------------------------

@@ -22,6 +22,7 @@ from ..operators import models as MO
 from ..operators import profile as P
 from ..operators import sampling as SA
 from ..operators import scale as SC
+from ..functions.quantile import kth_smallest, quantiles
 from ..sources.readers import load
 from . import recipes as RC
 from ..workspace import Workspace
@@ -727,12 +728,129 @@ def q_auc_multiclass_rule(spark, sf_dir):
 
 
 @register("corr_matrix_constant_column", """
-SELECT 'one' AS x, 'one' AS y, 1.0::DOUBLE AS r
-UNION ALL SELECT 'l_quantity', 'l_quantity', 1.0::DOUBLE
-UNION ALL SELECT 'l_quantity', 'one', NULL::DOUBLE""")
+WITH c AS (SELECT l_quantity, 1.0::DOUBLE AS one FROM lineitem WHERE l_quantity IS NOT NULL),
+v AS (SELECT var_pop(l_quantity) > 0 AS varies, var_pop(one) > 0 AS one_varies FROM c)
+SELECT 'one' AS x, 'one' AS y, round(CASE WHEN one_varies THEN corr(one, one) ELSE 1.0 END, 6) AS r
+FROM c, v GROUP BY one_varies
+UNION ALL SELECT 'l_quantity', 'l_quantity', round(corr(l_quantity, l_quantity), 6) FROM c
+UNION ALL SELECT 'l_quantity', 'one', CASE WHEN varies AND one_varies THEN corr(l_quantity, one) END FROM c, v
+          GROUP BY varies, one_varies""")
 def q_corr_matrix_constant_column(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_quantity", F.lit(1.0).alias("one"))
-    return EX.corr_matrix(rows, ["l_quantity", "one"])
+    return EX.corr_matrix(rows, ["l_quantity", "one"], digits=6)
+
+
+_WIDE = 61
+
+
+def _wide_sql() -> str:
+    cols = ", ".join(f"((l_orderkey * {i} + l_partkey) % 97 + l_quantity / {i})::DOUBLE AS c{i}" for i in range(1, _WIDE + 1))
+    cells = ", ".join(f"{{'x': 'c{i}', 'y': 'c{j}', 'r': round(corr(c{i}, c{j}), 6)}}"
+                      for i in range(1, _WIDE + 1) for j in range(i, _WIDE + 1))
+    return f"WITH w AS (SELECT {cols} FROM lineitem)\nSELECT unnest([{cells}], recursive := true) FROM w"
+
+
+@register("corr_matrix_61_columns", _wide_sql())
+def q_corr_matrix_61_columns(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(*[
+        ((F.col("l_orderkey") * i + F.col("l_partkey")) % 97 + F.col("l_quantity") / i).cast("double").alias(f"c{i}")
+        for i in range(1, _WIDE + 1)])
+    return EX.corr_matrix(rows, digits=6)
+
+
+# quantiles of values of any spread ------------------------------------------------------
+_SPREAD_PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+
+
+@register("quantiles_wide_spread", """
+WITH x AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END * power(10.0::DOUBLE, l_orderkey % 499 - 250) AS v
+           FROM lineitem),
+r AS (SELECT v, row_number() OVER (ORDER BY v) AS rank, count(*) OVER () AS n FROM x),
+p AS (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]::DOUBLE[]) AS prob),
+a AS (SELECT prob, (n - 1) * prob AS pos, max(v) FILTER (rank = floor((n - 1) * prob) + 1) AS lo,
+             max(v) FILTER (rank = ceil((n - 1) * prob) + 1) AS hi FROM r, p GROUP BY prob, n),
+q AS (SELECT prob, CASE WHEN floor(pos) = ceil(pos) THEN lo ELSE (ceil(pos) - pos) * lo + (pos - floor(pos)) * hi END AS v
+      FROM a)
+SELECT prob, sign(v)::DOUBLE AS sign, round(log10(abs(v)), 6) AS magnitude FROM q""")
+def q_quantiles_wide_spread(spark, sf_dir):
+    sign = F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1)
+    x = table(spark, sf_dir, "lineitem").select((sign * F.pow(F.lit(10.0), F.col("l_orderkey") % 499 - 250)).alias("v"))
+    q = quantiles(x, "v", _SPREAD_PROBS, names=[f"q{i}" for i in range(len(_SPREAD_PROBS))])
+    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("prob"), F.col(f"q{i}").alias("v"))
+                               for i, p in enumerate(_SPREAD_PROBS)]))
+    return q.select(rows.alias("r")).select("r.prob", F.signum("r.v").alias("sign"),
+                                            F.round(F.log10(F.abs("r.v")), 6).alias("magnitude"))
+
+
+_INF_SQL = """WITH x AS (SELECT event_type, CASE WHEN event_id % 5 = 0 THEN 'Infinity'::DOUBLE
+                                  WHEN event_id % 5 = 1 THEN '-Infinity'::DOUBLE ELSE value END AS v FROM events),
+r AS (SELECT event_type, v, row_number() OVER (PARTITION BY event_type ORDER BY v) AS rank,
+             count(*) OVER (PARTITION BY event_type) AS n FROM x WHERE v IS NOT NULL)
+"""
+
+
+@register("quantiles_with_infinity", _INF_SQL + """
+SELECT event_type, max(v) FILTER (rank = (n - 1) // 10 + 1)::VARCHAR AS low,
+       round(max(v) FILTER (rank = (n - 1) // 2 + 1), 6) AS mid,
+       max(v) FILTER (rank = n)::VARCHAR AS high FROM r GROUP BY event_type""")
+def q_quantiles_with_infinity(spark, sf_dir):
+    x = table(spark, sf_dir, "events").select("event_type", F.when(F.col("event_id") % 5 == 0, F.lit(float("inf")))
+                                              .when(F.col("event_id") % 5 == 1, F.lit(float("-inf")))
+                                              .otherwise(F.col("value")).alias("v"))
+    sizes = {r[0]: r[1] for r in x.where(F.col("v").isNotNull()).groupBy("event_type").count().collect()}
+    got = kth_smallest(x, "v", {g: [(n - 1) // 10 + 1, (n - 1) // 2 + 1, n] for g, n in sizes.items()}, by="event_type")
+
+    def text(v: float) -> str:
+        return {float("inf"): "inf", float("-inf"): "-inf"}.get(v, str(v))
+    rows = [(g, text(got[(g, (n - 1) // 10 + 1)]), round(got[(g, (n - 1) // 2 + 1)], 6), text(got[(g, n)]))
+            for g, n in sizes.items()]
+    return spark.createDataFrame(rows, "event_type string, low string, mid double, high string")
+
+
+@register("box_by_all_null_group", """
+WITH t AS (SELECT CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS level,
+                  CASE WHEN event_type = 'view' THEN NULL ELSE value END AS value FROM events),
+q AS (SELECT level, quantile_cont(value, 0.25) AS q1, median(value) AS med, quantile_cont(value, 0.75) AS q3
+      FROM t GROUP BY level),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS uf FROM q)
+SELECT f.level, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3, round(lf, 6) AS lower_fence,
+       round(uf, 6) AS upper_fence, round(min(CASE WHEN value >= lf THEN value END), 6) AS lower_whisker,
+       round(max(CASE WHEN value <= uf THEN value END), 6) AS upper_whisker,
+       coalesce(count_if(value < lf OR value > uf), 0)::BIGINT AS n_outliers
+FROM t JOIN f ON t.level IS NOT DISTINCT FROM f.level GROUP BY f.level, q1, med, q3, lf, uf""")
+def q_box_by_all_null_group(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    t = e.select(F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("level"),
+                 F.when(F.col("event_type") != "view", F.col("value")).alias("value"))
+    return round_doubles(EX.box_stats(t, "value", by="level"))
+
+
+@register("box_by_customer", """
+WITH t AS (SELECT o_custkey AS level, o_totalprice AS value FROM orders),
+q AS (SELECT level, quantile_cont(value, 0.25) AS q1, median(value) AS med, quantile_cont(value, 0.75) AS q3
+      FROM t GROUP BY level),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS uf FROM q)
+SELECT f.level, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3, round(lf, 6) AS lower_fence,
+       round(uf, 6) AS upper_fence, round(min(CASE WHEN value >= lf THEN value END), 6) AS lower_whisker,
+       round(max(CASE WHEN value <= uf THEN value END), 6) AS upper_whisker,
+       count_if(value < lf OR value > uf)::BIGINT AS n_outliers
+FROM t JOIN f USING (level) GROUP BY f.level, q1, med, q3, lf, uf""")
+def q_box_by_customer(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("level"), F.col("o_totalprice").alias("value"))
+    return round_doubles(EX.box_stats(t, "value", by="level"))
+
+
+@register("cramers_v_priority_customer", """
+WITH p AS (SELECT o_orderpriority AS x, o_custkey::VARCHAR AS y, count(*) AS n FROM orders
+           WHERE o_orderpriority IS NOT NULL AND o_custkey IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT x, sum(n) AS rt FROM p GROUP BY x), c AS (SELECT y, sum(n) AS ct FROM p GROUP BY y),
+k AS (SELECT least((SELECT count(*) FROM r), (SELECT count(*) FROM c)) - 1 AS k, (SELECT sum(n) FROM p) AS t)
+SELECT round(sqrt(sum((coalesce(n, 0) - rt * ct / t::DOUBLE) ** 2 / (rt * ct / t::DOUBLE)) / (any_value(t) * any_value(k))), 6)
+       AS cramers_v
+FROM r CROSS JOIN c LEFT JOIN p USING (x, y) CROSS JOIN k""")
+def q_cramers_v_priority_customer(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").withColumn("customer", F.col("o_custkey").cast("string"))
+    return EX.cramers_v(t, "o_orderpriority", "customer", digits=6)
 
 
 # L4 / recipes -------------------------------------------------------------------------

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 # plain module constants so that a deployment can tune them in one place.
 MAX_LEVELS = 10_000            # categorical levels allowed in a dictionary / wide output
 BROADCAST_ROWS = 200_000       # rows of a small side that may be broadcast
-EXACT_DIRECT_ROWS = 200_000    # up to this many values, Spark's exact `percentile` is used directly
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "loom") -> SparkSession:

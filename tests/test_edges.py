@@ -119,7 +119,7 @@ def test_quartiles_type7(spark):
     df = frame(spark, [(1.0,), (2.0,), (3.0,), (10.0,)], "x double")
     q1, med = quantile_values(df, "x", [0.25, 0.5])
     assert q1 == 1.75 and med == 2.5
-    q1b, medb = quantile_values(df, "x", [0.25, 0.5], direct_limit=-1)
+    q1b, medb = quantile_values(df, "x", [0.25, 0.5], leaf_rows=0, bits=3)
     assert (q1b, medb) == (1.75, 2.5)
 
 

@@ -61,7 +61,7 @@ def test_holdout_refinement_path_matches_window(spark, events):
     df = with_hash(events.select("event_id"), 11, "event_id")
     k = 333
     orig = Q.kth_smallest.__defaults__
-    Q.kth_smallest.__defaults__ = (None, 50, 8, None, None, False)  # by, leaf, buckets, sizes, domain, counts
+    Q.kth_smallest.__defaults__ = (None, 50, 3, None, None, False)  # by, leaf, bits, sizes, domain, counts
     try:
         keep = hash_threshold_filter(df, "event_id", {None: k})
         got = {r[0] for r in df.where(keep).select("event_id").collect()}
@@ -152,14 +152,14 @@ def test_accuracy_is_trace_over_total(spark):
     assert acc == pytest.approx(trace / df.count())
 
 
-def test_quantile_refinement_matches_direct(spark, events):
+def test_quantile_passes_match_percentile(spark, events):
     from loom.functions.quantile import quantiles
     probs = [0.1, 0.25, 0.5, 0.75, 0.9]
-    a = quantiles(events, "value", probs).first()
-    b = quantiles(events, "value", probs, direct_limit=-1, leaf_rows=20, buckets=8).first()
-    assert list(a) == pytest.approx(list(b))
-    ga = sorted(quantiles(events, "value", probs, by="event_type").collect())
-    gb = sorted(quantiles(events, "value", probs, by="event_type", direct_limit=-1, leaf_rows=20, buckets=4).collect())
+    aggs = [F.percentile("value", p) for p in probs]
+    b = quantiles(events, "value", probs, leaf_rows=20, bits=3).first()
+    assert list(b) == pytest.approx(list(events.agg(*aggs).first()))
+    ga = sorted(events.groupBy("event_type").agg(*aggs).collect())
+    gb = sorted(quantiles(events, "value", probs, by="event_type", leaf_rows=20, bits=2).collect())
     for x, y in zip(ga, gb):
         assert x[0] == y[0] and list(x[1:]) == pytest.approx(list(y[1:]))
 

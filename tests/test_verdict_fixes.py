@@ -1,9 +1,9 @@
 """Answers that once depended on the table's size, or were lost on the way through CSV."""
 
 import pytest
-
 from pyspark.sql import functions as F
 
+from loom import session as S
 from loom.functions.quantile import quantiles
 from loom.functions.stats import distinct_counts
 from loom.operators import evaluate as V
@@ -19,12 +19,12 @@ from loom.sources.writers import save_table_csv
 from loom.workspace import Workspace
 
 
-def test_all_null_group_on_both_paths(spark):
-    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", None)], "g string, x double")
-    want = [("a", 2.0), ("b", None)]
-    for limit in (100, 0):
-        got = quantiles(df, "x", [0.5], by="g", names=["m"], direct_limit=limit)
-        assert sorted((r.g, r.m) for r in got.collect()) == want
+@pytest.mark.parametrize("max_levels", [100, 1])
+def test_all_null_group_on_both_paths(spark, monkeypatch, max_levels):
+    monkeypatch.setattr(S, "MAX_LEVELS", max_levels)
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("c", 7.0), ("b", None)], "g string, x double")
+    got = quantiles(df, "x", [0.5], by="g", names=["m"])
+    assert sorted((r.g, r.m) for r in got.collect()) == [("a", 2.0), ("b", None), ("c", 7.0)]
 
 
 def test_csv_keeps_quotes_commas_and_dates(spark, tmp_path):
@@ -129,18 +129,19 @@ def test_roc_direction(spark):
         V.auc(df, direction="down")
 
 
-def test_quantiles_with_infinities_and_default_names_on_both_paths(spark):
+@pytest.mark.parametrize("max_levels", [100, 1])
+def test_quantiles_with_infinities_and_default_names_on_both_paths(spark, monkeypatch, max_levels):
+    monkeypatch.setattr(S, "MAX_LEVELS", max_levels)
     inf = float("inf")
     rows = [("a", float(i)) for i in range(50)] + [("a", inf), ("b", -inf), ("b", -inf), ("b", 3.0), ("c", inf), ("d", None)]
     df = spark.createDataFrame(rows, "g string, x double")
     want = {"a": (12.5, 25.0), "b": (-inf, -inf), "c": (inf, inf), "d": (None, None)}
-    for limit in (1000, 0):
-        got = quantiles(df, "x", [0.25, 0.5], by="g", direct_limit=limit, leaf_rows=8, buckets=4)
-        assert {r["g"]: (r["q0.25"], r["q0.5"]) for r in got.collect()} == want
-        assert quantiles(df, "x", [0.5], direct_limit=limit, leaf_rows=8, buckets=4).first()[0] == 24.0
+    got = quantiles(df, "x", [0.25, 0.5], by="g", leaf_rows=8, bits=4)
+    assert {r["g"]: (r["q0.25"], r["q0.5"]) for r in got.collect()} == want
+    assert quantiles(df, "x", [0.5], leaf_rows=8, bits=4).first()[0] == 24.0
 
 
 def test_quantiles_of_log_spread_values(spark):
     df = spark.range(-60, 60).selectExpr("pow(10D, id) AS x")
-    assert quantiles(df, "x", [0.1], direct_limit=0, leaf_rows=4, buckets=16).first()[0] == pytest.approx(
-        quantiles(df, "x", [0.1]).first()[0])
+    assert quantiles(df, "x", [0.1], leaf_rows=4, bits=4).first()[0] == pytest.approx(
+        df.agg(F.percentile("x", 0.1)).first()[0])
