@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import MEDIUM, SMALL
 from loom.operators import models as M
+from loom.operators import svm as SVM
 from loom.plans.inspect import has_python_udf, physical_plan
 
 
@@ -58,7 +59,7 @@ def test_poly_kernel_identity(spark):
     feats = [f"x{i}" for i in range(4)]
     df = spark.createDataFrame([tuple(map(float, u)), tuple(map(float, v))], ", ".join(f"{f} double" for f in feats))
     gamma = 0.25
-    phi = np.array(df.select(*M.poly3_columns(feats, gamma)).collect())
+    phi = np.array([r[0] for r in df.select(SVM.cubic_map(feats, gamma)).collect()])
     assert phi.shape[1] == math.comb(4 + 2, 3)
     assert float(phi[0] @ phi[1]) == pytest.approx((gamma * float(u @ v)) ** 3)
 
