@@ -20,10 +20,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import session as S
 from .quantile import kth_smallest
-from .stats import col
+from .running import running_sums
+from .stats import FLOAT_TYPES, INTEGRAL_TYPES, col, stacked_values
 
 HASH = "__h"
 HNUM = "__h52"
@@ -48,15 +50,8 @@ def _group_literal_case(by: str | None, groups: list, make: callable) -> Column:
     return expr
 
 
-def hash_threshold_filter(df: DataFrame, key: str, k_by_group: dict, by: str | None = None,
-                          sizes: dict | None = None) -> Column:
-    """Boolean column: row is among the first k (per group) of the (hash, key) order.
-
-    ``df`` must carry ``with_hash`` columns.  ``k_by_group`` maps group value
-    (``None`` when ungrouped) to k.  Groups missing from the map keep no row;
-    k >= group size keeps every row.  ``sizes`` (rows per group, if the caller
-    counted them) lets the search start from the known hash range without a pass.
-    """
+def _thresholds(df: DataFrame, key: str, k_by_group: dict, by: str | None, sizes: dict | None) -> dict:
+    """{group: (prefix, hash, key) of its k-th row, hash and key None if the prefix decides; None keeps every row}."""
     sizes = None if sizes is None else {g: n for g, n in sizes.items()}
     ranks = {g: [k] for g, k in k_by_group.items() if k > 0 and (sizes is None or k <= sizes.get(g, 0))}
     found = kth_smallest(df, HNUM, ranks, by=by, sizes=sizes, domain=(0.0, float(2 ** 52 - 1))
@@ -90,16 +85,32 @@ def hash_threshold_filter(df: DataFrame, key: str, k_by_group: dict, by: str | N
             tied = sorted(by_group.get(g, []))
             h, kv = tied[k_by_group[g] - below.get(g, 0) - 1]
             thresholds[g] = (v, h, kv)
+    return thresholds
+
+
+def _keeps(v: Column, h: Column, kv: Column, key: str) -> Column:
+    """Row at or before the threshold row (prefix v, hash h, key kv; h NULL: the prefix decides)."""
+    return F.when(h.isNull(), F.col(HNUM) <= v).otherwise(
+        (F.col(HNUM) < v) | ((F.col(HNUM) == v) & ((F.col(HASH) < h) | ((F.col(HASH) == h) & (col(key) <= kv)))))
+
+
+def hash_threshold_filter(df: DataFrame, key: str, k_by_group: dict, by: str | None = None,
+                          sizes: dict | None = None) -> Column:
+    """Boolean column: row is among the first k (per group) of the (hash, key) order.
+
+    ``df`` must carry ``with_hash`` columns.  ``k_by_group`` maps group value
+    (``None`` when ungrouped) to k.  Groups missing from the map keep no row;
+    k >= group size keeps every row.  ``sizes`` (rows per group, if the caller
+    counted them) lets the search start from the known hash range without a pass.
+    """
+    thresholds = _thresholds(df, key, k_by_group, by, sizes)
+    ktype = df.schema[key].dataType
 
     def rule(g):
         th = thresholds[g]
         if th is None:
             return F.lit(True)
-        v, h, kv = th
-        if h is None:
-            return F.col(HNUM) <= F.lit(v)
-        return (F.col(HNUM) < F.lit(v)) | ((F.col(HNUM) == F.lit(v)) & (
-            (F.col(HASH) < F.lit(h)) | ((F.col(HASH) == F.lit(h)) & (col(key) <= F.lit(kv)))))
+        return _keeps(F.lit(th[0]), F.lit(th[1]).cast("string"), F.lit(th[2]).cast(ktype), key)
 
     if not thresholds:
         return F.lit(False)
@@ -107,6 +118,21 @@ def hash_threshold_filter(df: DataFrame, key: str, k_by_group: dict, by: str | N
     return F.coalesce(expr.otherwise(F.lit(False)), F.lit(False))
 
 
+def hash_threshold_rows(df: DataFrame, key: str, k_by_group: dict, by: str, sizes: dict | None = None) -> DataFrame:
+    """The rows ``hash_threshold_filter`` keeps, found by a join with the broadcast table of thresholds.
+
+    ``k_by_group`` is bounded by MAX_LEVELS, and so is that table.
+    """
+    thresholds = _thresholds(df, key, k_by_group, by, sizes)
+    schema = T.StructType([T.StructField("__tg", df.schema[by].dataType), T.StructField("__tv", T.DoubleType()),
+                           T.StructField("__th", T.StringType()), T.StructField("__tk", df.schema[key].dataType)])
+    table = df.sparkSession.createDataFrame(
+        [(g, *(th or (None, None, None))) for g, th in thresholds.items()], schema)
+    kept = F.col("__tv").isNull() | _keeps(F.col("__tv"), F.col("__th"), F.col("__tk"), key)
+    return (df.join(F.broadcast(table), col(by).eqNullSafe(F.col("__tg"))).where(kept)
+            .drop("__tg", "__tv", "__th", "__tk"))
+
+
 def hash_rank(df: DataFrame, key: str, by: str, rank_col: str = "__rank", target_rows: int = 50_000) -> DataFrame:
     """1-based rank of each row within ``by`` in (hash, key) order, without a one-task window.
 
@@ -156,6 +182,32 @@ def value_dictionary(df: DataFrame, column: str, code_col: str = "code") -> tupl
     return ranked, n
 
 
+def value_dictionaries(df: DataFrame, columns) -> dict:
+    """{column: (dictionary[value, __code], level count)} of several columns from one pass over ``df``.
+
+    The columns are stacked into (column, value) pairs, made distinct with partial aggregation, and ranked within
+    their column by running sums; the written dictionaries are read once per join.  Values keep their type's order:
+    numbers in number slots, text (and booleans, dates and times, whose texts sort alike) in a text slot.
+    """
+    columns = list(columns)
+    stackable = INTEGRAL_TYPES + FLOAT_TYPES + (T.StringType, T.BooleanType, T.DateType, T.TimestampType)
+    plain = [c for c in columns if isinstance(df.schema[c].dataType, stackable)]
+    out = {c: value_dictionary(df, c, code_col="__code") for c in columns if c not in plain or len(plain) == 1}
+    if len(plain) < 2:
+        return out
+    pairs = (stacked_values(df, plain).where(F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull())
+             .distinct())
+    pairs = S.cut_lineage(pairs.withColumn("one", F.lit(1).cast("long")).withColumn("o", F.struct("l", "d", "s")))
+    sizes = {r["g"]: r["count"] for r in pairs.groupBy("g").count().collect()}        # one row per column
+    ranked = S.cut_lineage(running_sums(pairs, "o", ["one"], by="g").select("g", "l", "d", "s", "cum_one"))
+    for i, c in enumerate(plain):
+        t = df.schema[c].dataType
+        slot = "l" if isinstance(t, INTEGRAL_TYPES) else "d" if isinstance(t, FLOAT_TYPES) else "s"
+        out[c] = (ranked.where(F.col("g") == i).select(col(slot).cast(t).alias(c), F.col("cum_one").alias("__code")),
+                  sizes.get(i, 0))
+    return out
+
+
 def join_dictionary(df: DataFrame, dictionary: DataFrame, n_levels: int, on: Column) -> DataFrame:
     """Left join of a dictionary; broadcast only under the proven size bound."""
     right = F.broadcast(dictionary) if n_levels <= S.BROADCAST_ROWS else dictionary

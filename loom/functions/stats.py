@@ -101,6 +101,19 @@ def complete_rows(df: DataFrame, cols=None) -> DataFrame:
 INTEGRAL_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+def stacked_values(df: DataFrame, cols) -> DataFrame:
+    """(g, l, d, s): per row and column its number and the value in a typed slot (integral, floating, text)."""
+    structs = []
+    for i, c in enumerate(cols):
+        t = df.schema[c].dataType
+        li = col(c).cast("long") if isinstance(t, INTEGRAL_TYPES) else F.lit(None).cast("long")
+        db = col(c).cast("double") if isinstance(t, FLOAT_TYPES) else F.lit(None).cast("double")
+        # decimals go as text: a column has one scale, and double would merge values beyond 2^53
+        tx = col(c).cast("string") if not isinstance(t, INTEGRAL_TYPES + FLOAT_TYPES) else F.lit(None).cast("string")
+        structs.append(F.struct(F.lit(i).alias("g"), li.alias("l"), db.alias("d"), tx.alias("s")))
+    return df.select(F.explode(F.array(*structs)).alias("v")).select("v.*")
+
+
 def distinct_counts(df: DataFrame, cols) -> dict:
     """Exact distinct values per column, NULL counted as one value (R's ``length(unique(x))``).
 
@@ -111,15 +124,38 @@ def distinct_counts(df: DataFrame, cols) -> dict:
     cols = list(cols)
     if not cols:
         return {}
-    structs = []
-    for i, c in enumerate(cols):
-        t = df.schema[c].dataType
-        li = col(c).cast("long") if isinstance(t, INTEGRAL_TYPES) else F.lit(None).cast("long")
-        db = col(c).cast("double") if isinstance(t, FLOAT_TYPES) else F.lit(None).cast("double")
-        # decimals go as text: a column has one scale, and double would merge values beyond 2^53
-        tx = col(c).cast("string") if not isinstance(t, INTEGRAL_TYPES + FLOAT_TYPES) else F.lit(None).cast("string")
-        structs.append(F.struct(F.lit(i).alias("g"), li.alias("l"), db.alias("d"), tx.alias("s")))
-    pairs = df.select(F.explode(F.array(*structs)).alias("v")).select("v.*").distinct()
+    pairs = stacked_values(df, cols).distinct()
     rows = pairs.groupBy("g").count().collect()  # one row per column
     got = {r["g"]: r["count"] for r in rows}
     return {c: int(got.get(i, 0)) for i, c in enumerate(cols)}
+
+
+_WORDS = 4     # 64-bit words of a column's bitmap
+
+
+def exceeds_distinct(df: DataFrame, cols, limit: int) -> dict:
+    """Per column: does it hold more than ``limit`` distinct values (NULL counted as one)?  Nothing is shuffled by value.
+
+    One aggregate sets a bit per hashed value in a 256-bit map of each column; the bits set are never more than the
+    distinct values, so a count above ``limit`` proves the answer.  Only columns that stay at or below it, which hold
+    few values, are counted exactly.
+    """
+    cols = list(cols)
+    if not cols:
+        return {}
+    aggs = []
+    for i, c in enumerate(cols):
+        x = col(c)
+        if isinstance(df.schema[c].dataType, FLOAT_TYPES):
+            x = x + F.lit(0.0)                        # -0.0 and 0.0 are one value
+        h = F.pmod(F.xxhash64(x), F.lit(64 * _WORDS))
+        bit = F.lit(1).cast("long")
+        for w in range(_WORDS):
+            here = x.isNotNull() & (F.floor(h / 64) == w)
+            aggs.append(F.bit_or(F.when(here, F.call_function("shiftleft", bit, (h % 64).cast("int")))).alias(f"{i}_{w}"))
+        aggs.append(F.max(x.isNull().cast("int")).alias(f"{i}_null"))
+    row = one_row(df, aggs)
+    least = {c: sum(bin((row[f"{i}_{w}"] or 0) & (2 ** 64 - 1)).count("1") for w in range(_WORDS)) + (row[f"{i}_null"] or 0)
+             for i, c in enumerate(cols)}
+    few = distinct_counts(df, [c for c in cols if least[c] <= limit])
+    return {c: least[c] > limit or few[c] > limit for c in cols}

@@ -33,12 +33,13 @@ def drop_features(ws: Workspace, cols) -> Workspace:
 
 def number_text(x: Column) -> Column:
     """Number -> text the way R prints it (5 not 5.0)."""
-    # integers keep every digit; only fractions go through double
+    # integers and decimals keep every digit; only floating values go through double
     d = x.cast("double")
     text = x.cast("string")
     integral = F.typeof(x).isin("tinyint", "smallint", "int", "bigint")
     whole = (d == F.floor(d)) & (F.abs(d) < F.lit(1e15))
-    return F.when(integral, text).when(whole, d.cast("long").cast("string")).otherwise(d.cast("string"))
+    fixed = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(integral, text).when(F.typeof(x).startswith("decimal"), fixed).when(whole, d.cast("long").cast("string")).otherwise(d.cast("string"))
 
 
 def _factor_meta(origin: str) -> dict:

@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from ..fixed import PAGE_SIZE, QUALITATIVE_MAX_DISTINCT, SUMMARY_DECIMALS, TARGET_DECIMALS
 from ..functions.quantile import multi_quantiles, quantiles
-from ..functions.stats import col, distinct_counts, is_factor, is_numeric, is_string, lit_or_null, one_row, rounded
+from ..functions.stats import (col, distinct_counts, exceeds_distinct, is_factor, is_numeric, is_string, lit_or_null,
+                               one_row, rounded)
 
 SUMMARY_SCHEMA = T.StructType([
     T.StructField("column", T.StringType()), T.StructField("class", T.StringType()),
@@ -78,8 +79,16 @@ def is_qualitative(df: DataFrame, c: str, max_distinct: int = QUALITATIVE_MAX_DI
         return True
     if not is_numeric(df, c):
         return False
-    n = one_row(df, [(F.count_distinct(col(c)) + F.max(col(c).isNull().cast("int"))).alias("n")])["n"]
-    return int(n or 0) <= max_distinct
+    return not exceeds_distinct(df, [c], max_distinct)[c]
+
+
+def qualitative_flags(df: DataFrame, cols=None, max_distinct: int = QUALITATIVE_MAX_DISTINCT) -> DataFrame:
+    """(column, qualitative) as ``qualitative`` gives them, without counting the distinct values of wide columns."""
+    cols = list(cols or df.columns)
+    nums = [c for c in cols if is_numeric(df, c) and not is_factor(df, c)]
+    wide = exceeds_distinct(df, nums, max_distinct)
+    rows = [(c, is_text_like(df, c) or (c in wide and not wide[c])) for c in cols]
+    return df.sparkSession.createDataFrame(rows, "column string, qualitative boolean")
 
 
 # P4 ---------------------------------------------------------------------------------

@@ -145,6 +145,12 @@ def q_qualitative_lineitem(spark, sf_dir):
 
 
 # P5 missing percent -------------------------------------------------------------------
+@register("qualitative_flags_lineitem", "SELECT \"column\", qualitative FROM ("
+          + _qual_sql("lineitem", _LI_NUM, ["l_shipdate"], ["l_returnflag", "l_linestatus"]) + ")")
+def q_qualitative_flags_lineitem(spark, sf_dir):
+    return P.qualitative_flags(table(spark, sf_dir, "lineitem").select(*_LI_NUM, *_LI_CAT))
+
+
 @register("missing_percent_value", WITH_EVENTS_NA + """
 SELECT round(100.0 * avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 2)::DOUBLE AS missing_percent FROM events_na""")
 def q_missing_percent_value(spark, sf_dir):

@@ -51,13 +51,22 @@ def _strip_bom(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_csv(spark: SparkSession, path: str, blank_strings: str = "null", multiline: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, blank_strings: str = "null", multiline: bool = False,
+             ragged: str = "fail") -> DataFrame:
     """Doubled quotes inside quoted cells are read as one; ``multiline`` allows line breaks there (files are then not split).
-    Dates and times stay text."""
+    Dates and times stay text.
+
+    A row with more cells than the header is an error (its cells would be lost), as is one with fewer: reading it
+    stops with Spark's message, which names the row.  ``ragged="fill"`` pads short rows with NULL and drops extra cells.
+    """
+    if ragged not in ("fail", "fill"):
+        raise ValueError("ragged must be 'fail' or 'fill'")
     if blank_strings not in ("null", "category"):
         raise ValueError("blank_strings must be 'null' or 'category'")
     quoting = dict(header=True, quote='"', escape='"', multiLine=multiline)
-    opts = dict(nullValue="NA", mode="PERMISSIVE", **quoting)
+    # without pruning every cell of a row is counted, whichever columns a query reads
+    quoting.update(mode="FAILFAST" if ragged == "fail" else "PERMISSIVE", columnPruning=ragged != "fail")
+    opts = dict(nullValue="NA", **quoting)
     found = spark.read.options(inferSchema=True, **opts).csv(path).schema
     plain = T.StructType([T.StructField(f.name, T.StringType() if isinstance(
         f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) else f.dataType) for f in found.fields])
@@ -82,11 +91,15 @@ def read_csv(spark: SparkSession, path: str, blank_strings: str = "null", multil
     return text.select(*cols)
 
 
-def load(spark: SparkSession, path: str, blank_strings: str = "null", sanitize_names: bool = False) -> DataFrame:
-    """Load a CSV or Parquet file (format from the extension) with missing values normalised."""
+def load(spark: SparkSession, path: str, blank_strings: str = "null", sanitize_names: bool = False,
+         multiline: bool = False, ragged: str = "fail") -> DataFrame:
+    """Load a CSV or Parquet file (format from the extension) with missing values normalised.
+
+    ``blank_strings``, ``multiline`` and ``ragged`` are those of ``read_csv``.
+    """
     fmt = file_format(path)
     if fmt == "csv":
-        df = read_csv(spark, path, blank_strings)
+        df = read_csv(spark, path, blank_strings, multiline, ragged)
     else:
         df = spark.read.parquet(path)
     df = normalise_missing(df)

@@ -1,10 +1,9 @@
-"""Sinks (S4, S5): the working table as CSV and fitted models."""
+"""Sink (S4): the working table as CSV.  Fitted models (S5) are saved by ``operators.models``."""
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 
@@ -29,11 +28,3 @@ def save_training(ws, path: str, mode: str = "overwrite") -> None:
     if not ws.frozen:
         raise ValueError("submit the workspace before saving the training table")
     save_table_csv(ws.working(), path, mode)
-
-
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)

@@ -51,6 +51,9 @@ class Workspace:
     tags: dict = field(default_factory=dict)  # working column -> frozenset of {"scaled", "encoded", "log"}
     frozen: bool = False
     target: str | None = None
+    y: str = "y"                     # column of the encoded target, once one is selected
+    y_label: str = "y_label"         # column of the raw target
+    split: str = "split"             # column that says 'train' or 'test', once the rows are split
 
     # construction -----------------------------------------------------------------
     @classmethod
@@ -82,7 +85,7 @@ class Workspace:
 
     def working(self, extra=()) -> DataFrame:
         """Training copy: key + working columns under their logical names (+ target columns)."""
-        tgt = [c for c in ("y", "y_label") if self.target is not None and c in self.df.columns]
+        tgt = [c for c in (self.y, self.y_label) if self.target is not None and c in self.df.columns]
         return self.df.select(*self._keys(), *self.working_columns(), *[col(c) for c in tgt],
                               *[col(c) for c in extra])
 

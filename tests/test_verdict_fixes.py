@@ -5,16 +5,18 @@ from pyspark.sql import functions as F
 
 from loom import session as S
 from loom.functions.quantile import quantiles
-from loom.functions.stats import distinct_counts
+from loom.functions.rank import value_dictionaries
+from loom.functions.stats import distinct_counts, exceeds_distinct
 from loom.operators import evaluate as V
 from loom.operators import explore as E
 from loom.operators.clean import impute
 from loom.operators.convert import cat_to_num, num_to_cat, number_text
 from loom.operators.encode import encode
 from loom.operators.profile import summary
-from loom.operators.sampling import select_target
+from loom.operators import sampling
+from loom.operators.sampling import downsample, holdout, select_target, split_workspace, upsample
 from loom.plans.inspect import physical_plan
-from loom.sources.readers import add_row_key, read_csv
+from loom.sources.readers import add_row_key, load, read_csv
 from loom.sources.writers import save_table_csv
 from loom.workspace import Workspace
 
@@ -88,11 +90,89 @@ def test_one_hot_names_are_unique(spark):
     assert [r.s_c_2 for r in got.orderBy("s_c").collect()] == [0.0, 0.0, 1.0]
 
 
-def test_a_feature_called_y_is_refused_but_not_a_target(spark):
-    df = spark.createDataFrame([(1.0, 2.0), (2.0, 3.0)], "x double, y double")
-    with pytest.raises(ValueError, match="rename"):
-        select_target(Workspace.from_df(df), "x")
-    assert sorted(r.y for r in select_target(Workspace.from_df(df), "y").df.collect()) == [2.0, 3.0]
+def test_features_may_be_called_y_y_label_and_split(spark):
+    df = spark.createDataFrame([(i, float(i % 5), float(i), float(-i), f"s{i % 2}") for i in range(40)],
+                               "k int, x double, y double, y_label double, split string")
+    ws = select_target(Workspace.from_df(df, "k"), "x")
+    assert (ws.y, ws.y_label) == ("y_2", "y_label_2")
+    got = split_workspace(ws, 0.7)
+    assert got.split == "split_2"
+    rows = {r.k: r for r in got.df.collect()}
+    for k, x, y, y_label, split in df.collect():
+        assert (rows[k].y_2, rows[k].y_label_2, rows[k].y, rows[k].y_label, rows[k].split) == (x, x, y, y_label, split)
+    assert sum(r.split_2 == "train" for r in rows.values()) == 28
+    assert set(got.working().columns) >= {"y", "y_label", "split", "y_2", "y_label_2"}
+    with pytest.raises(ValueError, match="already"):
+        holdout(df, "k", 0.7)
+    # a target of that name, without a clash, keeps it
+    assert sorted(r.y for r in select_target(Workspace.from_df(df.select("x", "y")), "y").df.collect()) == [
+        float(i) for i in range(40)]
+
+
+def test_decimals_stay_apart_as_categories(spark):
+    df = spark.sql("SELECT CAST(v AS decimal(20, 1)) AS d FROM VALUES ('90071992547409930.1'), ('90071992547409930.2'), "
+                   "('5.0'), ('100.0'), ('-0.5') AS t(v)")
+    got = num_to_cat(Workspace.from_df(df), ["d"]).working()
+    assert sorted(r.d for r in got.collect()) == ["-0.5", "100", "5", "90071992547409930.1", "90071992547409930.2"]
+
+
+def test_load_reads_line_breaks_and_refuses_ragged_rows(spark, tmp_path):
+    rows = [("one\ntwo, three", 1), ("plain", 2), (None, 3)]
+    path = str(tmp_path / "t.csv")
+    save_table_csv(spark.createDataFrame(rows, "t string, n int"), path)
+    assert sorted(map(tuple, load(spark, path, multiline=True).collect()), key=str) == sorted(rows, key=str)
+    (tmp_path / "long.csv").write_text("a,b\n1,2\n3,4,5\n")
+    (tmp_path / "short.csv").write_text("a,b\n1,2\n3\n")
+    for name in ("long", "short"):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            load(spark, str(tmp_path / f"{name}.csv")).select("a").collect()
+    fill = load(spark, str(tmp_path / "short.csv"), ragged="fill")
+    assert sorted(map(tuple, fill.collect()), key=str) == [(1, 2), (3, None)]
+
+
+def test_distinct_screen_is_exact(spark):
+    df = spark.range(1000).select((F.col("id") % 10).alias("ten"), (F.col("id") % 11).alias("eleven"), "id",
+                                  F.when(F.col("id") % 11 < 10, F.col("id") % 11).alias("ten_and_null"),
+                                  F.when(F.col("id") % 2 == 0, F.lit(0.0)).otherwise(F.lit(-0.0)).alias("zero"),
+                                  F.lit(None).cast("int").alias("none"))
+    assert exceeds_distinct(df, df.columns, 10) == {
+        "ten": False, "eleven": True, "id": True, "ten_and_null": True, "zero": False, "none": False}
+    assert exceeds_distinct(df.limit(0), df.columns, 10) == dict.fromkeys(df.columns, False)
+    assert {c: n > 10 for c, n in distinct_counts(df, df.columns).items()} == exceeds_distinct(df, df.columns, 10)
+
+
+def test_dictionaries_of_many_columns_at_once(spark, monkeypatch):
+    df = spark.range(300).select(
+        (F.col("id") % 7).alias("i"), (F.col("id") % 5 / 4 - 0.5).alias("d"), (F.col("id") % 13).cast("string").alias("s"),
+        F.when(F.col("id") % 3 > 0, F.col("id") % 3 == 1).alias("b"), F.expr("date_add(DATE'2020-01-30', int(id % 4))").alias("t"),
+        (F.col("id") % 6).cast("decimal(9, 2)").alias("dec"), F.lit(None).cast("string").alias("none"))
+    want = {c: sorted({r[0] for r in df.select(c).collect()} - {None}) for c in df.columns}
+    for bound in (200_000, 10):
+        monkeypatch.setattr(S, "BROADCAST_ROWS", bound)
+        found = value_dictionaries(df, df.columns)
+        for c in df.columns:
+            rows = sorted(found[c][0].collect(), key=lambda r: r["__code"])
+            assert [r[0] for r in rows] == want[c] and [r[1] for r in rows] == list(range(1, len(want[c]) + 1))
+            assert found[c][1] == len(want[c])
+
+
+def classes(spark):
+    rows = [(i, "big" if i < 900 else "mid" if i < 1100 else "few" if i < 1105 else None) for i in range(1110)]
+    return spark.createDataFrame(rows, "k int, c string").repartition(4)
+
+
+def test_undersampling_by_thresholds_and_by_ranks(spark, monkeypatch):
+    few = sorted(map(tuple, downsample(classes(spark), "c", "k").collect()), key=str)
+    assert {c: sum(r[1] == c for r in few) for c in ("big", "mid", "few", None)} == dict.fromkeys(("big", "mid", "few", None), 5)
+    monkeypatch.setattr(S, "MAX_LEVELS", 2)
+    assert sorted(map(tuple, downsample(classes(spark), "c", "k").collect()), key=str) == few
+
+
+def test_oversampling_draws_alike_with_and_without_broadcast(spark, monkeypatch):
+    got = sorted(map(tuple, upsample(classes(spark), "c", "k").collect()), key=str)
+    assert {c: sum(r[1] == c for r in got) for c in ("big", "mid", "few")} == dict.fromkeys(("big", "mid", "few"), 900)
+    monkeypatch.setattr(sampling, "TINY", 0)
+    assert sorted(map(tuple, upsample(classes(spark), "c", "k").collect()), key=str) == got
 
 
 def test_decimals_beyond_double_are_distinct(spark):
