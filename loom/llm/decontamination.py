@@ -59,6 +59,11 @@ def template_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(out), r"[^\p{L}\p{Nd}\x01\x02\x03\x05]+", " "))
 
 
+def word_code(word: Column) -> Column:
+    """Hash of a template word without its mark; window hashes are made from these, so that words are read once."""
+    return F.xxhash64(F.when(word.startswith("\x05"), F.substring(word, 2, 2 ** 31 - 1)).otherwise(word))
+
+
 def _masks(mask: Column, n: int) -> Column:
     """The subsets of a bit mask, the empty one first."""
     grown = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.array(F.lit(0)), lambda acc, k: F.when(
@@ -68,10 +73,11 @@ def _masks(mask: Column, n: int) -> Column:
 
 
 def _keys_at(plain: Column, unsure: Column, i: Column, n: int) -> Column:
-    """Hashes of the n words from i: as they are, and with each choice of the possible names among them as names."""
+    """Hashes of the n word codes from i: as they are, and with each choice of the possible names among them as names."""
     mask = sum((F.when(F.get(unsure, i + k), 1 << k).otherwise(0) for k in range(1, n)), F.when(F.get(unsure, i), 1).otherwise(0))
     return F.flatten(F.transform(F.array(mask), lambda m: F.transform(_masks(m, n), lambda chosen: F.xxhash64(
-        *[F.when(chosen.bitwiseAND(1 << k) != 0, "\x03").otherwise(F.get(plain, i + k)) for k in range(n)]))))
+        *[F.when(chosen.bitwiseAND(1 << k) != 0, F.xxhash64(F.lit("\x03"))).otherwise(F.get(plain, i + k))
+          for k in range(n)]))))
 
 
 def _starts(words: Column, n: int) -> Column:
@@ -89,15 +95,12 @@ def _keys(n: int) -> Column:
     return F.concat(F.array(each), F.transform(starts, lambda i: _keys_at(plain, unsure, i, n)))
 
 
-def _unsure(words: Column) -> Column:
-    return F.transform(words, lambda w: w.startswith("\x05"))
-
-
 def _templates(rows: DataFrame) -> DataFrame:
-    """The columns of rows, plain (the template's words) and unsure (which of them are possible names)."""
-    words = F.filter(F.split(template_text(F.col("text")), " "), lambda w: w != "")
-    plain = F.transform("words", lambda w: F.when(w.startswith("\x05"), F.substring(w, 2, 2 ** 31 - 1)).otherwise(w))
-    return rows.withColumn("words", words).withColumn("plain", plain).withColumn("unsure", _unsure(F.col("words")))
+    """The columns of rows, plain (codes of the template's words) and unsure (which of them are possible names)."""
+    words = F.when(F.col("template") != "", F.split("template", " ")).otherwise(F.array().cast("array<string>"))
+    named = F.transform("words", lambda w: w.startswith("\x05"))
+    return (rows.withColumn("template", template_text(F.col("text"))).withColumn("words", words).drop("template")
+            .withColumn("plain", F.transform("words", word_code)).withColumn("unsure", named))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -144,9 +147,9 @@ def _valued(text: Column) -> Column:
 
 def _valued_templates(rows: DataFrame) -> DataFrame:
     """As _templates, with words that hold their values."""
-    plain = F.transform("words", lambda w: F.regexp_replace(w, r"([\x01-\x03])[^\x04]*\x04|[\x04\x05]", "$1"))
+    plain = F.transform("words", lambda w: F.xxhash64(F.regexp_replace(w, r"([\x01-\x03])[^\x04]*\x04|[\x04\x05]", "$1")))
     return rows.withColumn("words", _valued(F.col("text"))).withColumn("plain", plain) \
-        .withColumn("unsure", _unsure(F.col("words")))
+        .withColumn("unsure", F.transform("words", lambda w: w.startswith("\x05")))
 
 
 def _cut(rows: DataFrame, ident: list[str], lengths: list[int], least: int = 0) -> DataFrame:
