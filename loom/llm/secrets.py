@@ -27,8 +27,9 @@ KINDS = {
     "assign": (ASSIGN, 2, 6),
     "access": (r"(AKIA[A-Z0-9]+)", 1, 20),
     "hex": (r"([0-9a-f]+)", 1, 24),
-    "key": (r"(-----BEGIN [A-Z0-9]{0,20} ?PRIVATE KEY-----)", 1, 1),
-    "url": (r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\x09-\x0D\x20/:@]{1,200}:([^\x09-\x0D\x20/@]{1,200})@", 1, 1),
+    "key": (r"(-----BEGIN [A-Z0-9 ]*?PRIVATE KEY-----)", 1, 1),
+    # a scheme is the whole run of scheme characters, with a letter; possessive runs keep the scan linear at any length
+    "url": (r"(?<![A-Za-z0-9+.-])[0-9+.-]*+[A-Za-z][A-Za-z0-9+.-]++://[^\x09-\x0D\x20/:@]++:([^\x09-\x0D\x20/@]++)@", 1, 1),
 }
 BASE = ("assign", "access", "hex")
 # what a text must match before it is cut into pairs (runs below the least length are never spans)
