@@ -92,7 +92,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(documents(spark, sf_dir)).drop("text_key")
+    return near_dedup(documents(spark, sf_dir)).drop("text_key", "stays")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
