@@ -873,6 +873,120 @@ def q_linreg_simple(spark, sf_dir):
                       .otherwise(F.round("estimate", 6)).alias("estimate"))
 
 
+# Models on targets whose fitted result is known: a depth-1 tree gives group means, a logistic regression on a two-valued
+# feature the groups' shares, and classes that one feature separates are predicted without error.
+_STATUS_SQL = "SELECT CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS f, o_totalprice AS y FROM orders"
+
+
+def _status(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("f"), F.col("o_totalprice").alias("y"))
+
+
+@register("tree_group_means", f"SELECT f, round(avg(y), 4) AS predicted, count(*) AS n FROM ({_STATUS_SQL}) GROUP BY f")
+def q_tree_group_means(spark, sf_dir):
+    rows = _status(spark, sf_dir)
+    pred = MO.predict(MO.train(rows, "decision_tree", ["f"], label="y", max_depth=1), rows)
+    return pred.groupBy("f", F.round("predicted", 4).alias("predicted")).agg(F.count("*").alias("n"))
+
+
+@register("tree_metrics", f"""
+WITH t AS ({_STATUS_SQL}), g AS (SELECT f, avg(y) AS m FROM t GROUP BY f),
+e AS (SELECT sum((y - m) ** 2) AS sse, count(*) AS n FROM t JOIN g USING (f)),
+v AS (SELECT sum((y - a) ** 2) AS sst FROM t, (SELECT avg(y) AS a FROM t)),
+m AS (SELECT sse / n AS mse, 1 - sse / sst AS r2, n FROM e, v)
+SELECT 'RMSE' AS metric, round(sqrt(mse), 4) AS value FROM m UNION ALL SELECT 'MSE', round(mse, 1) FROM m
+UNION ALL SELECT 'R2', round(r2, 6) FROM m UNION ALL SELECT 'Adjusted_R2', round(1 - (1 - r2) * (n - 1) / (n - 2), 6) FROM m""")
+def q_tree_metrics(spark, sf_dir):
+    rows = _status(spark, sf_dir)
+    got = MO.evaluate(MO.train(rows, "decision_tree", ["f"], label="y", max_depth=1), rows)
+    digits = F.when(F.col("metric") == "MSE", F.round("value", 1)).when(F.col("metric") == "RMSE", F.round("value", 4))
+    return got.select("metric", digits.otherwise(F.round("value", 6)).alias("value"))
+
+
+@register("logistic_group_shares", """
+SELECT user_id % 2 AS f, round(avg((event_type IN ('click', 'view'))::INT), 3) AS prob_1, count(*) AS n
+FROM events GROUP BY 1""")
+def q_logistic_group_shares(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 2).alias("f"), F.col("event_type").isin("click", "view").cast("int").alias("y"))
+    pred = MO.predict(MO.train(rows, "logistic_regression", ["f"], label="y"), rows)
+    return pred.groupBy("f", F.round("prob_1", 3).alias("prob_1")).agg(F.count("*").alias("n"))
+
+
+_PARTS_SQL = """SELECT CASE WHEN l_quantity > 25 THEN 'high' ELSE 'low' END AS two,
+       CASE WHEN l_linenumber <= 2 THEN 'a' WHEN l_linenumber <= 4 THEN 'b' ELSE 'c' END AS three FROM lineitem"""
+
+
+def _parts(spark, sf_dir) -> DataFrame:
+    high, n = F.col("l_quantity") > 25, F.col("l_linenumber")
+    three = F.when(n <= 2, "a").when(n <= 4, "b").otherwise("c")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_quantity", "l_discount", F.when(high, "high").otherwise("low").alias("two"), three.alias("three"),
+        F.when(high, 1.0).otherwise(-1.0).alias("side"), (three == "a").cast("double").alias("is_a"),
+        (three == "b").cast("double").alias("is_b"))
+
+
+def _predicted(spark, sf_dir, model: str, features: list[str], label: str, **kw) -> DataFrame:
+    rows = _parts(spark, sf_dir)
+    pred = MO.predict(MO.train(rows, model, features, label=label, **kw), rows, keep=[label])
+    return pred.groupBy(F.col(label).alias("actual"), "predicted").agg(F.count("*").alias("n"))
+
+
+_TWO = f"SELECT two AS actual, two AS predicted, count(*) AS n FROM ({_PARTS_SQL}) GROUP BY two"
+_THREE = f"SELECT three AS actual, three AS predicted, count(*) AS n FROM ({_PARTS_SQL}) GROUP BY three"
+
+
+@register("forest_separable", _TWO)
+def q_forest_separable(spark, sf_dir):
+    return _predicted(spark, sf_dir, "random_forest", ["l_quantity"], "two", trees=5, max_depth=3)
+
+
+@register("svm_separable", _TWO)
+def q_svm_separable(spark, sf_dir):
+    return _predicted(spark, sf_dir, "svm", ["side", "l_discount"], "two", max_iter=20)
+
+
+@register("svm_cubic_separable", _TWO)
+def q_svm_cubic_separable(spark, sf_dir):
+    return _predicted(spark, sf_dir, "svm", ["side", "l_discount"], "two", kernel="polynomial", C=1.0, max_iter=20,
+                      probability=False)
+
+
+@register("svm_pairs_separable", _THREE)
+def q_svm_pairs_separable(spark, sf_dir):
+    return _predicted(spark, sf_dir, "svm", ["is_a", "is_b"], "three", strategy="ovo", C=1.0, max_iter=20, probability=False)
+
+
+@register("linear_importance", """
+WITH c AS (SELECT covar_pop(l_quantity, l_quantity) AS aa, covar_pop(l_discount, l_discount) AS bb,
+                  covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_extendedprice) AS ay,
+                  covar_pop(l_discount, l_extendedprice) AS b_y FROM lineitem),
+w AS (SELECT (bb * ay - ab * b_y) / (aa * bb - ab * ab) AS q, (aa * b_y - ab * ay) / (aa * bb - ab * ab) AS d FROM c)
+SELECT 'l_quantity' AS feature, round(q, 4) AS importance, round(abs(q), 4) AS abs_importance FROM w
+UNION ALL SELECT 'l_discount', round(d, 4), round(abs(d), 4) FROM w""")
+def q_linear_importance(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
+    fm = MO.train(rows, "linear_regression", ["l_quantity", "l_discount"], label="l_extendedprice")
+    return round_doubles(MO.feature_importance(fm), 4)
+
+
+@register("tree_importance", f"""
+WITH t AS (SELECT l_quantity, l_linenumber * 0 AS none FROM lineitem),
+v AS (SELECT CASE WHEN var_pop(l_quantity) > 0 THEN 1.0 ELSE 0.0 END AS q, CASE WHEN var_pop(none) > 0 THEN 1.0 ELSE 0.0 END AS z
+      FROM t),
+m AS (SELECT unnest(['decision_tree', 'random_forest']) AS model)
+SELECT model, 'l_quantity' AS feature, q::DOUBLE AS importance FROM v, m
+UNION ALL SELECT model, 'none', z::DOUBLE FROM v, m""")
+def q_tree_importance(spark, sf_dir):
+    rows = _parts(spark, sf_dir).withColumn("none", F.col("l_discount") * 0)
+    out = []
+    for model, kw in (("decision_tree", {}), ("random_forest", {"trees": 5})):
+        fm = MO.train(rows, model, ["l_quantity", "none"], label="two", max_depth=2, **kw)
+        out.append(MO.feature_importance(fm).select(F.lit(model).alias("model"), "feature", "importance"))
+    return out[0].union(out[1])
+
+
 @register("recipe_regression")
 def q_recipe_regression(spark, sf_dir):
     return RC.regression_flow(spark, sf_dir)
