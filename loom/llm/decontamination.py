@@ -53,8 +53,9 @@ def template_text(text: Column) -> Column:
     """Whole-text canonicalisation: placeholders <N> <U> <P>, possible names marked, lower case, punctuation dropped; words
     by one space."""
     units = "|".join(u for u in UNITS.split() if u.isalpha())
-    out = F.regexp_replace(_unmarked(text), rf"\b{NUMBER}([\x20\x09-\x0D]*(?:%|(?:{units})\b))", "\x01\x20\x02\x20")
-    out = F.regexp_replace(out, rf"\b{NUMBER}\b", "\x01")
+    plain = _unmarked(text)
+    out = F.regexp_replace(plain, rf"\b{NUMBER}([\x20\x09-\x0D]*(?:%|(?:{units})\b))", "\x01\x20\x02\x20")
+    out = F.when(text.rlike("[0-9]"), F.regexp_replace(out, rf"\b{NUMBER}\b", "\x01")).otherwise(plain)
     out = F.regexp_replace(F.regexp_replace(out, NAME, "\x03"), INITIAL, "\x05$1")
     return F.trim(F.regexp_replace(F.lower(out), r"[^\p{L}\p{Nd}\x01\x02\x03\x05]+", " "))
 
