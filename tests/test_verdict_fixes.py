@@ -164,8 +164,9 @@ def classes(spark):
 def test_undersampling_by_thresholds_and_by_ranks(spark, monkeypatch):
     few = sorted(map(tuple, downsample(classes(spark), "c", "k").collect()), key=str)
     assert {c: sum(r[1] == c for r in few) for c in ("big", "mid", "few", None)} == dict.fromkeys(("big", "mid", "few", None), 5)
-    monkeypatch.setattr(S, "MAX_LEVELS", 2)
-    assert sorted(map(tuple, downsample(classes(spark), "c", "k").collect()), key=str) == few
+    for module, name, value in ((sampling, "FEW_CLASSES", 0), (S, "MAX_LEVELS", 2)):      # joined thresholds, then ranks
+        monkeypatch.setattr(module, name, value)
+        assert sorted(map(tuple, downsample(classes(spark), "c", "k").collect()), key=str) == few
 
 
 def test_oversampling_draws_alike_with_and_without_broadcast(spark, monkeypatch):
