@@ -20,7 +20,7 @@ from loom.llm.secrets import BASE, scan_secrets
 from loom.llm.substring_dedup import substring_dedup
 from loom.llm.suffix_dedup import multikey_sort, suffix_dedup
 from loom.llm.token_counts import count_tokens
-from loom.llm.toxicity import clause_weight, reject_toxic, score_toxicity
+from loom.llm.toxicity import reject_toxic, score_toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -234,16 +234,6 @@ def test_token_counts_and_cache(spark, tmp_path):
     assert spark.read.parquet(cache).count() == len({t or "" for _, t in rows})
 
 
-def test_toxicity_grammar():
-    lexicon = {"scum": 8.0, "vequ*": 6.0}
-    plain = clause_weight(["such", "scum"], lexicon)
-    assert clause_weight(["you", "scum"], lexicon) > plain == 8.0
-    assert 0 < clause_weight(["never", "scum"], lexicon) < plain
-    assert 0 < clause_weight(["called", "scum"], lexicon) < plain
-    assert clause_weight(["kill", "them"], lexicon) > 0 == clause_weight(["not", "you"], lexicon)
-    assert clause_weight(["vequtra"], lexicon) == 6.0
-
-
 def test_toxicity(spark):
     rows = [(i, f"plain words number {i % 7} here. " + ("You utter scum, go." if i % 4 == 0 else "All is fine."), i % 4 == 0)
             for i in range(200)] + [(900, None, False), (901, "", False)]
