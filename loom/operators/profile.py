@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import session as S
 from ..fixed import PAGE_SIZE, QUALITATIVE_MAX_DISTINCT, SUMMARY_DECIMALS, TARGET_DECIMALS
 from ..functions.quantile import multi_quantiles, quantiles
 from ..functions.stats import (col, distinct_counts, exceeds_distinct, is_factor, is_numeric, is_string, lit_or_null,
@@ -211,22 +212,49 @@ def audit(ws) -> DataFrame:
 
 # S6 ---------------------------------------------------------------------------------
 def browse(df: DataFrame, search: str | None = None, order_by=None, descending: bool = False,
-           page: int = 1, page_size: int = PAGE_SIZE, key: str | None = None) -> DataFrame:
+           page: int = 1, page_size: int = PAGE_SIZE, key: str | None = None, direct_rows: int | None = None) -> DataFrame:
     """Search (case-insensitive substring over all cells), sort, page.
 
-    Paging is the feature here; the sort is a top-k (TakeOrderedAndProject), so
-    only ``page * page_size`` rows per partition are kept while sorting.
+    Paging is the feature here.  The sort is a top-k (TakeOrderedAndProject) while the page ends within ``direct_rows``
+    rows (``BROADCAST_ROWS`` unless given), so only so many rows meet in one task.  A deeper page of a sorted table is
+    found by range partitions: their row counts tell which hold the page, and only those are sorted.  Both ways give the
+    same page where ``key`` or ``order_by`` is unique.
     """
     out = df
     if search:
         text = F.lower(F.concat_ws(" ", *[col(c).cast("string") for c in df.columns]))
         out = out.where(text.contains(search.lower()))
     orders = []
-    for c in ([order_by] if isinstance(order_by, str) else list(order_by or [])):
+    names = [order_by] if isinstance(order_by, str) else list(order_by or [])
+    for c in names:
         orders.append(col(c).desc() if descending else col(c).asc())
-    if key and key not in (order_by or []):
+    if key and key not in names:
         orders.append(col(key).asc())
+    start = (page - 1) * page_size
+    if orders and start + page_size > (S.BROADCAST_ROWS if direct_rows is None else direct_rows):
+        return _deep_page(out, orders, start, page_size)
     if orders:
         out = out.orderBy(*orders)
-    start = (page - 1) * page_size
     return out.limit(start + page_size).offset(start) if start else out.limit(page_size)
+
+
+def _deep_page(df: DataFrame, orders: list, start: int, page_size: int, rows_per_part: int = 100_000) -> DataFrame:
+    """Rows start .. start + page_size - 1 of the sorted table; ties are ordered by the rows' hash, so none fills a part alone."""
+    names = df.columns
+    total = df.count()
+    if start >= total:
+        return df.limit(0)
+    tie = F.xxhash64(*[col(c) if not isinstance(df.schema[c].dataType, T.MapType) else F.map_entries(col(c)) for c in names])
+    ranged = S.cut_lineage(df.withColumn("__tie", tie)
+                           .repartitionByRange(max(8, min(10_000, total // rows_per_part + 1)), *orders, F.col("__tie").asc())
+                           .withColumn("__pid", F.spark_partition_id()))
+    # one row per range partition
+    wanted, before, seen = [], None, 0
+    for r in sorted(ranged.groupBy("__pid").count().collect(), key=lambda r: r["__pid"]):
+        if seen + r["count"] > start and seen < start + page_size:
+            wanted.append(r["__pid"])
+            before = seen if before is None else before
+        seen += r["count"]
+    rows = ranged.where(F.col("__pid").isin(wanted)).orderBy(*orders, F.col("__tie").asc())
+    skip = start - before
+    return rows.limit(skip + page_size).offset(skip).select(*[col(c) for c in names])

@@ -110,6 +110,16 @@ def q_load_parquet(spark, sf_dir):
     return load(spark, f"{sf_dir}/lineitem.parquet").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("load_ranges_lineitem", """
+SELECT l_returnflag, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem
+WHERE l_quantity BETWEEN 10 AND 20 AND l_extendedprice >= 5000 AND NOT isnan(l_extendedprice) AND l_partkey <= 1000000
+GROUP BY l_returnflag""")
+def q_load_ranges(spark, sf_dir):
+    kept = load(spark, f"{sf_dir}/lineitem.parquet", ranges={
+        "l_quantity": (10, 20), "l_extendedprice": (5000, None), "l_partkey": (None, 1_000_000)})
+    return kept.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("lines"))
+
+
 # S6 browse ----------------------------------------------------------------------------
 @register("browse_customer", """
 SELECT * FROM customer
@@ -120,6 +130,14 @@ def q_browse_customer(spark, sf_dir):
                     page=2, page_size=10, key="c_custkey")
 
 
+@register("browse_deep_orders", """
+SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 990""")
+def q_browse_deep(spark, sf_dir):
+    """The way of pages beyond BROADCAST_ROWS rows, taken here from 500 rows on."""
+    return P.browse(table(spark, sf_dir, "orders"), order_by="o_totalprice", descending=True, page=100, page_size=10,
+                    key="o_orderkey", direct_rows=500)
+
+
 # P1 file details ----------------------------------------------------------------------
 @register("file_details_orders", """
 SELECT 'orders' AS file_name, 'parquet' AS file_format, count(*) AS n_rows,

@@ -91,18 +91,40 @@ def read_csv(spark: SparkSession, path: str, blank_strings: str = "null", multil
     return text.select(*cols)
 
 
+def in_ranges(df: DataFrame, ranges: dict) -> DataFrame:
+    """Rows whose columns lie in their closed ranges: column -> (lowest, highest), None for an open end.
+
+    Missing values (NULL, NaN) are in no range.  The comparisons are on the stored columns, so they reach a Parquet scan.
+    """
+    unknown = [c for c in ranges if c not in df.columns]
+    if unknown:
+        raise ValueError(f"no such columns: {unknown}")
+    for c, (low, high) in ranges.items():
+        known = col(c).isNotNull()
+        if isinstance(df.schema[c].dataType, FLOAT_TYPES):
+            known = known & ~F.isnan(col(c))     # NaN sorts above all numbers: an open upper end would keep it
+        df = df.where(known)
+        if low is not None:
+            df = df.where(col(c) >= F.lit(low))
+        if high is not None:
+            df = df.where(col(c) <= F.lit(high))
+    return df
+
+
 def load(spark: SparkSession, path: str, blank_strings: str = "null", sanitize_names: bool = False,
-         multiline: bool = False, ragged: str = "fail") -> DataFrame:
+         multiline: bool = False, ragged: str = "fail", ranges: dict | None = None) -> DataFrame:
     """Load a CSV or Parquet file (format from the extension) with missing values normalised.
 
-    ``blank_strings``, ``multiline`` and ``ragged`` are those of ``read_csv``.
+    ``blank_strings``, ``multiline`` and ``ragged`` are those of ``read_csv``.  ``ranges`` (column -> (lowest, highest),
+    names as stored) loads only the rows inside; on Parquet, float columns included, the scan skips what lies outside.
     """
     fmt = file_format(path)
     if fmt == "csv":
         df = read_csv(spark, path, blank_strings, multiline, ragged)
     else:
         df = spark.read.parquet(path)
-    df = normalise_missing(df)
+    # CSV ranges hold for the normalised cells; malformed rows outside the ranges may go unseen there
+    df = normalise_missing(in_ranges(df, ranges or {})) if fmt != "csv" else in_ranges(normalise_missing(df), ranges or {})
     if sanitize_names:
         df = df.toDF(*[_sanitize(c) for c in df.columns])
     return df
