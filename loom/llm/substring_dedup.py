@@ -162,33 +162,40 @@ def _cut_out(width: int):
 
 
 def _level(size: int, width: int, first: bool):
-    """Windows of ``size`` words: at the first level all inside open runs, later those with two surviving halves."""
+    """Windows of ``size`` words: at the first level all inside open spans, later those with two surviving halves.
+
+    ``off`` counts from the piece's first code; the last level adds what places a window in its document.
+    """
     def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            piece = b.column("lo").to_numpy()
-            owner, at, key, lead = [], [], [], []
-            for row, spans in enumerate(b.column("spans")):
-                codes = b.column("codes")[row].values.to_numpy(zero_copy_only=False).view(U)
-                inside = np.zeros(len(codes) + 1, np.int64)
-                np.add.at(inside, spans.values.field(0).to_numpy() - piece[row], 1)
-                np.add.at(inside, spans.values.field(1).to_numpy() - piece[row] + width - size + 1, -1)
-                here = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
-                if not first:
-                    alive = np.zeros(len(codes) + size, bool)
-                    alive[b.column("alive")[row].values.to_numpy(zero_copy_only=False) - piece[row]] = True
-                    here = here[alive[here] & alive[here + size // 2]]
-                sums = prefix_sums(codes)
-                owner.append(np.full(len(here), row))
-                at.append(here + piece[row])
-                key.append(spans_hash(sums, here, here + size))
-                lead.append(spans_hash(sums, here, here + (size + 1) // 2))
-            if owner:
-                rows = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(lead).view(np.int64)),
-                     b.column("doc_id").take(rows), b.column("text_key").take(rows), b.column("lo").take(rows),
-                     pa.array(np.concatenate(at).astype(np.int32))],
-                    names=["key", "lead", "doc_id", "text_key", "piece", "at"])
+            if not b.num_rows:
+                continue
+            column, spans = b.column("codes"), b.column("spans")
+            edge = column.offsets.to_numpy().astype(np.int64)
+            codes = column.values.to_numpy(zero_copy_only=False).view(U)[edge[0]:edge[-1]]
+            edge = edge - edge[0]
+            piece = b.column("lo").to_numpy().astype(np.int64)
+
+            def on_codes(lists: pa.ListArray, values: np.ndarray, start: np.ndarray) -> np.ndarray:
+                ends = lists.offsets.to_numpy().astype(np.int64)
+                return values[ends[0]:ends[-1]] + np.repeat(start, np.diff(ends))
+            inside = np.zeros(len(codes) + 1, np.int64)
+            np.add.at(inside, on_codes(spans, spans.values.field(0).to_numpy(), edge[:-1] - piece), 1)
+            np.add.at(inside, on_codes(spans, spans.values.field(1).to_numpy(), edge[:-1] - piece) + width - size + 1, -1)
+            here = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
+            if not first:
+                alive = np.zeros(len(codes) + 1, bool)
+                alive[on_codes(b.column("alive"), b.column("alive").values.to_numpy(zero_copy_only=False), edge[:-1])] = True
+                here = here[alive[here] & alive[here + size // 2]]
+            row = np.searchsorted(edge, here, "right") - 1
+            rows, off, sums = pa.array(row), here - edge[row], prefix_sums(codes)
+            out = {"key": pa.array(spans_hash(sums, here, here + size).view(np.int64)), "id": b.column("id").take(rows),
+                   "off": pa.array(off.astype(np.int32))}
+            if size == width:
+                out |= {"lead": pa.array(spans_hash(sums, here, here + (size + 1) // 2).view(np.int64)),
+                        "doc_id": b.column("doc_id").take(rows), "text_key": b.column("text_key").take(rows),
+                        "at": pa.array((piece[row] + off).astype(np.int32))}
+            yield pa.RecordBatch.from_pydict(out)
     return level
 
 
@@ -197,23 +204,22 @@ def same_piece(left: str, right: str):
 
 
 def later_starts(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, text_key, at: windows inside the open spans of the pieces whose words also start earlier.
+    """doc_id, text_key, at: windows inside the open spans of the pieces (numbered by ``id``) whose words also start earlier.
 
-    Windows count as equal on 128 bits: the hash of all their words and that of the first half.
+    Windows count as equal on 128 bits: the hash of all their words and that of the first half.  The levels before the last
+    are a screen on the first hash alone.
     """
-    schema = "key long, lead long, doc_id long, text_key long, piece int, at int"
+    brief, full = "key long, id long, off int", "key long, id long, off int, lead long, doc_id long, text_key long, at int"
     size = width // 4 if width % 4 == 0 else width
-    found = pieces.mapInArrow(_level(size, width, True), schema)
+    found = pieces.mapInArrow(_level(size, width, True), full if size == width else brief)
     while True:
         found = staged(found, f"doubling-{size}")
         if size == width:
             break
-        repeated = found.groupBy("key", "lead").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "lead")
-        alive = (found.join(repeated, ["key", "lead"], "left_semi").groupBy("doc_id", "text_key", "piece")
-                 .agg(F.collect_set("at").alias("alive")))
+        repeated = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+        alive = found.join(repeated, "key", "left_semi").groupBy("id").agg(F.collect_list("off").alias("alive"))
         size *= 2
-        found = pieces.alias("t").join(alive.alias("a"), same_piece("t", "a")) \
-            .select("t.doc_id", "t.text_key", "t.lo", "codes", "spans", "alive").mapInArrow(_level(size, width, False), schema)
+        found = pieces.join(alive, "id").mapInArrow(_level(size, width, False), full if size == width else brief)
     first = found.groupBy("key", "lead").agg(F.count(F.lit(1)).alias("n"), F.min(place("at")).alias("first")).filter("n > 1")
     return found.join(first, ["key", "lead"]).filter(place("at") > F.col("first")).select("doc_id", "text_key", "at")
 
@@ -265,7 +271,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     .mapInArrow(_cut_out(width), "doc_id long, text_key long, lo int, codes array<long>"), "substring-pieces")
     finer = judged(pieces, _pieces, width, max(grain, width * FINER // WIDTH))
     opened = staged(pieces.alias("t").join(_spans(finer.filter("open"), "piece").alias("p"), same_piece("t", "p"))
-                    .select("t.doc_id", "t.text_key", "t.lo", "codes", "spans"), "substring-opened")
+                    .select(F.monotonically_increasing_id().alias("id"), "t.doc_id", "t.text_key", "t.lo", "codes", "spans"),
+                    "substring-opened")
     gone = (coarse.unionByName(finer).filter("not open").select("doc_id", "text_key", "lo", "hi")
             .unionByName(later_starts(opened, width).select("doc_id", "text_key", F.col("at").alias("lo"), F.col("at").alias("hi"))))
     return packed.alias("t").join(_spans(gone).alias("p"), same_doc("t", "p"), "left") \
