@@ -126,6 +126,7 @@ def judged(table: DataFrame, read, width: int, grain: int) -> DataFrame:
     """
     repeated = (table.mapInArrow(_anchors(read, width, grain), "anchor long, n long")
                 .groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"))
+    repeated = staged(repeated, "substring-anchors")     # a join of two plain shuffles is one that can be split
     live = staged(table.mapInArrow(_runs(read, width, grain), RUN).join(repeated, "anchor", "left_semi"), "substring-live")
     contexts = live.groupBy("anchor", "context").agg(F.min(place("lo")).alias("first"))
     kinds = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
