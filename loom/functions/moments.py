@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .stats import col
 
@@ -58,7 +59,9 @@ def _measuring(k: int):
         own = Moments(k)
         for batch in batches:
             with np.errstate(invalid="ignore", over="ignore"):
-                own.add(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+                rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                missing = np.isnan(rows).any(axis=1)
+                own.add(rows[~missing] if missing.any() else rows)
         yield own.record(TaskContext.get().partitionId() // MERGED_AT_ONCE)
     return measure
 
@@ -93,12 +96,17 @@ def _correlating(names: Sequence[str]):
 
 
 def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(x, y, r) for x up to and including y over the rows of ``df``, which hold no NULL in ``cols``.
+    """(x, y, r) for x up to and including y over the rows of ``df`` that hold no NULL or NaN in ``cols``.
+
+    Incomplete rows are left out batch by batch: a filter on computed columns would compute each of them twice more.
+    The row travels as one array, whose ``transform`` also keeps the projection out of whole-stage code: there many
+    computed columns make one method too long to be compiled.
 
     r is NULL where a column doesn't vary (or there are no rows), and 1 for a column with itself.
     """
     k = len(cols)
-    wide = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    wide = df.select(F.transform(F.array(*[col(c).cast("double") for c in cols]),
+                                 lambda x: F.coalesce(x, F.lit(float("nan")))).alias("row"))
     nothing = Moments(k).record(0)           # an empty table has no tasks: its record comes from here
     none = df.sparkSession.createDataFrame(
         [tuple(nothing.column(i)[0].as_py() for i in range(4))], _RECORD)

@@ -183,8 +183,7 @@ def corr_matrix(df: DataFrame, cols=None, digits: int | None = None) -> DataFram
     cols = list(cols or [f.name for f in df.schema.fields if is_numeric(df, f.name) and not is_factor(df, f.name)])
     if not cols:
         return df.sparkSession.createDataFrame([], "x string, y string, r double")
-    complete = complete_rows(df.select(*[col(c).cast("double").alias(c) for c in cols]))
-    res = correlations(complete, cols)
+    res = correlations(df, cols)
     return res.select("x", "y", rounded(F.col("r"), digits).alias("r"))
 
 
