@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loom.functions.moments import correlations
 from loom.operators import models as M
+from loom.operators import svm as SVM
 
 
 def laid(rows, n):
@@ -45,3 +46,9 @@ def test_incomplete_rows_leave_the_matrix_without_a_filter(spark):
     for row in res.collect():
         assert row.r == pytest.approx(want["abc".index(row.x), "abc".index(row.y)])
     assert "Filter" not in res._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_tables_use_idle_cores_for_more_fits(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert SVM._fits_at_once(spark.range(10).repartition(1)) == max(SVM.PARALLEL_FITS, min(SVM.MOST_FITS, cores))
+    assert SVM._fits_at_once(spark.range(10).repartition(3 * cores)) == SVM.PARALLEL_FITS
